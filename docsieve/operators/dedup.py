@@ -13,6 +13,7 @@ smallest ``(bucket, _id)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 
 from docsieve.functions import globs, paths
 from docsieve.functions.timefn import flexible_timestamp
-from docsieve.operators.grouped import grouped_apply
+from docsieve.operators.grouped import GroupReducer, grouped_apply, reduce_groups
 from docsieve.operators.ordered import bounded_broadcast, first_rows
 
+_KEY_NAME = re.compile(r"k\d+")
 POLICIES = ("leave", "update", "overwrite", "custom", "custom_update")
 EMISSION_POLICIES = ("lax", "strict", "very_strict")
 
@@ -230,22 +232,24 @@ def passed_through(incoming: DataFrame, stored: DataFrame, config: DedupConfig)
     return dedup(incoming, stored, replace(config, policy="leave", delete_unhandled=False)).emit
 
 
-def custom_apply(
-    groups: DataFrame,
-    fn: Callable,
-    schema: T.StructType | str,
-    partial: Callable | None = None,
-    partial_schema: T.StructType | str | None = None,
-    salts: int = 32,
+def group_columns(groups: DataFrame) -> DataFrame:
+    """Custom groups with the key members as plain columns ``k0``, ``k1``, ... in place of ``__key``."""
+    names = groups.schema["__key"].dataType.fieldNames()
+    return groups.select(*[F.col(f"__key.{name}").alias(name) for name in names], *[F.col(f"`{c}`") for c in groups.columns if c != "__key"])
+
+
+def custom_reduce(
+    groups: DataFrame, reducer: type[GroupReducer], reduced_schema: T.StructType | str, schema: T.StructType | str
 ) -> DataFrame:
-    """Run ``fn(key, frames)`` on every group; ``frames`` iterates over pandas frames, so a group is never held whole.
+    """Custom policy as a ``GroupReducer`` over key columns ``k0``, ``k1``, ...: hot keys are reduced before the shuffle."""
+    flat = group_columns(groups)
+    return reduce_groups(flat, [name for name in flat.columns if _KEY_NAME.fullmatch(name)], reducer, reduced_schema, schema)
 
-    The key fields are the columns ``k0``, ``k1``, ... With ``partial`` the function is applied in two steps: first to salted
-    pieces of each group (``partial_schema`` starts with the key columns), then to the reduced pieces.
-    """
-    names = groups.schema["__key"].dataType.fieldNames()
-    flat = groups.select(*[F.col(f"__key.{name}").alias(name) for name in names], *[F.col(f"`{c}`") for c in groups.columns if c != "__key"])
-    return grouped_apply(flat, names, fn, schema, partial=partial, partial_schema=partial_schema, salts=salts)
+
+def custom_apply(groups: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """Custom policy as any function ``fn(key, frames)`` over one group at a time, streamed in Arrow batches."""
+    flat = group_columns(groups)
+    return grouped_apply(flat, [name for name in flat.columns if _KEY_NAME.fullmatch(name)], fn, schema)
 
 
 def check_emissions(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from docsieve.operators.grouped import grouped_apply
+from docsieve.operators.grouped import GroupReducer, reduce_groups
 
 # fixed values: default key of a vertex
 DEDUP_FIELDS = ("name", "type")
@@ -101,13 +100,20 @@ def merge_elements(elements: DataFrame, keys: Sequence[str] = DEDUP_FIELDS, id_c
     return merged.withColumn(id_column, F.md5(F.to_json(F.struct(*names))))
 
 
-def merge_custom(elements: DataFrame, fn: Callable, schema: T.StructType | str, keys: Sequence[str] = DEDUP_FIELDS, finalize_all: bool = True, **split: Any) -> DataFrame:
+def merge_custom(
+    elements: DataFrame,
+    reducer: type[GroupReducer],
+    reduced_schema: T.StructType | str,
+    schema: T.StructType | str,
+    keys: Sequence[str] = DEDUP_FIELDS,
+    finalize_all: bool = True,
+) -> DataFrame:
     """User merge per element key. Without ``finalize_all`` only keys with more than one element reach the function."""
     rows = elements
     if not finalize_all:
         repeated = elements.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*keys)
         rows = elements.join(repeated, list(keys), "left_semi")
-    return grouped_apply(rows, list(keys), fn, schema, **split)
+    return reduce_groups(rows, keys, reducer, reduced_schema, schema)
 
 
 def resolve_edges(edge_rows: DataFrame, merged_vertices: DataFrame, id_column: str = "id") -> DataFrame:

@@ -1,8 +1,11 @@
 """User functions: per batch, per group, with dynamic groups, and over several inputs.
 
-A group runs in one task. ``grouped_apply`` therefore streams a group through the function in Arrow batches instead of
-building it in memory, and with a ``partial`` step it splits every group over salts first, so that a hot group is reduced in
-many tasks and only the reduced rows meet.
+Three ways to run a function per group:
+
+* ``reduce_groups``: the function is a ``GroupReducer`` (reduce rows, merge reduced rows, finish). Rows are reduced where they
+  are read, so a hot key sends one small row per task through the shuffle. Frames hold many groups, so pandas works on columns.
+* ``sorted_groups``: frames of whole groups, many at a time, for groups known to be small (or cut into chunks before).
+* ``grouped_apply``: any function over one group at a time, streamed through it in Arrow batches and never built in memory.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -58,53 +62,128 @@ def _stream(fn: Callable) -> Callable:
 
 
 def grouped_apply(
-    df: DataFrame,
-    keys: Sequence[str],
-    fn: Callable[[tuple, Frames], Frames],
-    schema: T.StructType | str,
-    partial: Callable[[tuple, Frames], Frames] | None = None,
-    partial_schema: T.StructType | str | None = None,
-    salts: int = 32,
+    df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Frames], Frames], schema: T.StructType | str
 ) -> DataFrame:
-    """Grouped module: ``fn(key, frames)`` yields output frames; the order of rows inside a group is not defined.
+    """``fn(key, frames)`` yields output frames for one group; the order of rows inside a group is not defined.
 
-    ``partial(key, frames)`` reduces a piece of a group to rows of ``partial_schema`` (which holds the key columns); ``fn`` then
-    sees those rows.
+    A group runs in one task, whatever its size: where the function can be split, use ``reduce_groups``.
     """
-    names = list(keys)
-    source = df
-    if partial is not None:
-        # the salt follows from the row itself, so a re-run task puts each row in the same piece
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.lit(salts))
-        source = (
-            df.withColumn("__salt", salt)
-            .groupBy(*names, "__salt")
-            .applyInPandas(_piece(partial, len(names)), partial_schema)
-        )
-    return source.groupBy(*names).applyInPandas(_stream(fn), schema)
-
-
-def _piece(fn: Callable, width: int) -> Callable:
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fn(key[:width], (frame.drop(columns="__salt") for frame in frames))
+    return df.groupBy(*keys).applyInPandas(_stream(fn), schema)
+
+
+class GroupReducer:
+    """A group function in three parts, each from pandas frame to pandas frame over many groups at once."""
+
+    def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Some rows of some groups to reduced rows (key columns included)."""
+        raise NotImplementedError
+
+    def merge(self, reduced: pd.DataFrame) -> pd.DataFrame:
+        """Reduced rows to fewer reduced rows; merging in any order gives the same."""
+        raise NotImplementedError
+
+    def finish(self, reduced: pd.DataFrame) -> pd.DataFrame:
+        """All reduced rows of some groups, one per key, to the output: any number of rows."""
+        return reduced
+
+
+_MERGE_AT = 100_000
 
-    return run
 
+def reduce_groups(
+    df: DataFrame, keys: Sequence[str], reducer: type[GroupReducer], reduced_schema: T.StructType | str, schema: T.StructType | str
+) -> DataFrame:
+    """Run a ``GroupReducer``: reduce where the rows are, one shuffle of reduced rows, merge and finish."""
+    names = list(keys)
 
-def dynamic_groups(
-    df: DataFrame,
-    assign: Column,
-    fn: Callable[[tuple, Frames], Frames],
-    schema: T.StructType | str,
-    **split: Any,
+    def reduce(frames: Frames) -> Frames:
+        instance, held, count = reducer(), [], 0
+        for frame in frames:
+            part = instance.reduce(frame)
+            held.append(part)
+            count += len(part)
+            if count > _MERGE_AT:
+                merged = instance.merge(pd.concat(held, ignore_index=True))
+                if len(merged) > count // 2:
+                    # mostly distinct keys: holding on to them would not reduce anything
+                    yield merged
+                    merged = merged.iloc[:0]
+                held, count = [merged], len(merged)
+        if count:
+            yield instance.merge(pd.concat(held, ignore_index=True))
+
+    def finish(frames: Frames) -> Frames:
+        instance = reducer()
+        for frame in _whole_groups(frames, names, instance.merge):
+            yield instance.finish(instance.merge(frame))
+
+    reduced = df.mapInPandas(reduce, reduced_schema)
+    return reduced.repartition(*names).sortWithinPartitions(*names).mapInPandas(finish, schema)
+
+
+def sorted_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str
 ) -> DataFrame:
-    """Dynamic grouping: the step before names the group of each row (``assign``); rows without one are dropped."""
-    tagged = df.withColumn("__group", assign).filter(F.col("__group").isNotNull())
-    return grouped_apply(tagged, ["__group"], fn, schema, **split)
+    """``fn`` gets frames of whole groups, many at a time, sorted by key and then by ``order``. For groups of bounded size."""
+    names = list(keys)
+
+    def run(frames: Frames) -> Frames:
+        for frame in _whole_groups(frames, names):
+            yield fn(frame)
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+
+
+def each_group(frame: pd.DataFrame, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Groups of a frame sorted by key."""
+    starts = _starts(frame, list(keys))
+    for start, end in zip(starts, [*starts[1:], len(frame)]):
+        yield frame.iloc[start:end]
+
+
+def _starts(frame: pd.DataFrame, names: list[str]) -> list[int]:
+    """Row numbers at which a new key starts."""
+    new = np.zeros(len(frame), dtype=bool)
+    new[:1] = True
+    for name in names:
+        column = frame[name]
+        before = column.shift()
+        new |= ~((column == before) | (column.isna() & before.isna())).fillna(False).to_numpy(bool)
+    new[:1] = True
+    return [int(index) for index in np.flatnonzero(new)]
+
+
+def _whole_groups(frames: Frames, names: list[str], shrink: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> Frames:
+    """Frames re-cut at key boundaries: the last group of a frame waits for the frames that may continue it."""
+    waiting: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        joined = pd.concat([*waiting[-1:], frame.iloc[:1]], ignore_index=True) if waiting else frame
+        if waiting and len(_starts(joined.iloc[-2:], names)) == 2:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting = []
+        last = _starts(frame, names)[-1]
+        if last:
+            yield pd.concat([*waiting, frame.iloc[:last]], ignore_index=True)
+            waiting = []
+        waiting.append(frame.iloc[last:])
+        if shrink is not None and sum(map(len, waiting)) > _MERGE_AT:
+            waiting = [shrink(pd.concat(waiting, ignore_index=True))]
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
+def dynamic_groups(df: DataFrame, assign: Column) -> DataFrame:
+    """Dynamic grouping: the step before names the group of each row in ``__group``; rows without one are dropped."""
+    return df.withColumn("__group", assign).filter(F.col("__group").isNotNull())
 
 
 def tag_inputs(inputs: Mapping[str, DataFrame], injected: bool = False) -> DataFrame:
-    """All inputs as one DataFrame; ``__input`` names the input of each row, ``__injected`` marks system-made rows."""
+    """All inputs as one DataFrame; ``__input`` names the input of each row, ``__injected`` marks system-made rows.
+
+    Any of the group functions run on the result is a cogroup of the inputs.
+    """
     out = None
     for name, df in inputs.items():
         tagged = df.withColumns({"__input": F.lit(name), "__injected": F.lit(injected)})
@@ -112,14 +191,3 @@ def tag_inputs(inputs: Mapping[str, DataFrame], injected: bool = False) -> DataF
     if out is None:
         raise ValueError("no inputs")
     return out
-
-
-def cogrouped_apply(
-    inputs: Mapping[str, DataFrame],
-    keys: Sequence[str],
-    fn: Callable[[tuple, Frames], Frames],
-    schema: T.StructType | str,
-    **split: Any,
-) -> DataFrame:
-    """Rows of several inputs grouped by the same fields, each row knowing its input."""
-    return grouped_apply(tag_inputs(inputs), keys, fn, schema, **split)

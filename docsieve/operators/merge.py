@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docsieve.functions.timefn import millis
+from docsieve.operators.grouped import each_group, sorted_groups
 from docsieve.operators.ordered import HOT_ROWS, Running, find_hot_keys, running, with_chunk
 from docsieve.operators.query import outside_threshold
 
@@ -184,6 +185,10 @@ def _leave(thresholds: Sequence[int], exits: Sequence[int], mark: int | None, pe
     return int(exits[piece]) if piece < len(exits) else mark
 
 
+def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return part["__ms"].to_numpy(np.int64), part["__forced"].to_numpy(bool)
+
+
 def throttle(
     df: DataFrame,
     keys: Sequence[str],
@@ -215,36 +220,39 @@ def throttle(
     def ddl(*columns: str) -> str:
         return ", ".join(f"`{name}` {types[name]}" for name in columns)
 
-    def ordered(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        frame = frame.sort_values(order, kind="stable")
-        return frame, frame["__ms"].to_numpy(np.int64), frame["__forced"].to_numpy(bool)
-
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, at, force = ordered(frame)
-        mark = frame["__mark"].iloc[0]
-        return frame.iloc[_emitted(at, force, period_ms, None if pd.isna(mark) else int(mark))][[*names, *order]]
+        kept = []
+        for part in each_group(frame, group):
+            mark = part["__mark"].iloc[0]
+            kept.append(part.iloc[_emitted(*_arrays(part), period_ms, None if pd.isna(mark) else int(mark))])
+        return pd.concat(kept)[[*names, *order]]
 
     def summarize(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, at, force = ordered(frame)
-        thresholds, exits = _exit_map(at, force, period_ms)
-        return frame.iloc[:1][group].assign(__thresholds=[thresholds], __exits=[exits])
+        firsts, thresholds, exits = [], [], []
+        for part in each_group(frame, group):
+            firsts.append(part.iloc[:1][group])
+            bounds, ends = _exit_map(*_arrays(part), period_ms)
+            thresholds.append(bounds)
+            exits.append(ends)
+        return pd.concat(firsts, ignore_index=True).assign(__thresholds=thresholds, __exits=exits)
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__chunk")
-        marks, mark = [], None
-        for thresholds, exits in zip(frame["__thresholds"], frame["__exits"]):
-            marks.append(mark)
-            mark = _leave(thresholds, exits, mark, period_ms)
+        marks: list[int | None] = []
+        for part in each_group(frame, names):
+            mark = None
+            for thresholds, exits in zip(part["__thresholds"], part["__exits"]):
+                marks.append(mark)
+                mark = _leave(thresholds, exits, mark, period_ms)
         return frame[group].assign(__mark=pd.array(marks, dtype="Int64"))
 
     if hot.any and hot.bounds:
         maps_schema = f"{ddl(*group)}, __thresholds array<bigint>, __exits array<bigint>"
-        maps = rows.groupBy(*group).applyInPandas(summarize, maps_schema)
-        marks = maps.groupBy(*names).applyInPandas(walk, f"{ddl(*group)}, __mark bigint")
+        maps = sorted_groups(rows, group, order, summarize, maps_schema)
+        marks = sorted_groups(maps, names, ["__chunk"], walk, f"{ddl(*group)}, __mark bigint")
         rows = _null_safe_join(rows, marks, group, "left")
     else:
         rows = rows.withColumn("__mark", F.lit(None).cast("bigint"))
-    emitted = rows.groupBy(*group).applyInPandas(replay, ddl(*names, *order))
+    emitted = sorted_groups(rows, group, order, replay, ddl(*names, *order))
     return _null_safe_join(df, emitted, [*names, *order], "left_semi")
 
 

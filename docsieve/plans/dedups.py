@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docsieve.operators import dedup as dd
 from docsieve.operators.dedup import DedupConfig
+from docsieve.operators.grouped import GroupReducer
 from docsieve.plans.registry import query, table
 
 ARRIVAL = ("ts", "line", "part", "supplier", "amount")
@@ -150,40 +151,46 @@ def d18_stats(spark, d):
 
 # user functions: the new rows' amounts are added to the stored order they belong to ---------------------------------
 
-PARTIAL = "k0 bigint, added double, new_rows bigint, old_id string, old_amount double"
+REDUCED = "k0 bigint, added double, new_rows bigint, old_id string, old_amount double"
 MERGED = "_id string, k bigint, amount double, new_rows bigint"
 
 
-def add_up(key, frames):
-    """Reduce a piece of a group."""
-    added, new_rows, old_id, old_amount = 0.0, 0, None, None
-    for frame in frames:
-        fresh = frame[~frame["__injected"].astype(bool)]
-        added += float(fresh["amount"].sum())
-        new_rows += len(fresh)
-        for row_id, amount in frame.loc[frame["__injected"].astype(bool), ["_id", "amount"]].itertuples(index=False):
-            if old_id is None or row_id < old_id:
-                old_id, old_amount = row_id, float(amount)
-    yield pd.DataFrame([{"k0": key[0], "added": added, "new_rows": new_rows, "old_id": old_id, "old_amount": old_amount}])
-
-
-def emit_merged(key, frames):
-    """One merged row per group."""
-    added, new_rows, old_id, old_amount = 0.0, 0, None, 0.0
-    for frame in frames:
-        added += float(frame["added"].sum())
-        new_rows += int(frame["new_rows"].sum())
-        known = frame.dropna(subset=["old_id"])
-        for row_id, amount in known[["old_id", "old_amount"]].itertuples(index=False):
-            if old_id is None or row_id < old_id:
-                old_id, old_amount = row_id, float(amount)
-    name = old_id if old_id is not None else f"new-{key[0]}"
-    yield pd.DataFrame([{"_id": name, "k": key[0], "amount": round(added + old_amount, 2), "new_rows": new_rows}])
+class AddUp(GroupReducer):
+    """One row per group: the first stored row with the amounts of all new rows added."""
+
+    def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
+        old = rows["__injected"].astype(bool)
+        reduced = pd.DataFrame(
+            {
+                "k0": rows["k0"],
+                "added": rows["amount"].where(~old, 0.0),
+                "new_rows": (~old).astype("int64"),
+                "old_id": rows["_id"].where(old),
+                "old_amount": rows["amount"].where(old),
+            }
+        )
+        return self.merge(reduced)
+
+    def merge(self, reduced: pd.DataFrame) -> pd.DataFrame:
+        sums = reduced.groupby("k0", as_index=False, sort=False)[["added", "new_rows"]].sum()
+        old = reduced.dropna(subset=["old_id"]).sort_values("old_id").drop_duplicates("k0")
+        return sums.merge(old[["k0", "old_id", "old_amount"]], on="k0", how="left")
+
+    def finish(self, reduced: pd.DataFrame) -> pd.DataFrame:
+        unmatched = "new-" + reduced["k0"].astype(str)
+        return pd.DataFrame(
+            {
+                "_id": reduced["old_id"].where(reduced["old_id"].notna(), unmatched),
+                "k": reduced["k0"],
+                "amount": (reduced["added"] + reduced["old_amount"].fillna(0.0)).round(2),
+                "new_rows": reduced["new_rows"],
+            }
+        )
 
 
 def _custom(spark, d, config):
     groups = dd.custom_groups(incoming(spark, d), stored(spark, d), config)
-    return dd.custom_apply(groups, emit_merged, MERGED, add_up, PARTIAL, salts=4)
+    return dd.custom_reduce(groups, AddUp, REDUCED, MERGED)
 
 
 CUSTOM = """SELECT COALESCE(o._id, 'new-' || i.k) AS _id, i.k AS k, round(i.amount + COALESCE(o.amount, 0), 2) AS amount, i.n AS new_rows
@@ -213,11 +220,18 @@ def d9_finalize_all(spark, d):
 
 def _emissions(spark, d):
     old = dd.keyed(stored(spark, d), ["k"])
+
+    def row(seq, row_id, own, amount):
+        return F.struct(
+            F.lit(seq).alias("seq"), row_id.cast("string").alias("_id"), own.cast("bigint").alias("own"), amount.cast("double").alias("amount")
+        )
+
+    key, nothing = F.col("k"), F.lit(None)
     rows = F.array(
-        F.struct(F.lit(1).alias("seq"), F.col("_id"), F.col("k").alias("own"), F.col("amount")),
-        F.struct(F.lit(2), F.concat(F.lit("n-"), "k"), F.col("k"), F.col("amount")),
-        F.struct(F.lit(3), F.lit(None).cast("string"), -F.col("k") - 1, F.col("amount")),
-        F.struct(F.lit(4), F.concat(F.lit("gone-"), "k"), F.lit(None).cast("bigint"), F.lit(None).cast("double")),
+        row(1, F.col("_id"), key, F.col("amount")),
+        row(2, F.concat(F.lit("n-"), key), key, F.col("amount")),
+        row(3, nothing, -key - 1, F.col("amount")),
+        row(4, F.concat(F.lit("gone-"), key), nothing, nothing),
     )
     emitted = old.select("__key", F.explode(F.when(F.col("__bucket") == "/orders/P", F.slice(rows, 3, 2)).otherwise(rows)).alias("r"))
     return emitted.select("__key", "r.*"), old.select("__key", "_id")

@@ -15,7 +15,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 _BUILDERS: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
 
-_GROUPS = ("predicates", "dedups")
+_GROUPS = ("predicates", "dedups", "merges")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
