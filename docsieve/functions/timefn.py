@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -202,23 +203,33 @@ def suffix_period(suffix: Column) -> Column:
     return chain
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def suffix_start(suffix: Column) -> Column:
     """First instant of a dated suffix, strictly parsed; null when it is none."""
 
-    def part(start: int, length: int, default: str) -> Column:
-        text = F.substring(suffix, start, length)
-        return F.when(text == "", F.lit(default)).otherwise(text)
+    def read(text: Column) -> Column:
+        def part(start: int, length: int, default: str) -> Column:
+            digits = F.substring(text, start, length)
+            return F.when(digits == "", F.lit(default)).otherwise(digits)
 
-    stamp = F.concat(
-        part(1, 4, "0000"), F.lit("-"), part(6, 2, "01"), F.lit("-"), part(9, 2, "01"), F.lit(" "),
-        part(12, 2, "00"), F.lit(":"), part(15, 2, "00"), F.lit(":"), part(18, 2, "00"),
-    )
-    year = F.substring(suffix, 1, 4).try_cast("int")
-    week = F.substring(suffix, 6, 2).try_cast("int")
-    first = _week_start(F.make_date(year, F.lit(1), F.lit(1)))
-    of_week = F.when(week.between(1, 53), F.date_add(first, (week - 1) * 7).cast("timestamp_ntz"))
-    shape = suffix_period(suffix)
-    return F.when(shape == "week", of_week).when(shape.isNotNull(), stamp.try_cast("timestamp_ntz"))
+        stamp = F.concat(
+            part(1, 4, "0000"), F.lit("-"), part(6, 2, "01"), F.lit("-"), part(9, 2, "01"), F.lit(" "),
+            part(12, 2, "00"), F.lit(":"), part(15, 2, "00"), F.lit(":"), part(18, 2, "00"),
+        )
+        year = F.substring(text, 1, 4).try_cast("int")
+        week = F.substring(text, 6, 2).try_cast("int")
+        first = let(F.make_date(year, F.lit(1), F.lit(1)), _week_start)
+        of_week = F.when(week.between(1, 53), F.date_add(first, (week - 1) * 7).cast("timestamp_ntz"))
+        return let(
+            suffix_period(text),
+            lambda shape: F.when(shape == "week", of_week).when(shape.isNotNull(), stamp.try_cast("timestamp_ntz")),
+        )
+
+    return let(suffix, read)
 
 
 def plus_period(ts: Column, period: Column) -> Column:
@@ -239,7 +250,11 @@ def directory_suffix(path: Column) -> Column:
 
 def directory_span(path: Column) -> Column:
     """(start, end) of a dated directory; both null when the name carries no date."""
-    suffix = directory_suffix(path)
-    start = suffix_start(suffix)
-    end = plus_period(start, suffix_period(suffix))
-    return F.struct(start.alias("start"), end.alias("end"))
+
+    def span(suffix: Column) -> Column:
+        return let(
+            suffix_start(suffix),
+            lambda start: F.struct(start.alias("start"), plus_period(start, suffix_period(suffix)).alias("end")),
+        )
+
+    return let(directory_suffix(path), span)

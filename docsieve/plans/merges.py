@@ -198,7 +198,7 @@ def w5_throttle(spark, d):
     return mg.throttle(events(spark, d, "user_id", *ORDER), ["user_id"], ORDER, 86_400_000).select("event_id")
 
 
-@query("w5_throttle_hot_keys")
+@query("w5_throttle_hot_keys", _throttle_sql("event_type", 3_600_000, "false"))
 def w5_throttle_hot_keys(spark, d):
     rows = events(spark, d, "event_type", *ORDER)
     return mg.throttle(rows, ["event_type"], ORDER, 3_600_000, hot_rows=500, chunks=16).select("event_id")
