@@ -74,6 +74,10 @@ def key_value_at(schema: T.StructType, path: str) -> Column:
     return found[0]
 
 
+def _members(array: Column, name: str) -> Column:
+    return F.transform(array, lambda item: item.getField(name))
+
+
 def query_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     """Column and type at ``path`` under the any-element reading; arrays of records give arrays of their field."""
     head, *rest = path.split(".")
@@ -87,7 +91,7 @@ def query_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
             if not isinstance(element, T.StructType) or _field(element, name) is None:
                 return F.lit(None), T.NullType()
             inner = element[name].dataType
-            column = F.transform(column, lambda item, name=name: item.getField(name))
+            column = _members(column, name)
             if isinstance(inner, T.ArrayType):
                 column, dtype = F.flatten(column), inner
             else:

@@ -109,6 +109,10 @@ def search_count(df: DataFrame, text: str, query: SearchQuery, where: Query | No
     return search_hits(df, text, query, where).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _labelled(values: Column, name: str) -> Column:
+    return F.transform(values, lambda value: F.struct(F.lit(name).alias("field"), value.alias("term")))
+
+
 def facets(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
     """Per field the ``top`` most frequent values, ties by value: (field, term, n). Array fields count each distinct item."""
     pairs = []
@@ -118,7 +122,7 @@ def facets(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
             values = F.transform(F.array_distinct(column), lambda item: item.cast("string"))
         else:
             values = F.array(column.cast("string"))
-        pairs.append(F.transform(values, lambda value, name=name: F.struct(F.lit(name).alias("field"), value.alias("term"))))
+        pairs.append(_labelled(values, name))
     exploded = df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.field", "p.term").filter(F.col("term").isNotNull())
     counted = exploded.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"))
     return first_rows(counted, ["field"], [F.desc("n"), F.asc("term")], top)
