@@ -21,9 +21,9 @@ def _scored(words: list[str], where: str, tail: str, columns: str = "doc_id") ->
     return f"WITH {TERMS}, c AS (SELECT {idf} FROM t), s AS (SELECT {columns}, {score} AS s FROM t, c WHERE {where}) SELECT {columns}, round(s, 4) AS score FROM s {tail}"
 
 
-@query("q1_search", _scored(["the", "there"], "list_contains(w, 'the') AND list_contains(w, 'there')", "ORDER BY round(s, 6) DESC, doc_id LIMIT 40"))
+@query("q1_search", _scored(["the", "and"], "list_contains(w, 'the') AND list_contains(w, 'and')", "ORDER BY round(s, 6) DESC, doc_id LIMIT 40"))
 def q1_search(spark, d):
-    found = search.search(table(spark, d, "documents"), "text", search.parse_search("the there"), tie="doc_id", limit=40, fields=["doc_id"])
+    found = search.search(table(spark, d, "documents"), "text", search.parse_search("the and"), tie="doc_id", limit=40, fields=["doc_id"])
     return found.withColumn("score", F.round("score", 4))
 
 

@@ -15,7 +15,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 _BUILDERS: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
 
-_GROUPS = ("predicates", "dedups", "merges", "mutations", "unions", "scalars", "graphs")
+_GROUPS = ("scans", "predicates", "mutations", "dedups", "unions", "merges", "scalars", "graphs", "functions", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:

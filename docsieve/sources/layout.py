@@ -40,6 +40,11 @@ class Bucket:
         return f"{self.folder}/import/ready"
 
 
+def state_bucket(owner: Bucket, job: str, name: str) -> Bucket:
+    """Small keyed collection a job keeps between runs."""
+    return Bucket(f"{owner.full_name}/_state/{job}/{name}", owner.root, owner.format, id_column=owner.id_column)
+
+
 def hadoop_path(spark: SparkSession, path: str) -> tuple[Any, Any]:
     """(file system, path) of a location."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -112,10 +112,19 @@ def to_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])).alias("value"))
 
 
-def write_table(df: DataFrame, name: str, table_format: T.StructType | None = None, mode: str = "append", bucket_by: tuple[int, Sequence[str]] | None = None) -> None:
-    """A warehouse table, optionally of a declared format and bucketed for joins on its key."""
+def write_table(
+    df: DataFrame,
+    name: str,
+    table_format: T.StructType | None = None,
+    mode: str = "append",
+    bucket_by: tuple[int, Sequence[str]] | None = None,
+    folder: str | None = None,
+) -> None:
+    """A warehouse table, optionally of a declared format, bucketed for joins on its key, and at a given folder."""
     rows = coerce(df, table_format) if table_format is not None else df
     writer = rows.write.mode(mode).format("parquet")
+    if folder:
+        writer = writer.option("path", folder)
     if bucket_by:
         count, keys = bucket_by
         writer = writer.bucketBy(count, *keys).sortBy(*keys)
