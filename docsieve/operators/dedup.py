@@ -2,8 +2,8 @@
 
 Policies ``leave``, ``update`` and ``overwrite`` are native joins. Both sides shrink to one row per key before they meet, with
 map-side work on each (a row-number limit on the incoming side, partial aggregation on the stored side), so a key that holds a
-large share of either side costs each task one row. Key, window, aggregate and join all use the same ``__key`` struct: one
-shuffle per side.
+large share of either side costs each task one row. Window, aggregate and join all use the one column ``__key``: one shuffle
+per side.
 
 ``custom`` and ``custom_update`` hand groups to a user function, see ``custom_groups``.
 
@@ -64,14 +64,20 @@ class DedupConfig:
 
 
 def dedup_key(df: DataFrame, fields: Sequence[str]) -> Column:
-    """Key struct of the dotted fields. Struct equality treats two missing members as equal."""
-    members = [paths.key_value_at(df.schema, name) if len(fields) == 1 else paths.value_at(df.schema, name) for name in fields]
-    return F.struct(*[member.alias(f"k{index}") for index, member in enumerate(members)])
+    """Key of the dotted fields: the value itself for one field, else a struct.
+
+    Struct equality treats two missing members as equal; a plain column sorts and hashes faster.
+    """
+    if len(fields) == 1:
+        return paths.key_value_at(df.schema, fields[0])
+    return F.struct(*[paths.value_at(df.schema, name).alias(f"k{index}") for index, name in enumerate(fields)])
 
 
 def keyed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Rows with ``__key``; rows that have none of the fields are dropped."""
     out = df.withColumn("__key", dedup_key(df, fields))
+    if len(fields) == 1:
+        return out.filter(F.col("__key").isNotNull())
     present = F.lit(False)
     for index in range(len(fields)):
         present = present | F.col(f"__key.k{index}").isNotNull()
@@ -233,9 +239,13 @@ def passed_through(incoming: DataFrame, stored: DataFrame, config: DedupConfig)
 
 
 def group_columns(groups: DataFrame) -> DataFrame:
-    """Custom groups with the key members as plain columns ``k0``, ``k1``, ... in place of ``__key``."""
-    names = groups.schema["__key"].dataType.fieldNames()
-    return groups.select(*[F.col(f"__key.{name}").alias(name) for name in names], *[F.col(f"`{c}`") for c in groups.columns if c != "__key"])
+    """Custom groups with the key as plain columns ``k0``, ``k1``, ... in place of ``__key``."""
+    key_type = groups.schema["__key"].dataType
+    if isinstance(key_type, T.StructType):
+        keys = [F.col(f"__key.{name}").alias(name) for name in key_type.fieldNames()]
+    else:
+        keys = [F.col("__key").alias("k0")]
+    return groups.select(*keys, *[F.col(f"`{name}`") for name in groups.columns if name != "__key"])
 
 
 def custom_reduce(

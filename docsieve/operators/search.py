@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from docsieve.functions.text import term_count, tokens
+from docsieve.functions.text import has_word, query_words, word_count
 from docsieve.operators.ordered import first_rows
 from docsieve.operators.query import Query, sort_columns
 
@@ -28,34 +29,39 @@ class SearchQuery:
 
 
 def parse_search(text: str) -> SearchQuery:
-    """``a b -c d|e field:value``: words are required, ``-`` forbids, ``x|y`` offers a choice."""
+    """``a b -c d|e field:value``: words are required, ``-`` forbids, ``x|y`` offers a choice. Words are cut like texts are."""
     must, should, must_not, fields = [], [], [], []
-    for word in text.lower().split():
+    for word in text.split():
         if ":" in word:
             name, _, value = word.partition(":")
-            fields.append((name, value))
+            fields.append((name, value.lower()))
         elif word.startswith("-"):
-            must_not.append(word[1:])
+            must_not += query_words(word)
         elif "|" in word:
-            should += word.split("|")
+            should += query_words(word)
         else:
-            must.append(word)
+            must += query_words(word)
     return SearchQuery(tuple(must), tuple(should), tuple(must_not), tuple(fields))
 
 
-def _hits(query: SearchQuery, terms: Column) -> Column:
-    tests = [F.array_contains(terms, word) for word in query.must]
+def _matching(df: DataFrame, text: str, query: SearchQuery, where: Query | None) -> DataFrame:
+    """Rows the query selects; every test is a plain predicate on the text, so nothing is split into terms."""
+    rows = where.filter(df) if where else df
+    for name, value in query.fields:
+        rows = rows.filter(F.lower(F.col(name).cast("string")) == value)
+    lowered = F.lower(F.col(text))
+    for word in query.must:
+        rows = rows.filter(has_word(lowered, word))
     if query.should:
-        tests.append(F.arrays_overlap(terms, F.array(*[F.lit(word) for word in query.should])))
-    tests += [~F.array_contains(terms, word) for word in query.must_not]
-    tests += [F.lower(F.col(name).cast("string")) == value for name, value in query.fields]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+        rows = rows.filter(reduce(lambda a, b: a | b, [has_word(lowered, word) for word in query.should]))
+    for word in query.must_not:
+        rows = rows.filter(~has_word(lowered, word))
+    return rows
 
 
 def search_hits(df: DataFrame, text: str, query: SearchQuery, where: Query | None = None) -> DataFrame:
-    """Matching rows with ``__terms``; ``where`` filters without scoring and reaches the scan."""
-    source = where.filter(df) if where else df
-    return source.withColumn("__terms", tokens(F.col(text))).filter(_hits(query, F.col("__terms")))
+    """Matching rows; ``where`` filters without scoring and reaches the scan."""
+    return _matching(df, text, query, where)
 
 
 def search(
@@ -71,29 +77,28 @@ def search(
 ) -> DataFrame:
     """Hits by score (sum of term frequency times inverse document frequency) or by ``order``.
 
-    Frequencies of the query's few terms are counted in place, so scoring needs no shuffle: one aggregate row over the corpus
-    gives the document frequencies, and the second pass scores and takes the top rows. In ``order`` a negative sign is ascending.
+    The query's few words are counted in place, so scoring needs no shuffle: one aggregate row over the corpus gives the document
+    frequencies, and the second pass scores and takes the top rows. In ``order`` a negative sign is ascending; with an order
+    given, the corpus pass is left out and the score is not computed.
     """
     words = query.scoring
-    corpus = df.select(tokens(F.col(text)).alias("__terms"))
-    counts = corpus.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("__terms", word)).alias(f"d{i}") for i, word in enumerate(words)]).alias("s")
-    )
-    hits = search_hits(df, text, query, where)
-    if words:
-        stats = counts.scalar()
-        parts = [
-            term_count(F.col("__terms"), word) * F.log(F.lit(1.0) + stats.getField("n") / F.greatest(stats.getField(f"d{i}"), F.lit(1)))
-            for i, word in enumerate(words)
-        ]
-        hits = hits.withColumn("score", reduce(lambda a, b: a + b, parts))
-    else:
-        hits = hits.withColumn("score", F.lit(0.0))
-    hits = hits.drop("__terms")
+    hits = _matching(df, text, query, where)
     if order:
         columns = sort_columns(hits.schema, [(name, 1 if sign < 0 else -1) for name, sign in order])
     else:
-        # ties in a rounded score fall back to the tie column, so that the cut is the same on every run
+        if words:
+            lowered = F.lower(F.col(text))
+            frequencies = [F.count_if(has_word(lowered, word)).alias(f"d{index}") for index, word in enumerate(words)]
+            stats = df.agg(F.struct(F.count(F.lit(1)).alias("n"), *frequencies).alias("s")).scalar()
+            parts = [
+                word_count(lowered, word) * F.log(F.lit(1.0) + stats.getField("n") / F.greatest(stats.getField(f"d{index}"), F.lit(1)))
+                for index, word in enumerate(words)
+            ]
+            score = reduce(lambda a, b: a + b, parts)
+        else:
+            score = F.lit(0.0)
+        hits = hits.withColumn("score", score)
+        # ties in the rounded score fall back to the tie column, so that the cut is the same on every run
         columns = [F.round("score", 6).desc()]
     if tie:
         columns.append(F.col(tie).asc())
@@ -102,27 +107,28 @@ def search(
         out = out.offset(skip)
     if limit is not None:
         out = out.limit(limit)
-    return out.select(*fields, "score") if fields else out
+    if not fields:
+        return out
+    return out.select(*fields) if order else out.select(*fields, "score")
 
 
 def search_count(df: DataFrame, text: str, query: SearchQuery, where: Query | None = None) -> DataFrame:
     return search_hits(df, text, query, where).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _labelled(values: Column, name: str) -> Column:
-    return F.transform(values, lambda value: F.struct(F.lit(name).alias("field"), value.alias("term")))
-
-
 def facets(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
-    """Per field the ``top`` most frequent values, ties by value: (field, term, n). Array fields count each distinct item."""
-    pairs = []
-    for name in fields:
-        column = F.col(f"`{name}`")
-        if df.schema[name].dataType.typeName() == "array":
-            values = F.transform(F.array_distinct(column), lambda item: item.cast("string"))
-        else:
-            values = F.array(column.cast("string"))
-        pairs.append(_labelled(values, name))
-    exploded = df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.field", "p.term").filter(F.col("term").isNotNull())
-    counted = exploded.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"))
+    """Per field the ``top`` most frequent values, ties by value: (field, term, n). Array fields count each distinct item.
+
+    Scalar fields share one pass; an array field has its own, which reads only that column.
+    """
+    arrays = [name for name in fields if isinstance(df.schema[name].dataType, T.ArrayType)]
+    scalars = [name for name in fields if name not in arrays]
+    parts = []
+    if scalars:
+        pairs = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"`{name}`").cast("string").alias("term")) for name in scalars])
+        parts.append(df.select(F.explode(pairs).alias("p")).select("p.field", "p.term").groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")))
+    for name in arrays:
+        terms = df.select(F.explode(F.array_distinct(F.col(f"`{name}`"))).alias("term")).select(F.col("term").cast("string").alias("term"))
+        parts.append(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("field"), "term", "n"))
+    counted = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("term").isNotNull())
     return first_rows(counted, ["field"], [F.desc("n"), F.asc("term")], top)

@@ -239,8 +239,7 @@ def _emissions(spark, d):
 
 def _checked(spark, d, policy):
     emitted, members = _emissions(spark, d)
-    own_key = F.struct(F.col("own").alias("k0"))
-    return dd.check_emissions(emitted, members, own_key, policy, ["seq"]), members
+    return dd.check_emissions(emitted, members, F.col("own"), policy, ["seq"]), members
 
 
 def _counts(checked):
