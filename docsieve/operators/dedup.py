@@ -114,12 +114,14 @@ def _stored_rows(stored: DataFrame, config: DedupConfig) -> DataFrame:
     return rows.select(*columns)
 
 
-def _match_summary(old: DataFrame, timed: bool) -> DataFrame:
-    """One row per stored key: the id to take over, how many rows match, and the newest time if all times are readable."""
-    aggregates = [
-        F.min(F.struct("__old_bucket", "__old_id")).alias("__first"),
-        F.count(F.lit(1)).alias("__old_count"),
-    ]
+def _match_summary(old: DataFrame, timed: bool, with_id: bool = True) -> DataFrame:
+    """One row per stored key: how many rows match, the id to take over, and the newest time if all times are readable.
+
+    Without the id the aggregate buffers have fixed width and Spark hashes instead of sorting.
+    """
+    aggregates = [F.count(F.lit(1)).alias("__old_count")]
+    if with_id:
+        aggregates.append(F.min(F.struct("__old_bucket", "__old_id")).alias("__first"))
     if timed:
         aggregates.append(F.when(F.count("__old_ts") == F.count(F.lit(1)), F.max("__old_ts")).alias("__old_ts"))
     return old.groupBy("__key").agg(*aggregates)
@@ -153,7 +155,7 @@ def dedup(incoming: DataFrame, stored: DataFrame, config: DedupConfig, small_bat
     matched = last.join(_match_summary(old, config.policy == "update"), "__key", "left")
     if config.policy == "update":
         newer = F.coalesce(_timestamp(last, config.timestamp) > F.col("__old_ts"), F.lit(False))
-        matched = matched.filter(F.col("__first").isNull() | newer)
+        matched = matched.filter(F.col("__old_count").isNull() | newer)
     id_column = F.coalesce(F.col("__first.__old_id"), F.col(config.id_column))
     emit = matched.withColumn(config.id_column, id_column).select(*incoming.columns)
     delete = old.select(F.col("__old_id").alias(config.id_column)).limit(0)
@@ -179,8 +181,8 @@ def dedup_stats(incoming: DataFrame, stored: DataFrame, config: DedupConfig) ->
         F.count(F.lit(1)).alias("__new_count"),
         F.max_by(_timestamp(new, config.timestamp) if timed else F.lit(None), F.struct(*config.order)).alias("__new_ts"),
     )
-    old = _match_summary(_stored_rows(lookup_scope(stored, config), config), timed)
-    both = per_key.join(old, "__key", "left").withColumn("__hit", F.col("__first").isNotNull())
+    old = _match_summary(_stored_rows(lookup_scope(stored, config), config), timed, with_id=False)
+    both = per_key.join(old, "__key", "left").withColumn("__hit", F.col("__old_count").isNotNull())
     if config.policy == "leave":
         kept = ~F.col("__hit")
     elif config.policy == "overwrite":
@@ -212,18 +214,19 @@ def custom_groups(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -
     config = config.resolved()
     new = keyed(incoming, config.fields)
     old = keyed(lookup_scope(stored, config), config.fields)
-    summary = _match_summary(_stored_rows(lookup_scope(stored, config), config), config.policy == "custom_update")
-    incoming_keys = new.groupBy("__key").agg(
-        F.max_by(_timestamp(new, config.timestamp), F.struct(*config.order)).alias("__new_ts"),
-        F.count(F.lit(1)).alias("__new_count"),
-    )
-    decided = incoming_keys.join(summary, "__key", "left")
-    passes = F.col("__first").isNotNull()
-    if config.policy == "custom_update":
+    timed = config.policy == "custom_update"
+    summary = _match_summary(_stored_rows(lookup_scope(stored, config), config), timed, with_id=False)
+    per_key = [F.count(F.lit(1)).alias("__new_count")]
+    if timed:
+        per_key.append(F.max_by(_timestamp(new, config.timestamp), F.struct(*config.order)).alias("__new_ts"))
+    decided = new.groupBy("__key").agg(*per_key).join(summary, "__key", "left")
+    matched = F.col("__old_count").isNotNull()
+    passes = matched
+    if timed:
         passes = passes & F.coalesce(F.col("__new_ts") > F.col("__old_ts"), F.lit(False))
     if config.finalize_all:
-        passes = passes | F.col("__first").isNull()
-    chosen = decided.filter(passes).select("__key", F.when(F.col("__first").isNotNull(), F.col("__new_count")).alias("__batch_size"))
+        passes = passes | ~matched
+    chosen = decided.filter(passes).select("__key", F.when(matched, F.col("__new_count")).alias("__batch_size"))
     rows = new.withColumn("__injected", F.lit(False)).unionByName(
         old.withColumn("__injected", F.lit(True)), allowMissingColumns=True
     )
@@ -249,11 +252,20 @@ def group_columns(groups: DataFrame) -> DataFrame:
 
 
 def custom_reduce(
-    groups: DataFrame, reducer: type[GroupReducer], reduced_schema: T.StructType | str, schema: T.StructType | str
+    groups: DataFrame,
+    reducer: type[GroupReducer],
+    reduced_schema: T.StructType | str,
+    schema: T.StructType | str,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Custom policy as a ``GroupReducer`` over key columns ``k0``, ``k1``, ...: hot keys are reduced before the shuffle."""
+    """Custom policy as a ``GroupReducer`` over key columns ``k0``, ``k1``, ...: hot keys are reduced before the shuffle.
+
+    ``columns`` names what the reducer reads; Spark cannot see into it, so naming them is what keeps the rest unread.
+    """
     flat = group_columns(groups)
-    return reduce_groups(flat, [name for name in flat.columns if _KEY_NAME.fullmatch(name)], reducer, reduced_schema, schema)
+    keys = [name for name in flat.columns if _KEY_NAME.fullmatch(name)]
+    rows = flat if columns is None else flat.select(*keys, *[name for name in columns if name not in keys])
+    return reduce_groups(rows, keys, reducer, reduced_schema, schema)
 
 
 def custom_apply(groups: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:

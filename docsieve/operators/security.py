@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,23 +11,30 @@ from docsieve.functions.ids import permission
 
 
 def holds_any(row_permission: Column, held: Sequence[str]) -> Column:
-    """The principal's own (short) permission list as a predicate: exact strings or ``:``-separated parts with ``*``."""
-    exact = [text for text in held if "*" not in text]
-    terms = [row_permission.isin(exact)] if exact else []
-    for text in held:
-        if "*" in text:
-            terms.append(row_permission.rlike(permission_regex(text)))
-    return reduce(lambda a, b: a | b, terms, F.lit(False))
+    """The principal's own permission list as one predicate.
 
+    Permissions are ``:``-separated parts; ``*`` stands for any part, ``a,b`` for either, and a permission covers everything
+    that has further parts.
+    """
+    if not held:
+        return F.lit(False)
+    return row_permission.rlike("^(?:" + "|".join(_permission_body(text) for text in held) + ")(:.*)?$")
 
-def permission_regex(text: str) -> str:
-    """A ``*`` part stands for one part; the last part standing ``*`` also covers everything below."""
-    import re
 
+def _permission_body(text: str) -> str:
     parts = text.split(":")
-    body = ":".join("[^:]*" if part == "*" else re.escape(part).replace(r"\*", "[^:]*") for part in parts[:-1])
-    tail = ".*" if parts[-1] == "*" else re.escape(parts[-1]).replace(r"\*", "[^:]*")
-    return "^" + (body + ":" if body else "") + tail + "(:.*)?$"
+    while len(parts) > 1 and parts[-1] == "*":
+        parts.pop()
+    choices = lambda part: "|".join(re.escape(choice).replace(r"\*", "[^:]*") for choice in part.split(","))
+    return ":".join(f"(?:{choices(part)})" for part in parts)
+
+
+def _permission_regex_column(grant: Column) -> Column:
+    """The same for a column of permissions."""
+    body = F.regexp_replace(grant, r"(:\*)+$", "")
+    escaped = F.regexp_replace(body, r"([.\\+^$|()\[\]{}?])", r"\\$1")
+    either = F.translate(F.regexp_replace(escaped, r"([^:]*,[^:]*)", "(?:$1)"), ",", "|")
+    return F.concat(F.lit("^"), F.regexp_replace(either, r"\*", "[^:]*"), F.lit("(:.*)?$"))
 
 
 def readable_rows(df: DataFrame, path: str, held: Sequence[str], root: str = "Bucket", action: str = "read") -> DataFrame:
@@ -36,29 +43,21 @@ def readable_rows(df: DataFrame, path: str, held: Sequence[str], root: str = "Bu
 
 
 def authorized(df: DataFrame, permissions: Column, grants: DataFrame, principal: str) -> DataFrame:
-    """Rows any of whose permission strings is granted to the principal by the table ``grants(principal, permission)``.
+    """Rows whose permission string the table ``grants(principal, permission)`` gives the principal.
 
-    Wildcards are ends: a grant ``a:b:*`` covers everything below ``a:b``. Each row's permission is expanded to the few grants
-    that would cover it, and the join is an equi semi join.
+    The distinct strings are matched, not the rows. A grant can only cover strings that start with its parts before the first
+    wildcard, so the match is an equi-join on that start (a string has as many starts as parts), followed by the exact test.
     """
-    held = grants.filter(F.col("principal") == principal).select(F.col("permission").alias("__held")).distinct()
-    # the distinct permission strings are expanded and matched, not the rows
+    start = F.regexp_replace(F.regexp_extract("permission", r"^((?:[^:*,]+(?::|$))*)", 1), ":$", "")
+    held = grants.filter(F.col("principal") == principal).select(start.alias("__start"), _permission_regex_column(F.col("permission")).alias("__regex"))
     texts = df.select(permissions.alias("__text")).distinct()
-    covers = texts.select("__text", F.explode(covering_grants(F.col("__text"))).alias("__held"))
-    allowed = covers.join(held, "__held", "left_semi").select("__text").distinct()
+    parts = F.split("__text", ":")
+    starts = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda depth: F.array_join(F.slice(parts, 1, depth), ":"))
+    candidates = texts.select("__text", F.explode(starts).alias("__start")).join(held.distinct(), "__start")
+    allowed = candidates.filter(F.expr("__text RLIKE __regex")).select("__text").distinct()
     return df.join(allowed, permissions == F.col("__text"), "left_semi")
 
 
-def covering_grants(permission_text: Column) -> Column:
-    """The grants that would cover a permission: itself, and every cut of it ending in ``*``."""
-    parts = F.split(permission_text, ":")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda depth: F.concat(F.array_join(F.slice(parts, 1, depth), ":"), F.lit(":*")),
-    )
-    return F.concat(F.array(permission_text, F.lit("*")), F.when(F.size(parts) > 1, cuts).otherwise(F.array().cast("array<string>")))
-
-
 def doc_level(df: DataFrame, auths: str, held: Sequence[str]) -> DataFrame:
     """Document rights: rows whose authorization set meets the held one; rows without a set are open."""
     mine = F.array(*[F.lit(text) for text in held]) if held else F.array().cast("array<string>")

@@ -190,7 +190,7 @@ class AddUp(GroupReducer):
 
 def _custom(spark, d, config):
     groups = dd.custom_groups(incoming(spark, d), stored(spark, d), config)
-    return dd.custom_reduce(groups, AddUp, REDUCED, MERGED)
+    return dd.custom_reduce(groups, AddUp, REDUCED, MERGED, columns=["_id", "amount", "__injected"])
 
 
 CUSTOM = """SELECT COALESCE(o._id, 'new-' || i.k) AS _id, i.k AS k, round(i.amount + COALESCE(o.amount, 0), 2) AS amount, i.n AS new_rows

@@ -144,11 +144,12 @@ class Widest(GroupReducer):
 
 @query(
     "g3_custom_merge",
-    f"WITH {ELEMENTS} SELECT name, type, strftime(created, '%Y-%m-%d') AS first, strftime(modified, '%Y-%m-%d') AS last, seen AS n FROM m WHERE seen > 1",
+    f"WITH {ELEMENTS} SELECT name, type, CAST(strftime(created, '%Y%m%d') AS BIGINT) AS first, CAST(strftime(modified, '%Y%m%d') AS BIGINT) AS last, seen AS n FROM m WHERE seen > 1",
 )
 def g3_custom_merge(spark, d):
-    elements = _vertices(spark, d).select("name", "type", F.date_format("time", "yyyy-MM-dd").alias("day"))
-    schema = "name string, type string, first string, last string, n bigint"
+    day = F.year("time") * 10000 + F.month("time") * 100 + F.dayofmonth("time")
+    elements = _vertices(spark, d).select("name", "type", day.cast("bigint").alias("day"))
+    schema = "name string, type string, first bigint, last bigint, n bigint"
     return graph.merge_custom(elements, Widest, schema, schema, finalize_all=False)
 
 
