@@ -62,7 +62,7 @@ def _sliced_orders(spark, d) -> Bucket:
 )
 def s4_sliced_scan(spark, d):
     scan = Input("orders", _sliced_orders(spark, d), time_min="3 years", time_max="1 year")
-    return readers.scan_input(spark, scan, NOW).groupBy(F.col("__slice").cast("string").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    return readers.scan_input(spark, scan, NOW).groupBy(F.col("__slice").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s4_sliced_scan_exact", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-06-01' AND TIMESTAMP '2000-06-01'")

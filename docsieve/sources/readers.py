@@ -43,7 +43,13 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None, options:
 def scan_stage(spark: SparkSession, bucket: Bucket, stage: str = "processed", job: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """All data of a bucket's stage. The slice column appears when the stage is partitioned by it."""
     fmt = "json" if stage == "json" else "text" if stage == "raw" else bucket.format
-    return _reader(spark, fmt, schema, {}).load(current_folder(spark, bucket.stage(stage, job)))
+    folder = current_folder(spark, bucket.stage(stage, job))
+    df = _reader(spark, fmt, schema, {}).load(folder)
+    if timeslice.SLICE in df.columns and not isinstance(df.schema[timeslice.SLICE].dataType, T.StringType):
+        # folder names such as 2024.10 look like numbers; as numbers they would neither compare nor print right
+        named = [T.StructField(f.name, T.StringType() if f.name == timeslice.SLICE else f.dataType) for f in df.schema.fields]
+        df = _reader(spark, fmt, T.StructType(named), {}).load(folder)
+    return df
 
 
 def scan_ready(spark: SparkSession, bucket: Bucket, fmt: str = "json", schema: T.StructType | None = None) -> DataFrame:
