@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions import globs
+from docsieve.functions.timefn import let
 from docsieve.operators.ordered import first_rows
 from docsieve.operators.query import Query
 
@@ -52,22 +53,44 @@ def first_hit(union: DataFrame, keys: Sequence[str], tie: Sequence[str] = ()) ->
     return first_rows(union, list(keys), [F.col(BUCKET).asc(), *[F.col(name).asc() for name in tie]])
 
 
-def path_prefixes(path: Column) -> Column:
-    """Every directory prefix of a path (ending in ``/``) and the path itself."""
-    parts = F.split(path, "/")
-    cut = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda depth: F.concat(F.array_join(F.slice(parts, 1, depth), "/"), F.lit("/")))
-    return F.when(F.size(parts) > 1, F.array_append(cut, path)).otherwise(F.array(F.lit(""), path))
+_WILD = r"[?*\[{]"
 
 
-def glob_anchor(pattern: str) -> str:
-    """The directory a pattern's matches must lie in: its literal prefix up to the last ``/``; a literal pattern is itself."""
-    prefix = globs.literal_prefix(pattern)
-    return prefix if prefix == pattern else prefix[: prefix.rfind("/") + 1]
+def path_anchors(path: Column) -> Column:
+    """Everything a pattern may be anchored at that this path offers: itself, its directories, its parts by position."""
 
+    def offered(parts: Column) -> Column:
+        depths = F.sequence(F.lit(1), F.size(parts))
+        folders = F.transform(depths, lambda depth: F.concat(F.array_join(F.slice(parts, 1, depth - 1), "/"), F.when(depth > 1, "/").otherwise("")))
+        places = F.transform(depths, lambda depth: F.concat(F.lit("#"), depth.cast("string"), F.lit(":"), F.get(parts, depth - 1)))
+        return F.array_append(F.concat(folders, places), path)
 
-def glob_anchor_column(pattern: Column) -> Column:
-    prefix = F.regexp_replace(pattern, r"(?s)[?*\[{].*$", "")
-    return F.when(prefix == pattern, pattern).otherwise(F.regexp_extract(prefix, r"^(.*/)?", 0))
+    return F.array_distinct(let(F.split(path, "/"), offered))
+
+
+def glob_anchor(pattern: Column) -> Column:
+    """What every match of a pattern must offer.
+
+    A literal pattern is itself; else its literal directory, if it names one; else its first literal part before any ``**``, by
+    position (``/*/fr/*`` gives part 3 ``fr``); else nothing but the root.
+    """
+
+    def choose(parts: Column) -> Column:
+        positions = F.sequence(F.lit(1), F.size(parts))
+        deep = F.array_position(F.transform(parts, lambda part: part.contains("**")), True)
+        literal = F.filter(
+            positions,
+            lambda at: F.get(parts, at - 1).rlike("^[^?*\\[{]+$") & ((deep == 0) | (at < deep)),
+        )
+        first = F.get(literal, F.lit(0))
+        return F.when(first.isNotNull(), F.concat(F.lit("#"), first.cast("string"), F.lit(":"), F.get(parts, first - 1)))
+
+    folder = F.regexp_extract(F.regexp_replace(pattern, f"(?s){_WILD}.*$", ""), r"^(.*/)?", 0)
+    return (
+        F.when(~pattern.rlike(_WILD), pattern)
+        .when(F.length(folder) > 1, folder)
+        .otherwise(F.coalesce(let(F.split(pattern, "/"), choose), folder))
+    )
 
 
 def path_glob_regex_column(pattern: Column) -> Column:
@@ -81,11 +104,11 @@ def path_glob_regex_column(pattern: Column) -> Column:
 def glob_join(paths: DataFrame, path: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """All (path row, pattern row) pairs that match.
 
-    A path glob can only match below its literal directory, so the join is an equi-join on that directory (a path has as many
-    as it is deep), followed by the exact test. No pair is formed that does not share the directory.
+    The join is an equi-join on the anchor of the pattern, followed by the exact test, so a path only meets the patterns that
+    share a directory or a part with it. Patterns without any literal part (``/**``) meet every path, as they must.
     """
-    left = paths.withColumn("__anchor", F.explode(F.array_distinct(path_prefixes(F.col(path)))))
-    right = patterns.withColumns({"__want": glob_anchor_column(F.col(pattern)), "__regex": path_glob_regex_column(F.col(pattern))})
+    left = paths.withColumn("__anchor", F.explode(path_anchors(F.col(path))))
+    right = patterns.withColumns({"__want": glob_anchor(F.col(pattern)), "__regex": path_glob_regex_column(F.col(pattern))})
     joined = left.join(right, F.col("__anchor") == F.col("__want"))
     exact = (F.col(path) == F.col(pattern)) | F.expr(f"`{path}` RLIKE __regex")
     return joined.filter(exact).drop("__anchor", "__want", "__regex")

@@ -24,6 +24,7 @@ from docsieve.functions import globs, paths
 from docsieve.functions.timefn import flexible_timestamp
 from docsieve.operators.grouped import GroupReducer, grouped_apply, reduce_groups
 from docsieve.operators.ordered import bounded_broadcast, first_rows
+from docsieve.operators.query import include_fields
 
 _KEY_NAME = re.compile(r"k\d+")
 POLICIES = ("leave", "update", "overwrite", "custom", "custom_update")
@@ -99,6 +100,25 @@ def lookup_scope(stored: DataFrame, config: DedupConfig) -> DataFrame:
     return stored.filter(globs.matches_path(F.col(config.bucket_column), list(config.contexts)))
 
 
+def lookup_fields(config: DedupConfig) -> list[str] | None:
+    """Stored fields a policy reads: id and keys, with the time where times are compared; None means all of them."""
+    config = config.resolved()
+    if config.policy in ("custom", "custom_update"):
+        return None
+    timed = [config.timestamp] if config.policy == "update" else []
+    return list(dict.fromkeys([config.id_column, *timed, *config.fields]))
+
+
+def lookup(incoming: DataFrame, stored: DataFrame, config: DedupConfig, small_batch: bool = False) -> DataFrame:
+    """Stored rows in scope whose key occurs in the batch, with the fields the policy reads."""
+    config = config.resolved()
+    scope = keyed(lookup_scope(stored, config), config.fields)
+    keys = keyed(incoming, config.fields).select("__key").distinct()
+    found = scope.join(bounded_broadcast(keys) if small_batch else keys, "__key", "left_semi").drop("__key")
+    fields = lookup_fields(config)
+    return found if fields is None else include_fields(found, fields)
+
+
 def _timestamp(df: DataFrame, path: str) -> Column:
     found = paths.locate(df.schema, path)
     return F.lit(None).cast("timestamp_ntz") if found is None else flexible_timestamp(found[0], found[1].simpleString())

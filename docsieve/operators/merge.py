@@ -45,26 +45,29 @@ def merge(df: DataFrame, keys: Sequence[str], merges: Mapping[str, Column]) -> D
     return df.groupBy(*keys).agg(*[column.alias(name) for name, column in merges.items()])
 
 
-def merge_append(df: DataFrame, keys: Sequence[str], message: str, order: Sequence[str], out: str = "message", pieces: int = 64) -> DataFrame:
+def merge_append(
+    df: DataFrame,
+    keys: Sequence[str],
+    message: str,
+    order: Sequence[str],
+    out: str = "message",
+    hot_rows: int = HOT_ROWS,
+    chunks: int | None = None,
+) -> DataFrame:
     """Messages of a key joined by blanks, newest first.
 
-    The merged text is by definition as long as its key's messages; it is built from sorted pieces so that no task sorts a
-    whole key: rows are collected per (key, piece of the order range) first.
+    The merged text is by definition as long as the key's messages. The messages of a hot key are sorted and joined in chunks of
+    consecutive rows first; only the joined pieces meet.
     """
-    first = order[0]
-    window = df.groupBy(*keys).agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"))
-    kind = dict(df.dtypes)[first]
-    at = (lambda column: millis(column).cast("double")) if kind.startswith("timestamp") else (lambda column: column.cast("double"))
-    ranged = df.join(window, list(keys))
-    width = F.greatest((at(F.col("__hi")) - at(F.col("__lo"))) / F.lit(pieces), F.lit(1e-9))
-    piece = F.least(F.floor((at(F.col(first)) - at(F.col("__lo"))) / width), F.lit(pieces - 1))
+    names = list(keys)
+    hot = find_hot_keys(df, names, order[0], hot_rows, chunks)
     newest_first = F.reverse(F.array_sort(F.collect_list(F.struct(*order, F.col(message).alias("__m")))))
-    parts = (
-        ranged.groupBy(*keys, piece.alias("__piece"))
-        .agg(F.concat_ws(" ", F.transform(newest_first, lambda row: row["__m"])).alias("__text"))
-    )
-    joined = F.reverse(F.array_sort(F.collect_list(F.struct("__piece", "__text"))))
-    return parts.groupBy(*keys).agg(F.concat_ws(" ", F.transform(joined, lambda part: part["__text"])).alias(out))
+    text = F.concat_ws(" ", F.transform(newest_first, lambda row: row["__m"]))
+    if not hot.any or not hot.bounds:
+        return df.groupBy(*names).agg(text.alias(out))
+    pieces = with_chunk(df, names, order[0], hot).groupBy(*names, "__chunk").agg(text.alias("__text"))
+    joined = F.reverse(F.array_sort(F.collect_list(F.struct("__chunk", "__text"))))
+    return pieces.groupBy(*names).agg(F.concat_ws(" ", F.transform(joined, lambda piece: piece["__text"])).alias(out))
 
 
 def merge_overlay(df: DataFrame, keys: Sequence[str], details: str, order: Sequence[str], out: str = "details") -> DataFrame:

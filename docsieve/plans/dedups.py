@@ -73,6 +73,16 @@ def d2_keep_last_many(spark, d):
     return dd.keep_last(incoming(spark, d), ["k"], ARRIVAL).select("_id", "k", "amount")
 
 
+@query("d3_lookup", "SELECT 'o-' || o_orderkey AS _id, o_orderkey AS k, o_totalprice AS amount FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def d3_lookup(spark, d):
+    return dd.lookup(incoming(spark, d), stored(spark, d), _config("custom")).select("_id", "k", "amount")
+
+
+@query("p3_minimal_projection", "SELECT 'o-' || o_orderkey AS _id, o_orderkey AS k FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def p3_minimal_projection(spark, d):
+    return dd.lookup(incoming(spark, d), stored(spark, d), _config("leave", contexts=("/orders/P",)))
+
+
 @query("d4_leave", f"WITH {INCOMING} SELECT _id, k, amount FROM last WHERE k NOT IN (SELECT k FROM old WHERE bucket = '/orders/F')")
 def d4_leave(spark, d):
     return dd.dedup(incoming(spark, d), stored(spark, d), _config("leave", contexts=("/orders/F",))).emit.select("_id", "k", "amount")

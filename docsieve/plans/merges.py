@@ -72,6 +72,30 @@ def a11_chain(spark, d):
     return merged.withColumn("merge_sum", F.round("merge_sum", 2))
 
 
+@query("a7_merge_count", "SELECT user_id, event_type, count(*) AS merge_count FROM events GROUP BY user_id, event_type")
+def a7_merge_count(spark, d):
+    return mg.merge(events(spark, d, "user_id", "event_type"), ["user_id", "event_type"], {"merge_count": mg.merge_count()})
+
+
+@query("a8_merge_sum", "SELECT user_id, round(sum(CASE WHEN event_type = 'error' THEN 0 ELSE value END), 2) AS lost FROM events GROUP BY user_id")
+def a8_merge_sum(spark, d):
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    merged = mg.merge(events(spark, d, "user_id", "event_type", "value"), ["user_id"], {"lost": mg.merge_sum(value)})
+    return merged.withColumn("lost", F.round("lost", 2))
+
+
+@query("a9_min_max", "SELECT l_suppkey, min(l_extendedprice) AS merge_min, max(l_extendedprice) AS merge_max FROM lineitem GROUP BY l_suppkey")
+def a9_min_max(spark, d):
+    price = F.col("l_extendedprice")
+    return mg.merge(table(spark, d, "lineitem"), ["l_suppkey"], {"merge_min": mg.merge_min(price), "merge_max": mg.merge_max(price)})
+
+
+@query("a13_objects_per_bucket", "SELECT '/docs/' || lang || '/' || source AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def a13_objects_per_bucket(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("/docs/"), "lang", F.lit("/"), "source").alias(buckets.BUCKET))
+    return buckets.count_across(docs).withColumnRenamed(buckets.BUCKET, "bucket")
+
+
 @query(
     "a10_overlay",
     """WITH e AS (SELECT user_id, ts, event_id, event_type AS member, value FROM events

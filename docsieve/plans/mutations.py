@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docsieve.functions.text import tokens
 from docsieve.operators import diff, update as up
 from docsieve.operators.query import all_of, any_of
 from docsieve.operators.update import Update
@@ -66,13 +67,14 @@ def m6_remove(spark, d):
 
 @query(
     "m6_remove_by_query",
-    """SELECT conv_id, count(*) FILTER (WHERE NOT (role = 'user' AND length(text) > 100)) AS kept FROM conversations GROUP BY conv_id""",
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+        SELECT doc_id, CAST(len(list_filter(w, lambda x: NOT (length(x) > 8 OR x = 'the'))) AS BIGINT) AS kept FROM t""",
 )
 def m6_remove_by_query(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", F.struct("role", F.length("text").alias("size")).alias("turn"))
-    talks = turns.groupBy("conv_id").agg(F.collect_list("turn").alias("turns"))
-    out = Update().remove("turns", all_of().when("role", "user").range_above("size", 100, True)).apply(talks)
-    return out.select("conv_id", F.size("turns").cast("bigint").alias("kept"))
+    words = F.transform(tokens(F.col("text")), lambda word: F.struct(word.alias("word"), F.length(word).alias("size")))
+    docs = table(spark, d, "documents").select("doc_id", words.alias("words"))
+    out = Update().remove("words", any_of().range_above("size", 8, True).when("word", "the")).apply(docs)
+    return out.select("doc_id", F.size("words").cast("bigint").alias("kept"))
 
 
 @query(

@@ -34,6 +34,18 @@ def s1_stage_scan(spark, d):
     return stored.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("u1_bucket_set_scan", "SELECT '/set/' || p AS bucket, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT 'a' AS p, o_totalprice FROM orders UNION ALL SELECT 'b', s_acctbal FROM supplier) GROUP BY p")
+def u1_bucket_set_scan(spark, d):
+    root = work_folder(spark, "set")
+    stored = [Bucket("/set/a", root), Bucket("/set/b", root), Bucket("/other/c", root)]
+    writers.write_stage(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), stored[0], "processed")
+    supplier = table(spark, d, "supplier").select(F.col("s_acctbal").alias("o_totalprice"), "s_name")
+    writers.write_stage(supplier, stored[1], "processed", preserve_existing=False)
+    writers.write_stage(supplier, stored[2], "processed")
+    found = readers.scan_bucket_set(spark, stored, ["/set/*"])
+    return found.groupBy(F.col("__bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("s2_import_folder", "SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY event_type")
 def s2_import_folder(spark, d):
     bucket = _bucket(spark, "events")

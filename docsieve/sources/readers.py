@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from docsieve.operators import timeslice
+from docsieve.operators.buckets import BUCKET, matching_buckets
 from docsieve.operators.grouped import tag_inputs
 from docsieve.operators.query import Query
 from docsieve.sources.layout import Bucket, list_folders
@@ -52,6 +54,28 @@ def scan_stage(spark: SparkSession, bucket: Bucket, stage: str = "processed", jo
     return df
 
 
+def scan_bucket_set(
+    spark: SparkSession, buckets: Sequence[Bucket], patterns: Sequence[str], stage: str = "processed", schema: T.StructType | None = None
+) -> DataFrame:
+    """All buckets the patterns match as one scan with ``__bucket``: one plan node however many buckets there are.
+
+    Needs one format and root; columns a bucket does not have are null. Buckets of different formats go through ``union_buckets``.
+    """
+    wanted = set(matching_buckets([bucket.full_name for bucket in buckets], patterns))
+    chosen = [bucket for bucket in buckets if bucket.full_name in wanted]
+    if not chosen:
+        raise LookupError(f"no bucket matches {list(patterns)}")
+    if len({(bucket.root, bucket.format) for bucket in chosen}) > 1:
+        raise ValueError("buckets of one set share root and format")
+    first = chosen[0]
+    options = {"mergeSchema": "true", "recursiveFileLookup": "true"} if schema is None else {"recursiveFileLookup": "true"}
+    folders = [current_folder(spark, bucket.stage(stage)) for bucket in chosen]
+    reader = _reader(spark, first.format, schema, options)
+    root = re.escape(first.root.rstrip("/"))
+    name = F.regexp_extract(F.col("_metadata.file_path"), f"{root}(/.*?)/stored/{stage}/", 1)
+    return reader.load(folders).withColumn(BUCKET, name)
+
+
 def scan_ready(spark: SparkSession, bucket: Bucket, fmt: str = "json", schema: T.StructType | None = None) -> DataFrame:
     """Files dropped for import."""
     return _reader(spark, fmt, schema, {"recursiveFileLookup": "true"}).load(bucket.ready)

@@ -15,7 +15,8 @@ from docsieve.sources.versioned import current_folder
 def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: deduplicate against the folder's current version and switch to a new one.
 
-    The version is named after the batch, so a batch that is run again after a failure finds itself done and does nothing.
+    The version is named after the batch, so a batch that is run again after a failure finds itself done and does nothing. Plain
+    files have no row-level merge: every batch rewrites the stage. For a large store use ``dedup_into_table``.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
@@ -28,7 +29,7 @@ def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callab
             stored = df.limit(0)
         else:
             stored = spark.read.format(fmt).load(current_folder(spark, folder))
-        result = dedup(df, stored, config)
+        result = dedup(df, stored, config, small_batch=True)
         kept = stored.join(result.delete.select(config.id_column), config.id_column, "left_anti")
         # an interrupted attempt may have left part of this version: overwrite it
         upsert(kept, result.emit, config.id_column).write.mode("overwrite").format(fmt).save(f"{folder}/versions/{version}")
@@ -42,7 +43,7 @@ def dedup_into_table(table: str, config: DedupConfig) -> Callable[[DataFrame, in
 
     def handle(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        result = dedup(df, spark.table(table), config)
+        result = dedup(df, spark.table(table), config, small_batch=True)
         id_column = config.id_column
         source = result.emit.alias("s")
         (

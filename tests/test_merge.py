@@ -60,10 +60,12 @@ def test_append_of_long_and_short_ranges(spark):
     rng = random.Random(3)
     rows = [(key, rng.random() * 10**rng.randint(0, 6), seq) for key in range(5) for seq in range(rng.choice([1, 2, 300]))]
     df = spark.createDataFrame([(key, at, seq, f"m{seq}") for key, at, seq in rows], "key int, at double, seq int, m string")
-    got = {row["key"]: row["m"] for row in mg.merge_append(df, ["key"], "m", ["at", "seq"], out="m").collect()}
-    for key in {row[0] for row in rows}:
-        ordered = sorted(((at, seq) for k, at, seq in rows if k == key), reverse=True)
-        assert got[key] == " ".join(f"m{seq}" for _, seq in ordered)
+    for hot_rows in (10**9, 100):
+        merged = mg.merge_append(df, ["key"], "m", ["at", "seq"], out="m", hot_rows=hot_rows, chunks=6)
+        got = {row["key"]: row["m"] for row in merged.collect()}
+        for key in {row[0] for row in rows}:
+            ordered = sorted(((at, seq) for k, at, seq in rows if k == key), reverse=True)
+            assert got[key] == " ".join(f"m{seq}" for _, seq in ordered)
 
 
 def test_overlay(spark):

@@ -28,7 +28,7 @@ def test_path_globs(spark):
 
 def test_glob_join_agrees_with_the_filter(spark):
     paths_df = names(spark, HITS + MISSES + ["/wildcard_case/a.b", "relative", "/x"])
-    patterns = names(spark, PATTERNS + ["/**", "/?", "rel*"], "pattern")
+    patterns = names(spark, PATTERNS + ["/**", "/?", "rel*", "/*/suffix", "/*/*/case", "/**/nested2", "*", "/*/a.?"], "pattern")
     found = {tuple(row) for row in buckets.glob_join(paths_df, "path", patterns, "pattern").collect()}
     import re
 

@@ -61,6 +61,30 @@ def test_dated_folders(spark, tmp_path):
         readers.scan_dated_folders(spark, f"{tmp_path}/none", None, None)
 
 
+def test_file_records(spark, tmp_path):
+    for name, text in (("a.txt", "one"), ("b.bin", "twelve bytes"), ("sub/c.txt", "")):
+        path = tmp_path / "files" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    folder = str(tmp_path / "files")
+    assert readers.count_files(spark, folder).first()["n"] == 3
+    records = readers.scan_binary(spark, folder, "*.txt")
+    assert sorted((row["path"].rsplit("/", 1)[-1], bytes(row["content"])) for row in records.collect()) == [("a.txt", b"one"), ("c.txt", b"")]
+    assert readers.scan_binary(spark, folder, with_content=False).columns == ["path", "length", "modificationTime"]
+
+
+def test_timed_batches(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = readers.stream_folder(spark, f"{tmp_path}/in", spark.range(1).schema, max_files=1)
+    seen = []
+    query = batches.run_batches(stream, lambda frame, batch_id: seen.append((batch_id, frame.count())), f"{tmp_path}/checkpoint", every="100 milliseconds", name="timed")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [batch_id for batch_id, _ in seen] == [0, 1, 2] and sum(count for _, count in seen) == 6
+
+
 def test_replace_is_a_switch(spark, tmp_path, rows):
     folder = f"{tmp_path}/data"
     versioned.replace_folder(rows, folder)
