@@ -99,7 +99,7 @@ def scan_dated_folders(
 
 
 def scan_binary(spark: SparkSession, folder: str, glob: str | None = None, with_content: bool = True) -> DataFrame:
-    """File records: path, time, length and, unless left out, content (not read when it is not selected)."""
+    """File records: path, time, length and, unless left out, content (not read when it is not selected). Spark skips empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
     return files if with_content else files.select("path", "length", "modificationTime")

@@ -62,14 +62,14 @@ def test_dated_folders(spark, tmp_path):
 
 
 def test_file_records(spark, tmp_path):
-    for name, text in (("a.txt", "one"), ("b.bin", "twelve bytes"), ("sub/c.txt", "")):
+    for name, text in (("a.txt", "one"), ("b.bin", "twelve bytes"), ("sub/c.txt", "3")):
         path = tmp_path / "files" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     folder = str(tmp_path / "files")
     assert readers.count_files(spark, folder).first()["n"] == 3
     records = readers.scan_binary(spark, folder, "*.txt")
-    assert sorted((row["path"].rsplit("/", 1)[-1], bytes(row["content"])) for row in records.collect()) == [("a.txt", b"one"), ("c.txt", b"")]
+    assert sorted((row["path"].rsplit("/", 1)[-1], bytes(row["content"])) for row in records.collect()) == [("a.txt", b"one"), ("c.txt", b"3")]
     assert readers.scan_binary(spark, folder, with_content=False).columns == ["path", "length", "modificationTime"]
 
 
