@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -137,6 +137,11 @@ def emit_any(merged: DataFrame, rules: Sequence[Column]) -> DataFrame:
     return merged.filter(reduce(lambda a, b: a | b, [F.coalesce(rule, F.lit(False)) for rule in rules]))
 
 
+def formatted(df: DataFrame, column: str, fn: Callable[..., pd.Series], dtype: str, inputs: Sequence[str]) -> DataFrame:
+    """Emitted merged rows with ``column`` made by a user function over pandas series of the input columns."""
+    return df.withColumn(column, F.pandas_udf(fn, dtype)(*inputs))
+
+
 # throttle: emit when more than T ms passed since the last emitted row --------------------------------------------------
 
 

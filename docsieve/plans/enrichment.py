@@ -12,12 +12,18 @@ from docsieve.operators.grouped import tag_inputs
 PREVIOUS = "$previous"
 INPUTS = "$inputs"
 
-Transform = Callable[[DataFrame], DataFrame]
+DYNAMIC = "?"
+
+Transform = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
 class Step:
-    """A named transformation. ``dependencies`` default to the step before; several are united with ``__input``."""
+    """A named transformation. ``dependencies`` default to the step before; several are united with ``__input``.
+
+    With ``grouping_fields`` the transformation is called as ``transform(df, fields)``; ``("?",)`` stands for the group the step
+    before assigned (``__group``).
+    """
 
     name: str
     transform: Transform
@@ -51,7 +57,8 @@ def run_steps(inputs: Mapping[str, DataFrame], steps: Sequence[Step]) -> dict[st
     outputs: dict[str, DataFrame] = {INPUTS: source}
     for name, (step, needs) in resolved.items():
         given = outputs[needs[0]] if len(needs) == 1 else tag_inputs({need: outputs[need] for need in needs})
-        outputs[name] = step.transform(given)
+        fields = ["__group" if item == DYNAMIC else item for item in step.grouping_fields]
+        outputs[name] = step.transform(given, fields) if fields else step.transform(given)
     return {name: df for name, df in outputs.items() if name != INPUTS}
 
 

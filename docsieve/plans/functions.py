@@ -71,16 +71,23 @@ def f2_streamed_groups(spark, d):
     return grouped.grouped_apply(events, ["event_type"], _spread, "event_type string, low double, high double, n bigint")
 
 
+def _assign(df):
+    return grouped.dynamic_groups(df, F.when(F.col("event_type") != "error", F.dayofmonth("ts").cast("bigint")))
+
+
+def _profile(df, fields):
+    rows = df.select(F.col(fields[0]).alias("k"), "event_type", "value")
+    return grouped.reduce_groups(rows, ["k"], Profile, PROFILE, PROFILE)
+
+
 @query(
     "f3_dynamic_groups",
     """SELECT day(ts)::BIGINT AS k, count(*) AS n, max(value) AS top, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view
        FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING count(*) > 1""",
 )
 def f3_dynamic_groups(spark, d):
-    events = table(spark, d, "events")
-    assigned = grouped.dynamic_groups(events, F.when(F.col("event_type") != "error", F.dayofmonth("ts").cast("bigint")))
-    rows = assigned.select(F.col("__group").alias("k"), "event_type", "value")
-    return grouped.reduce_groups(rows, ["k"], Profile, PROFILE, PROFILE)
+    steps = [Step("assigned", _assign), Step("profiled", _profile, grouping_fields=("?",))]
+    return run_steps({"events": table(spark, d, "events").select("ts", "event_type", "value")}, steps)["profiled"]
 
 
 class Lines(BatchModule):

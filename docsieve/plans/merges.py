@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docsieve.operators import buckets, diff, merge as mg, query as q
@@ -235,6 +236,10 @@ def w7_any_rule(spark, d):
     return mg.throttle(merged, ["user_id"], ORDER, 172_800_000, forced).select("event_id")
 
 
+def _numbered(kind: pd.Series, count: pd.Series) -> pd.Series:
+    return kind + " #" + count.astype(str)
+
+
 @query(
     "w8_formatter",
     f"SELECT event_id, event_type || ' #' || c AS message FROM (SELECT event_id, event_type, count(*) OVER {RUN} AS c FROM events) WHERE c % 3 = 0",
@@ -242,4 +247,4 @@ def w7_any_rule(spark, d):
 def w8_formatter(spark, d):
     merged = mg.running_merge(events(spark, d, "user_id", "event_type", *ORDER), ["user_id"], ORDER)
     kept = mg.emit_any(merged, [mg.rule_every_nth(3)])
-    return kept.select("event_id", F.concat("event_type", F.lit(" #"), "merge_count").alias("message"))
+    return mg.formatted(kept, "message", _numbered, "string", ["event_type", "merge_count"]).select("event_id", "message")

@@ -89,6 +89,29 @@ def s6_binary_files(spark, d):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", (F.length("content") == F.col("length")).alias("whole"))
 
 
+@query("s7_file_listing", "SELECT strftime(o_orderdate, '%Y') AS slice, true AS has_files, true AS has_bytes FROM orders GROUP BY 1")
+def s7_file_listing(spark, d):
+    files = readers.scan_binary(spark, _sliced_orders(spark, d).stage(), "*.parquet", with_content=False)
+    slices = files.groupBy(F.regexp_extract("path", "__slice=([^/]+)/", 1).alias("slice"))
+    return slices.agg((F.count(F.lit(1)) > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
+
+
+@query("k4_batched_write", "SELECT count(*) AS n, true AS compressed, true AS capped FROM orders")
+def k4_batched_write(spark, d):
+    bucket = _bucket(spark, "batched")
+    settings = writers.WriteSettings(batch_max_objects=1000, target_write_concurrency=4, codec="gz")
+    writers.write_stage(table(spark, d, "orders"), bucket, "processed", settings=settings)
+    files = readers.scan_stage(spark, bucket).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").alias("n"), F.every(F.col("file").contains(".gz.")).alias("compressed"), (F.max("n") <= 1000).alias("capped"))
+
+
+@query("r1_stage_age_out", "SELECT strftime(o_orderdate, '%Y') AS slice, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
+def r1_stage_age_out(spark, d):
+    bucket = _sliced_orders(spark, d)
+    writers.age_out_stage(spark, bucket, "processed", "3 years", NOW)
+    return readers.scan_stage(spark, bucket).groupBy(F.col("__slice").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s10_service", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def s10_service(spark, d):
     return readers.scan_service(spark, "parquet", path=f"{d}/customer.parquet").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

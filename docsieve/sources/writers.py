@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from docsieve.operators import routing, timeslice
 from docsieve.operators.buckets import coerce
 from docsieve.operators.update import upsert
+from docsieve.sources import layout
 from docsieve.sources.layout import Bucket, exists
 from docsieve.sources.versioned import current_folder, has_version, replace_folder
 
@@ -92,6 +94,19 @@ def write_results(df: DataFrame, bucket: Bucket, dedup_configured: bool, delete_
     return "append"
 
 
+def age_out_stage(spark: SparkSession, bucket: Bucket, stage: str, max_age: str, now: dt.datetime) -> list[str]:
+    """Remove the slices of a stage that ended before the age limit; returns their folders. Each stage has its own limit."""
+    folders = layout.list_folders(spark, current_folder(spark, bucket.stage(stage)))
+    marked = [(folder, folder.rsplit(f"{timeslice.SLICE}=", 1)[1].replace("%3A", ":")) for folder in folders if f"{timeslice.SLICE}=" in folder]
+    if not marked:
+        return []
+    listing = spark.createDataFrame(marked, "folder string, path string")
+    expired = [row["folder"] for row in timeslice.expired_slices(listing, max_age, now).collect()]
+    for folder in expired:
+        layout.remove(spark, folder)
+    return expired
+
+
 def write_targets(external: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -> None:
     """Hand the rows of each known target to its writer; the target list is configuration, the rows are computed once."""
     source = external.persist()
