@@ -136,12 +136,12 @@ def sorted_groups(
 
 def each_group(frame: pd.DataFrame, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Groups of a frame sorted by key."""
-    starts = _starts(frame, list(keys))
+    starts = group_starts(frame, keys)
     for start, end in zip(starts, [*starts[1:], len(frame)]):
         yield frame.iloc[start:end]
 
 
-def _starts(frame: pd.DataFrame, names: list[str]) -> list[int]:
+def group_starts(frame: pd.DataFrame, names: Sequence[str]) -> list[int]:
     """Row numbers at which a new key starts."""
     new = np.zeros(len(frame), dtype=bool)
     new[:1] = True
@@ -160,10 +160,10 @@ def _whole_groups(frames: Frames, names: list[str], shrink: Callable[[pd.DataFra
         if not len(frame):
             continue
         joined = pd.concat([*waiting[-1:], frame.iloc[:1]], ignore_index=True) if waiting else frame
-        if waiting and len(_starts(joined.iloc[-2:], names)) == 2:
+        if waiting and len(group_starts(joined.iloc[-2:], names)) == 2:
             yield pd.concat(waiting, ignore_index=True)
             waiting = []
-        last = _starts(frame, names)[-1]
+        last = group_starts(frame, names)[-1]
         if last:
             yield pd.concat([*waiting, frame.iloc[:last]], ignore_index=True)
             waiting = []

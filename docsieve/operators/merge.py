@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docsieve.functions.timefn import millis
-from docsieve.operators.grouped import each_group, sorted_groups
+from docsieve.operators.grouped import each_group, group_starts, sorted_groups
 from docsieve.operators.ordered import HOT_ROWS, Running, find_hot_keys, running, with_chunk
 from docsieve.operators.query import outside_threshold
 
@@ -154,20 +154,6 @@ def _next_rows(at: np.ndarray, forced: np.ndarray, period: int) -> np.ndarray:
     return np.minimum(by_time, np.append(following[1:], count))
 
 
-def _emitted(at: np.ndarray, forced: np.ndarray, period: int, mark: int | None) -> list[int]:
-    """Indices of the emitted rows, given the mark left by earlier rows (None: nothing emitted yet)."""
-    following = _next_rows(at, forced, period)
-    index = 0
-    if mark is not None:
-        hits = np.flatnonzero(forced)
-        index = min(int(np.searchsorted(at, mark + period, side="right")), int(hits[0]) if len(hits) else len(at))
-    chain = []
-    while index < len(at):
-        chain.append(index)
-        index = int(following[index])
-    return chain
-
-
 def _exit_map(at: np.ndarray, forced: np.ndarray, period: int) -> tuple[list[int], list[int]]:
     """How a chunk maps the mark it inherits to the mark it leaves: ``exits[k]`` with k = thresholds at or below mark + period.
 
@@ -175,10 +161,11 @@ def _exit_map(at: np.ndarray, forced: np.ndarray, period: int) -> tuple[list[int
     One exit fewer than pieces means that in the last piece nothing is emitted and the mark passes through.
     """
     count = len(at)
-    following = _next_rows(at, forced, period)
-    last = np.empty(count, dtype=np.int64)
+    following = _next_rows(at, forced, period).tolist()
+    last = list(range(count))
     for index in range(count - 1, -1, -1):
-        last[index] = index if following[index] >= count else last[following[index]]
+        if following[index] < count:
+            last[index] = last[following[index]]
     hits = np.flatnonzero(forced)
     entries = int(hits[0]) + 1 if len(hits) else count
     starts = [0] + [index for index in range(1, entries) if last[index] != last[index - 1]]
@@ -229,11 +216,18 @@ def throttle(
         return ", ".join(f"`{name}` {types[name]}" for name in columns)
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for part in each_group(frame, group):
-            mark = part["__mark"].iloc[0]
-            kept.append(part.iloc[_emitted(*_arrays(part), period_ms, None if pd.isna(mark) else int(mark))])
-        return pd.concat(kept)[[*names, *order]]
+        starts = np.zeros(len(frame), dtype=bool)
+        starts[group_starts(frame, group)] = True
+        inherited = np.nan_to_num(frame["__mark"].to_numpy(np.float64), nan=-np.inf)
+        kept, mark = [], -np.inf
+        columns = (frame["__ms"].tolist(), frame["__forced"].tolist(), starts.tolist(), inherited.tolist())
+        for index, (moment, forced_here, start, before) in enumerate(zip(*columns)):
+            if start:
+                mark = before
+            if forced_here or moment - mark > period_ms:
+                kept.append(index)
+                mark = moment
+        return frame.iloc[kept][[*names, *order]]
 
     def summarize(frame: pd.DataFrame) -> pd.DataFrame:
         firsts, thresholds, exits = [], [], []
@@ -255,7 +249,7 @@ def throttle(
 
     if hot.any and hot.bounds:
         maps_schema = f"{ddl(*group)}, __thresholds array<bigint>, __exits array<bigint>"
-        maps = sorted_groups(rows, group, order, summarize, maps_schema)
+        maps = sorted_groups(hot.only(rows, names), group, order, summarize, maps_schema)
         marks = sorted_groups(maps, names, ["__chunk"], walk, f"{ddl(*group)}, __mark bigint")
         rows = _null_safe_join(rows, marks, group, "left")
     else:

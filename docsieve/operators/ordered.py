@@ -73,6 +73,10 @@ class HotKeys:
     def any(self) -> bool:
         return self.keys is not None
 
+    def only(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Rows of the heavy keys."""
+        return df.join(F.broadcast(self.keys), _null_safe(df, self.keys, list(names)), "left_semi")
+
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, chunks: int | None = None) -> HotKeys:
     """One counting pass with map-side combine, and, only when a heavy key exists, one quantile pass over heavy rows."""
@@ -86,8 +90,7 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int
     wanted = chunks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     count = min(wanted, MAX_CHUNKS)
     fractions = [index / count for index in range(1, count)]
-    hot = df.join(F.broadcast(table), _null_safe(df, table, names), "left_semi")
-    cut = hot.agg(F.percentile_approx(_sortable(df, order), fractions, 20 * count).alias("b")).first()["b"]
+    cut = HotKeys(table).only(df, names).agg(F.percentile_approx(_sortable(df, order), fractions, 20 * count).alias("b")).first()["b"]
     return HotKeys(table, tuple(sorted(set(cut or []))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -76,13 +77,26 @@ def compare(spark, connection, folder, name, builder, sql):
 
 def main():
     import __spark_entry__ as entry
+    from pyspark.sql import SparkSession
+
     from docsieve import tuned_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = tuned_session(
-        master="local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
-    )
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "8g",
+    }
+    if os.environ.get("CHECK_PLAIN"):
+        # Spark's own defaults and a zone with daylight saving: results must not depend on the library's session settings
+        builder = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/New_York")
+        for key, value in settings.items():
+            builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    else:
+        spark = tuned_session(master="local[8]", **{key.replace(".", "__"): value for key, value in settings.items()})
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
     sql = entry.oracle_sql()
