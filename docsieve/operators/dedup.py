@@ -302,12 +302,14 @@ def check_emissions(
     order: Sequence[str],
     id_column: str = "_id",
     group_column: str = "__key",
+    delete_unhandled: bool = False,
 ) -> DataFrame:
     """Emitted rows with ``__ok`` and ``__action`` (``write`` or ``delete``).
 
     ``emitted`` carries the key of the group it came from in ``group_column``; ``members`` has the stored ids of each group in
     ``(group_column, id_column)``. A row with nothing but an id asks for deletion. ``strict`` refuses a row whose id is not in
-    the group unless its own key differs; ``very_strict`` accepts one written row per group, and anything up to it.
+    the group unless its own key differs (with ``delete_unhandled`` an id counts once); ``very_strict`` accepts one written row per
+    group, and anything up to it.
     """
     payload = [name for name in emitted.columns if name not in (id_column, group_column, *order)]
     only_id = F.col(id_column).isNotNull()
@@ -316,19 +318,24 @@ def check_emissions(
     rows = emitted.withColumn("__action", F.when(only_id, "delete").otherwise("write"))
     if policy == "lax":
         return rows.withColumn("__ok", F.lit(True))
+    # minima per group stand in for windows: only the position of a first written row matters
+    position = F.struct(*order)
+    written = rows.filter(F.col("__action") == "write")
     if policy == "strict":
         ids = members.select(F.col(group_column).alias("__g"), F.col(id_column).alias("__i")).distinct().withColumn("__in", F.lit(True))
+        if delete_unhandled:
+            firsts = written.groupBy(F.col(group_column).alias("__g"), F.col(id_column).alias("__i")).agg(F.min(position).alias("__first"))
+            ids = ids.join(firsts, ["__g", "__i"], "left")
+        else:
+            ids = ids.withColumn("__first", F.lit(None))
         tagged = rows.withColumn("__own", own_key)
         joined = tagged.join(ids, (tagged[group_column] == F.col("__g")) & (tagged[id_column] == F.col("__i")), "left")
-        ok = F.col("__in").isNotNull() | ~F.col("__own").eqNullSafe(F.col(group_column))
-        return joined.withColumn("__ok", ok).drop("__g", "__i", "__in", "__own")
-    # one minimum per group instead of a window: only the position of the first written row matters
-    position = F.struct(*order)
-    first = (
-        rows.filter(F.col("__action") == "write")
-        .groupBy(F.col(group_column).alias("__g"))
-        .agg(F.min(position).alias("__first"))
-    )
+        known = F.col("__in").isNotNull()
+        if delete_unhandled:
+            known = known & (F.col("__first").isNull() | (position <= F.col("__first")))
+        ok = known | ~F.col("__own").eqNullSafe(F.col(group_column))
+        return joined.withColumn("__ok", ok).drop("__g", "__i", "__in", "__own", "__first")
+    first = written.groupBy(F.col(group_column).alias("__g")).agg(F.min(position).alias("__first"))
     joined = rows.join(first, rows[group_column] == F.col("__g"), "left")
     return joined.withColumn("__ok", F.col("__first").isNull() | (position <= F.col("__first"))).drop("__g", "__first")
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from docsieve.functions import globs
 from docsieve.operators.grouped import GroupReducer, reduce_groups
 
 # fixed values: default key of a vertex
@@ -83,7 +84,7 @@ def decompose(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFr
 def merge_elements(elements: DataFrame, keys: Sequence[str] = DEDUP_FIELDS, id_column: str = "id") -> DataFrame:
     """One element per key: first and last time, the distinct paths, newest properties, and an id derived from the key.
 
-    All aggregates combine map-side; properties merge per member before they are collected, so no group is held whole.
+    Paths are the buckets an element came from, so their set is small. All aggregates combine map-side; properties merge per member before they are collected, so no group is held whole.
     """
     names = list(keys)
     base = elements.groupBy(*names).agg(
@@ -100,6 +101,31 @@ def merge_elements(elements: DataFrame, keys: Sequence[str] = DEDUP_FIELDS, id_c
     return merged.withColumn(id_column, F.md5(F.to_json(F.struct(*names))))
 
 
+def merge_into_stored(
+    merged: DataFrame,
+    stored: DataFrame,
+    contexts: Sequence[str] = (),
+    keys: Sequence[str] = DEDUP_FIELDS,
+    id_column: str = "id",
+    bucket_column: str = "__bucket",
+) -> DataFrame:
+    """Merged elements with what is stored about them in the context buckets: a stored id and the wider time span win."""
+    names = list(keys)
+    scope = stored.filter(globs.matches_path(F.col(bucket_column), list(contexts))) if contexts else stored
+    known = scope.groupBy(*names).agg(
+        F.min(F.struct(bucket_column, id_column)).getField(id_column).alias("__id"),
+        F.min("created").alias("__created"),
+        F.max("modified").alias("__modified"),
+    )
+    return merged.join(known, names, "left").withColumns(
+        {
+            id_column: F.coalesce("__id", id_column),
+            "created": F.least("created", "__created"),
+            "modified": F.greatest("modified", "__modified"),
+        }
+    ).drop("__id", "__created", "__modified")
+
+
 def merge_custom(
     elements: DataFrame,
     reducer: type[GroupReducer],

@@ -9,7 +9,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from docsieve.functions import paths
 from docsieve.operators.query import Query, from_document
 
 

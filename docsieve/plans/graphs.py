@@ -132,6 +132,22 @@ def g2_vertex_merge(spark, d):
     return merged.select("name", "type", day("created"), day("modified"), "seen", F.array_join("paths", ",").alias("paths"))
 
 
+@query(
+    "g2_stored_merge",
+    f"""WITH {ELEMENTS} SELECT name, type, type = 'buyer' AS stored_id, CASE WHEN type = 'buyer' THEN '1990-01-01' ELSE strftime(created, '%Y-%m-%d') END AS created FROM m""",
+)
+def g2_stored_merge(spark, d):
+    merged = graph.merge_elements(_vertices(spark, d))
+    long_ago = F.lit("1990-01-01").cast("timestamp_ntz")
+    people = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("buyer").alias("type"))
+    places = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("type"))
+    stored = people.union(places).select(
+        "name", "type", F.concat(F.lit("s-"), "name").alias("id"), long_ago.alias("created"), long_ago.alias("modified"), F.concat(F.lit("/graph/"), "type").alias("__bucket")
+    )
+    both = graph.merge_into_stored(merged, stored, ["/graph/b*"])
+    return both.select("name", "type", F.col("id").startswith("s-").alias("stored_id"), F.date_format("created", "yyyy-MM-dd").alias("created"))
+
+
 class Widest(GroupReducer):
     """Keep the span and the number of elements of a key."""
 

@@ -153,6 +153,13 @@ def test_emission_policies(spark, index, policy):
     assert deleted(True) == ({"test2", "test3"} if policy == "very_strict" else {"delete_me", "test3"})
 
 
+def test_strict_counts_an_id_once_when_unhandled_ids_are_deleted(spark):
+    members = spark.createDataFrame([("g", "a"), ("g", "b")], "__key string, _id string")
+    emitted = spark.createDataFrame([("g", "a", "g", 1), ("g", "a", "g", 2), ("g", "a", "other", 3)], "__key string, _id string, k string, seq int")
+    check = lambda flag: [row["__ok"] for row in dd.check_emissions(emitted, members, F.col("k"), "strict", ["seq"], delete_unhandled=flag).orderBy("seq").collect()]
+    assert check(False) == [True, True, True] and check(True) == [True, False, True]
+
+
 class Count(GroupReducer):
     def reduce(self, rows):
         return self.merge(pd.DataFrame({"k0": rows["k0"], "n": 1}))
