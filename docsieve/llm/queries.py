@@ -59,3 +59,57 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from docsieve.llm.sharding import shards
 
     return shards(_table(spark, folder, "documents"), n_shards=8)
+
+
+# --- 3: benchmark decontamination
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+i AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM benchmark),
+iw AS (SELECT item, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s, w FROM i WHERE len(w) > 0),
+items AS (SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS p FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n),
+hits AS (SELECT doc_id, s, items.n, item FROM dw JOIN items ON dw.n = items.n AND array_to_string(w[s : s + dw.n - 1], ' ') = p),
+h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS word FROM hits) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@_query("op3_decontamination", _DECONTAMINATION_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.decontaminate import contamination, is_contaminated
+
+    found = contamination(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"), window=13)
+    found = found.select("doc_id", "contamination.n_words", "contamination.n_hit", "contamination.items")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+# --- 6: near duplicates
+
+_NEAR_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+
+@_query("op6_near_duplicates", _NEAR_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents"), words=4, percent=80)
