@@ -113,3 +113,35 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from docsieve.llm.near_dup import near_duplicates
 
     return near_duplicates(_table(spark, folder, "documents"), words=4, percent=80)
+
+
+# --- 8 and 10: tokenizers; their files are public ones installed beside the library
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op8_bpe_round_trip")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.bpe import decoded, encoded
+
+    path = _vocabulary("word_bpe_49k.json")
+    both = decoded(encoded(_table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op10_token_counts")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.token_counts import with_token_counts
+
+    counted = with_token_counts(_table(spark, folder, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
