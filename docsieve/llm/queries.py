@@ -145,3 +145,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     counted = with_token_counts(_table(spark, folder, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+# --- 2: near-duplicate vectors
+
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) >= 0.98 * a.n * b.n),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)"""
+
+
+@_query("op2_near_vectors", _VECTOR_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.vectors import linked_vectors
+
+    return linked_vectors(_table(spark, folder, "embeddings"), threshold=0.98)
