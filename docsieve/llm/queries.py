@@ -166,3 +166,25 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from docsieve.llm.vectors import linked_vectors
 
     return linked_vectors(_table(spark, folder, "embeddings"), threshold=0.98)
+
+
+# --- 5: WARC bundles
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS s FROM p),
+f AS (SELECT n, s, min(page_id) AS first FROM h GROUP BY 1, 2),
+d AS (SELECT h.*, first, list_transform(range(0, 8), lambda i: CAST('0x' || substr(s, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS q FROM h JOIN f USING (n, s))
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(q, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> k) % 32 + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM d"""
+
+
+@_query("op5_warc_bundles", _WARC_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.common import shared_folder
+    from docsieve.llm.warc import read_bundles, write_bundles
+
+    index = write_bundles(_table(spark, folder, "pages"), shared_folder(spark, "warc"), least=0)
+    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
