@@ -9,13 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docsieve.llm.common import LOWER_BYTES, saved
 from docsieve.llm.components import components
 
-K = 64
+#: Retained values of the first sketch, of every class, and of the second, of classes that have shared values in the first.
+K = 32
+K_LONG = 512
 #: Accepted chance that sampling hides one pair of exactly the least similarity. More similar pairs have a smaller one.
 MISS = 1e-12
+#: Ids up to this many, at about 24 bytes each, are sent to every task instead of moving the texts to the ids.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -93,27 +98,34 @@ def _least_shared(n: Column, k: int, percent: int) -> Column:
     return F.when(n <= k * percent // 100, ((whole - whole % 100) / 100).cast("int")).otherwise(F.lit(least_overlap(k, percent)))
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule them out and whose full sets are similar enough."""
-    a, b = (sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    estimated = pairs.join(a, "a").join(b, "b").withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})"))
-    estimated = estimated.withColumn("o", F.expr("size(array_intersect(array_intersect(sa, sb), u))"))
-    likely = F.when(F.size("u") < k, F.col("o") * 100 >= F.size("u") * percent).otherwise(F.col("o") >= least_overlap(k, percent))
+def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose union sketch does not rule them out and whose full sets are similar enough.
+
+    A set is kept in the order of its hashes, so its sketch is its beginning. The sketch of the union is the k least of both.
+    """
     a, b = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    checked = estimated.where(likely).select("a", "b").join(a, "a").join(b, "b").withColumn("o", F.expr("size(array_intersect(ha, hb))"))
-    return checked.where(F.col("o") * 100 >= (F.size("ha") + F.size("hb") - F.col("o")) * percent).select("a", "b")
+    met = pairs.join(b, "b").join(a, "a")
+    union = F.expr(f"slice(array_sort(array_union(slice(ha, 1, {k}), slice(hb, 1, {k}))), 1, {k})")
+    met = met.withColumn("u", F.when((F.size("ha") > k) | (F.size("hb") > k), union))
+    shared = F.expr(f"size(array_intersect(array_intersect(slice(ha, 1, {k}), slice(hb, 1, {k})), u))")
+    likely = F.col("u").isNull() | (shared >= least_overlap(k, percent))
+    exact = F.expr("size(array_intersect(ha, hb))")
+    return met.where(likely).withColumn("o", exact).where(F.col("o") * 100 >= (F.size("ha") + F.size("hb") - F.col("o")) * percent).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k: int = K, k_long: int = K_LONG, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked, directly or not, by a Jaccard similarity of at least ``percent``.
 
     1. Documents with equal shingle sets are one class, named by its smallest id. Copies go no further.
-    2. Each class retains the ``k`` smallest hashes of its shingles. Inverted lists of retained values held by several classes are
-       built; a class with fewer such values than a partner must share with it (``least_overlap``) leaves.
-    3. Each class is compared with one class of its lists, the smallest it meets most often. What is confirmed merges most copies.
-    4. Each class stays in the lists of its rarest values only: so many that two classes with enough in common meet in one. Lists
-       whose classes are all merged already are dropped; the others give the pairs across groups.
-    5. The union sketch of a pair filters, the full shingle sets confirm, and components join the links.
+    2. Each class retains the ``k`` smallest hashes of its shingles. Inverted lists count the classes of each retained value. A class
+       with fewer shared values than any partner must have in common with it (``least_overlap``) leaves.
+    3. The rest retains ``k_long`` values, which for most texts are all, and is listed again. Values of one class only bound what the
+       class can share; a class leaves if that is too little, and a list if no class in it is small enough to be a partner. It stays
+       in the lists of its rarest shared values only: so many that two classes with enough in common meet in one of them.
+    4. Each class is compared with the class of its lists that shares most of itself, which in a group of copies is what they were
+       made from. What is confirmed merges most of a group, and lists of one group only are dropped.
+    5. The other lists give the pairs across groups. The sketch of the union filters, the full shingle sets confirm, and components
+       join the links.
 
     No list, partner or candidate is capped. Sampling may hide a pair at exactly the least similarity with a chance of ``MISS``.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with one id count as one document. A null id
@@ -123,37 +135,46 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     sketched = rows.select("doc_id", _sketcher(words, k)(F.col("__text")).alias("s"))
     sketched = saved(sketched.select("doc_id", "s.n", "s.digest", "s.sketch", F.monotonically_increasing_id().alias("row")), "sketches")
     classes = saved(sketched.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")), "classes")
-    chosen = sketched.join(classes.select("row", "rep"), "row").select("rep", "n", "sketch")
-
-    # 2: lists of two classes or more, and the classes that keep enough values
-    postings = chosen.select("rep", "n", F.explode("sketch").alias("v"))
-    lists = postings.groupBy("v").agg(F.count("*").alias("df"), F.min("rep").alias("centre")).where("df > 1")
-    met = postings.join(lists, "v").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v", "centre")).alias("lists"))
-    least = _least_shared(F.col("n"), k, percent)
-    met = met.where(F.size("lists") >= least).withColumn("prefix", F.slice(F.array_sort("lists"), F.lit(1), F.size("lists") - least + 1))
-    met = saved(met.join(chosen.select("rep", "sketch"), "rep"), "candidates")
-    needed = rows.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    # 2
+    first = sketched.join(classes.select("row", "rep"), "row").select("rep", "n", F.explode("sketch").alias("v"))
+    lists = first.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    alive = first.join(lists, "v").groupBy("rep", "n").agg(F.count("*").alias("r")).where(F.col("r") >= _least_shared(F.col("n"), k, percent))
+    alive = saved(alive.select("rep").distinct(), "candidates")
+    ids = alive.select(F.col("rep").alias("doc_id"))
+    needed = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = needed.select(F.col("doc_id").alias("rep"), _full_sets(words)(F.col("__text")).alias("hashes"))
     sets = saved(sets.where(F.size("hashes") > 0), "sets")
-    sketches = met.select("rep", "sketch")
 
-    # 3: one comparison a class
-    centres = met.select("rep", F.explode("lists.centre").alias("centre")).where("rep <> centre").groupBy("rep", "centre").count()
-    first = centres.groupBy("rep").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("a")).select("a", F.col("rep").alias("b"))
-    merged = saved(_confirmed(first, sketches, sets, k, percent), "first-links")
+    # 3
+    second = sets.select("rep", F.size("hashes").alias("n"), F.explode(F.expr(f"slice(hashes, 1, {k_long})")).alias("v"))
+    lists = second.groupBy("v").agg(F.count("*").alias("df"), F.min("n").alias("smallest")).where("df > 1")
+    own = Window.partitionBy("rep")
+    ranked = second.join(lists, "v").withColumn("r", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "v")))
+    share = F.when(F.col("n") <= k_long, F.col("r")).otherwise(F.col("n"))
+    ranked = ranked.withColumn("share", share).where(F.col("r") >= _least_shared(F.col("n"), k_long, percent))
+    # a partner of n2 shingles needs an overlap of percent / (100 + percent) of n + n2, and share is the most there is
+    ranked = ranked.where((F.col("n") + F.col("smallest")) * percent <= F.col("share") * (100 + percent))
+    prefix = F.col("rank") <= F.col("r") - _least_shared(F.col("n"), k_long, percent) + 1
+    short = saved(ranked.where(prefix).select("rep", "n", "v", "share"), "prefixes")
+
+    # 4
+    standing = F.struct((F.col("share") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"))
+    centres = short.groupBy("v").agg(F.max_by(F.struct("rep", "n"), standing).alias("c")).select("v", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
+    tried = short.join(centres, "v").where(f"a <> rep and 100 * least(n, na) >= {percent} * greatest(n, na)")
+    tried = tried.groupBy("rep", "a").count().groupBy("rep").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    merged = saved(_confirmed(tried.select("a", F.col("rep").alias("b")), sets, k_long, percent), "first-links")
     group = components(merged)
 
-    # 4: pairs across groups
-    short = met.select("rep", "n", F.explode("prefix.v").alias("v")).join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    short = short.select("rep", "n", "v", F.coalesce("component", "rep").alias("g"))
-    mixed = short.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("v")
-    short = saved(short.join(mixed, "v"), "prefixes")
-    a, b = (short.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    close = f"a < b and ga <> gb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    pairs = a.join(b, "v").where(close).select("a", "b").distinct()
-    links = merged.unionByName(saved(_confirmed(pairs, sketches, sets, k, percent), "links"))
-
     # 5
+    grouped = short.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "v", "share", F.coalesce("component", "rep").alias("g"))
+    mixed = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("v")
+    grouped = saved(grouped.join(mixed, "v"), "mixed")
+    a, b = (grouped.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("share").alias(f"s{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(sa, sb) >= {percent} * (na + nb)"
+    pairs = a.join(b, "v").where(f"a < b and ga <> gb and {fits}").select("a", "b").distinct()
+    links = merged.unionByName(saved(_confirmed(pairs, sets, k_long, percent), "links"))
+
     joined = components(links).withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.join(named, ["n", "digest"], "left")
