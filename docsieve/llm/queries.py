@@ -188,3 +188,30 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
     index = write_bundles(_table(spark, folder, "pages"), shared_folder(spark, "warc"), least=0)
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --- 4: language
+
+
+@_query("op4_language")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.common import held_out
+    from docsieve.llm.language import learned_dictionaries, with_language
+
+    documents = _table(spark, folder, "documents")
+    told = with_language(documents.select("doc_id", "text"), learned_dictionaries(documents))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
+# --- 9: toxicity
+
+
+@_query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.common import held_out
+    from docsieve.llm.toxicity import is_toxic, trained, with_toxicity
+
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = with_toxicity(documents, trained(documents, _table(spark, folder, "labels")))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), is_toxic(score).cast("int").alias("predicted"))
