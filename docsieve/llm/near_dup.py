@@ -119,9 +119,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     1. Documents with equal shingle sets are one class, named by its smallest id. Copies go no further.
     2. Each class retains the ``k`` smallest hashes of its shingles. Inverted lists count the classes of each retained value. A class
        with fewer shared values than any partner must have in common with it (``least_overlap``) leaves.
-    3. The rest retains ``k_long`` values, which for most texts are all, and is listed again. Values of one class only bound what the
-       class can share; a class leaves if that is too little, and a list if no class in it is small enough to be a partner. It stays
-       in the lists of its rarest shared values only: so many that two classes with enough in common meet in one of them.
+    3. The rest retains ``k_long`` values, which for most texts are all, and is listed again. A class stays in the lists of its rarest
+       shared values only: so many that two classes with enough in common meet in one of them. It leaves a list too where what it has
+       left behind the list's value is too little to share with the smallest class there.
     4. Each class is compared with the class of its lists that shares most of itself, which in a group of copies is what they were
        made from. What is confirmed merges most of a group, and lists of one group only are dropped.
     5. The other lists give the pairs across groups. The sketch of the union filters, the full shingle sets confirm, and components
@@ -151,12 +151,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     lists = second.groupBy("v").agg(F.count("*").alias("df"), F.min("n").alias("smallest")).where("df > 1")
     own = Window.partitionBy("rep")
     ranked = second.join(lists, "v").withColumn("r", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "v")))
-    share = F.when(F.col("n") <= k_long, F.col("r")).otherwise(F.col("n"))
-    ranked = ranked.withColumn("share", share).where(F.col("r") >= _least_shared(F.col("n"), k_long, percent))
-    # a partner of n2 shingles needs an overlap of percent / (100 + percent) of n + n2, and share is the most there is
-    ranked = ranked.where((F.col("n") + F.col("smallest")) * percent <= F.col("share") * (100 + percent))
-    prefix = F.col("rank") <= F.col("r") - _least_shared(F.col("n"), k_long, percent) + 1
-    short = saved(ranked.where(prefix).select("rep", "n", "v", "share"), "prefixes")
+    least = _least_shared(F.col("n"), k_long, percent)
+    # Up to this size all partners' sketches are whole. If a pair first meets in this value, it has none of the rarer values in
+    # common; what is left from here on bounds the overlap, and a pair needs percent / (100 + percent) of both sizes.
+    whole = F.col("n") <= k_long * percent // 100
+    ranked = ranked.withColumn("rest", F.when(whole, F.col("r") - F.col("rank") + 1).otherwise(F.col("n")))
+    ranked = ranked.withColumn("share", F.when(whole, F.col("r")).otherwise(F.col("n")))
+    fitting = (F.col("n") + F.col("smallest")) * percent <= F.col("rest") * (100 + percent)
+    short = ranked.where((F.col("r") >= least) & (F.col("rank") <= F.col("r") - least + 1) & fitting)
+    short = saved(short.select("rep", "n", "v", "share", "rest"), "prefixes")
 
     # 4
     standing = F.struct((F.col("share") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"))
@@ -167,11 +170,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     group = components(merged)
 
     # 5
-    grouped = short.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "v", "share", F.coalesce("component", "rep").alias("g"))
+    grouped = short.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "v", "rest", F.coalesce("component", "rep").alias("g"))
     mixed = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("v")
     grouped = saved(grouped.join(mixed, "v"), "mixed")
-    a, b = (grouped.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("share").alias(f"s{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(sa, sb) >= {percent} * (na + nb)"
+    a, b = (grouped.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
     pairs = a.join(b, "v").where(f"a < b and ga <> gb and {fits}").select("a", "b").distinct()
     links = merged.unionByName(saved(_confirmed(pairs, sets, k_long, percent), "links"))
 
