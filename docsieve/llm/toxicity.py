@@ -204,7 +204,8 @@ def trained(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     voters = mined[: VOTERS - len(fixed) - len(PATTERNS)] + fixed + [(name, 0.1, 0.1) for name in PATTERNS]
     names, n = tuple(v[0] for v in voters), len(voters)
     start_toxic = np.clip([v[1] for v in voters] + [0.05], 1e-3, 0.9)
-    start_clean = np.clip([v[2] + 1 / (n_clean + 2) for v in voters] + [0.9], 1e-5, 0.9)
+    unseen = 1 / (n_clean + 2) if mined else 0.0  # a rate of 0 in a sample is no rate of 0
+    start_clean = np.clip([v[2] + unseen for v in voters] + [0.9], 1e-5, 0.9)
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 10)
 
     voted = docs.select("doc_id", _votes(names, uuid.uuid4().hex)(F.col("text")).alias("v"))

@@ -23,7 +23,8 @@ from docsieve.llm.components import components
 SAMPLE = 2048
 BLOCK = 1024
 LEAF = 96
-_SLACK = 1e-9
+#: More than the rounding of distances, the square root of that of squares.
+_SLACK = 1e-7
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
