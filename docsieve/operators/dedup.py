@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from docsieve.functions import globs, paths
 from docsieve.functions.timefn import flexible_timestamp
 from docsieve.operators.grouped import GroupReducer, grouped_apply, reduce_groups
-from docsieve.operators.ordered import bounded_broadcast, first_rows
+from docsieve.operators.ordered import first_rows
 from docsieve.operators.query import include_fields
 
 _KEY_NAME = re.compile(r"k\d+")
@@ -109,12 +109,12 @@ def lookup_fields(config: DedupConfig) -> list[str] | None:
     return list(dict.fromkeys([config.id_column, *timed, *config.fields]))
 
 
-def lookup(incoming: DataFrame, stored: DataFrame, config: DedupConfig, small_batch: bool = False) -> DataFrame:
+def lookup(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
     """Stored rows in scope whose key occurs in the batch, with the fields the policy reads."""
     config = config.resolved()
     scope = keyed(lookup_scope(stored, config), config.fields)
     keys = keyed(incoming, config.fields).select("__key").distinct()
-    found = scope.join(bounded_broadcast(keys) if small_batch else keys, "__key", "left_semi").drop("__key")
+    found = scope.join(keys, "__key", "left_semi").drop("__key")
     fields = lookup_fields(config)
     return found if fields is None else include_fields(found, fields)
 
@@ -158,7 +158,7 @@ class DedupResult:
 
 
 def dedup(incoming: DataFrame, stored: DataFrame, config: DedupConfig, small_batch: bool = False) -> DedupResult:
-    """Native policies. ``small_batch`` prefilters the stored side by the batch's keys when they provably fit a broadcast."""
+    """Native policies. ``small_batch`` cuts the stored side to the batch's keys before anything else; Spark picks the join by size."""
     if config.disabled:
         return DedupResult(incoming, stored.select(config.id_column).limit(0))
     config = config.resolved()
@@ -168,7 +168,7 @@ def dedup(incoming: DataFrame, stored: DataFrame, config: DedupConfig, small_bat
     scope = lookup_scope(stored, config)
     old = _stored_rows(scope, config)
     if small_batch:
-        old = old.join(bounded_broadcast(keyed(incoming, config.fields).select("__key").distinct()), "__key", "left_semi")
+        old = old.join(keyed(incoming, config.fields).select("__key").distinct(), "__key", "left_semi")
     if config.policy == "leave":
         emit = last.join(old.select("__key").distinct(), "__key", "left_anti").drop("__key")
         return DedupResult(emit, old.select(F.col("__old_id").alias(config.id_column)).limit(0))

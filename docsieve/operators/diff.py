@@ -76,14 +76,14 @@ def dependents(completed: DataFrame, dependencies: DataFrame, finished: str, nee
     return dependencies.join(done, F.col(needs) == F.col("__done"), "left_semi")
 
 
-def group_pages(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, page_rows: int = 1000, **hot: Any) -> DataFrame:
+def group_pages(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, page_rows: int = 1000, chunks: int | None = None) -> DataFrame:
     """Rows of a key tuple grouped into lists of at most ``page_rows`` items in order: (keys, page, items).
 
     A group of any size becomes as many rows as it has pages; nothing is cut off and no list grows without bound.
     """
     from docsieve.operators.ordered import Running, running
 
-    numbered = running(df.withColumn("__item", item), keys, order, {"__number": Running("count")}, **hot)
+    numbered = running(df.withColumn("__item", item), keys, order, {"__number": Running("count")}, chunks)
     page = F.floor((F.col("__number") - 1) / page_rows).cast("bigint")
     listed = numbered.groupBy(*keys, page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("__number", "__item"))).alias("__rows"))
     return listed.select(*keys, "page", F.transform("__rows", lambda row: row["__item"]).alias("items"))

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docsieve.functions.timefn import millis
-from docsieve.operators.grouped import each_group, group_starts, sorted_groups
-from docsieve.operators.ordered import HOT_ROWS, Running, find_hot_keys, running, with_chunk
+from docsieve.operators.grouped import each_group, sorted_groups
+from docsieve.operators.ordered import CHUNK, Running, in_chunks, null_safe_join, running
 from docsieve.operators.query import outside_threshold
 
 # group merges: aggregate expressions, all combined map-side ----------------------------------------------------------
@@ -45,29 +44,28 @@ def merge(df: DataFrame, keys: Sequence[str], merges: Mapping[str, Column]) -> D
     return df.groupBy(*keys).agg(*[column.alias(name) for name, column in merges.items()])
 
 
-def merge_append(
-    df: DataFrame,
-    keys: Sequence[str],
-    message: str,
-    order: Sequence[str],
-    out: str = "message",
-    hot_rows: int = HOT_ROWS,
-    chunks: int | None = None,
-) -> DataFrame:
-    """Messages of a key joined by blanks, newest first.
+def append_pieces(df: DataFrame, keys: Sequence[str], message: str, order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """(keys, piece, text): the messages of a key joined by blanks, newest first, as consecutive pieces, the newest being piece 0.
 
-    The merged text is by definition as long as the key's messages. The messages of a hot key are sorted and joined in chunks of
-    consecutive rows first; only the joined pieces meet.
+    A piece holds the messages of one chunk of the table, so no text grows with its key. Null messages are left out.
     """
     names = list(keys)
-    hot = find_hot_keys(df, names, order[0], hot_rows, chunks)
     newest_first = F.reverse(F.array_sort(F.collect_list(F.struct(*order, F.col(message).alias("__m")))))
     text = F.concat_ws(" ", F.transform(newest_first, lambda row: row["__m"]))
-    if not hot.any or not hot.bounds:
-        return df.groupBy(*names).agg(text.alias(out))
-    pieces = with_chunk(df, names, order[0], hot).groupBy(*names, "__chunk").agg(text.alias("__text"))
-    joined = F.reverse(F.array_sort(F.collect_list(F.struct("__chunk", "__text"))))
-    return pieces.groupBy(*names).agg(F.concat_ws(" ", F.transform(joined, lambda piece: piece["__text"])).alias(out))
+    pieces = in_chunks(df, names, order, chunks).groupBy(*names, CHUNK).agg(text.alias("text"))
+    newest = Window.partitionBy(*names).orderBy(F.desc(CHUNK))
+    return pieces.select(*names, (F.row_number().over(newest) - 1).alias("piece"), "text")
+
+
+def merge_append(df: DataFrame, keys: Sequence[str], message: str, order: Sequence[str], out: str = "message", chunks: int | None = None) -> DataFrame:
+    """Messages of a key joined by blanks, newest first.
+
+    The merged text is by definition as long as the key's messages and has to fit a Spark string; ``append_pieces`` is the form
+    without that bound. Messages are sorted and joined chunk by chunk; only the joined pieces meet.
+    """
+    pieces = append_pieces(df, keys, message, order, chunks)
+    joined = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    return pieces.groupBy(*keys).agg(F.concat_ws(" ", F.transform(joined, lambda piece: piece["text"])).alias(out))
 
 
 def merge_overlay(df: DataFrame, keys: Sequence[str], details: str, order: Sequence[str], out: str = "details") -> DataFrame:
@@ -89,7 +87,6 @@ def running_merge(
     keys: Sequence[str],
     order: Sequence[str],
     value: Column | None = None,
-    hot_rows: int = HOT_ROWS,
     chunks: int | None = None,
 ) -> DataFrame:
     """Merged state at every arrival.
@@ -106,7 +103,7 @@ def running_merge(
             "running_max": Running("max", F.col("__value")),
             "__previous": Running("previous", F.col("__value")),
         }
-    out = running(source, keys, order, specs, hot_rows, chunks)
+    out = running(source, keys, order, specs, chunks)
     if value is None:
         return out
     pair = {
@@ -116,9 +113,9 @@ def running_merge(
     return out.withColumns(pair).drop("__previous", "__value")
 
 
-def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, **hot: Any) -> DataFrame:
+def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, chunks: int | None = None) -> DataFrame:
     """Rows whose number within their key is divisible by ``n``."""
-    return running(df, keys, order, {"__number": Running("count")}, **hot).filter(F.col("__number") % n == 0).drop("__number")
+    return running(df, keys, order, {"__number": Running("count")}, chunks).filter(F.col("__number") % n == 0).drop("__number")
 
 
 def rule_every_nth(n: int) -> Column:
@@ -184,49 +181,49 @@ def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return part["__ms"].to_numpy(np.int64), part["__forced"].to_numpy(bool)
 
 
+def _emitted(at: np.ndarray, forced: np.ndarray, period: int, mark: int | None) -> list[int]:
+    """Indexes of the rows emitted after an inherited mark, jumping from each emitted row to the next."""
+    count = len(at)
+    following = _next_rows(at, forced, period)
+    hits = np.flatnonzero(forced)
+    first = 0 if mark is None else int(np.searchsorted(at, mark + period, side="right"))
+    index = min(first, int(hits[0]) if len(hits) else count)
+    kept = []
+    while index < count:
+        kept.append(index)
+        index = int(following[index])
+    return kept
+
+
 def throttle(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    period_ms: int,
-    forced: Column | None = None,
-    hot_rows: int = HOT_ROWS,
-    chunks: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], period_ms: int, forced: Column | None = None, chunks: int | None = None
 ) -> DataFrame:
     """Rows emitted under "only when more than ``period_ms`` passed since the last emitted row", per key.
 
     ``order`` starts with the timestamp column and is unique within a key. ``forced`` marks rows another rule emits anyway; they
-    move the mark too. Each emission depends on the one before, so no window function expresses it: keys, order and flag go to
-    Python in Arrow batches, and whole rows come back by a semi join. A hot key is cut into chunks of consecutive rows: each
-    chunk reports how it maps an inherited mark to the one it leaves, those small maps are walked in order, and each chunk then
-    replays with the mark it really inherits.
+    move the mark too. A row without a time is never emitted and moves nothing. Each emission depends on the one before, so no window
+    expresses it: keys, order and flag go to Python in Arrow batches, and whole rows come back by a semi join. Keys lie in chunks of
+    consecutive rows; for keys that span several, each chunk reports how it maps an inherited mark to the one it leaves, those small
+    maps are walked in order, and every chunk then replays with the mark it really inherits.
     """
     names = list(keys)
     order = [name for name in order if name not in names]
     stamp = order[0]
     flag = F.coalesce(forced, F.lit(False)) if forced is not None else F.lit(False)
-    hot = find_hot_keys(df, names, stamp, hot_rows, chunks)
-    rows = with_chunk(df, names, stamp, hot).select(
-        *names, "__chunk", millis(F.col(stamp)).alias("__ms"), *order, flag.alias("__forced")
-    )
-    group = [*names, "__chunk"]
+    slim = df.select(*names, millis(F.col(stamp)).alias("__ms"), *order, flag.alias("__forced")).filter(F.col("__ms").isNotNull())
+    rows = in_chunks(slim, names, order, chunks)
+    group = [*names, CHUNK]
     types = {field.name: field.dataType.simpleString() for field in rows.schema.fields}
 
     def ddl(*columns: str) -> str:
         return ", ".join(f"`{name}` {types[name]}" for name in columns)
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        starts = np.zeros(len(frame), dtype=bool)
-        starts[group_starts(frame, group)] = True
-        inherited = np.nan_to_num(frame["__mark"].to_numpy(np.float64), nan=-np.inf)
-        kept, mark = [], -np.inf
-        columns = (frame["__ms"].tolist(), frame["__forced"].tolist(), starts.tolist(), inherited.tolist())
-        for index, (moment, forced_here, start, before) in enumerate(zip(*columns)):
-            if start:
-                mark = before
-            if forced_here or moment - mark > period_ms:
-                kept.append(index)
-                mark = moment
+        kept, at = [], 0
+        for part in each_group(frame, group):
+            mark = part["__mark"].iloc[0]
+            kept += [at + index for index in _emitted(*_arrays(part), period_ms, None if pd.isna(mark) else int(mark))]
+            at += len(part)
         return frame.iloc[kept][[*names, *order]]
 
     def summarize(frame: pd.DataFrame) -> pd.DataFrame:
@@ -247,19 +244,10 @@ def throttle(
                 mark = _leave(thresholds, exits, mark, period_ms)
         return frame[group].assign(__mark=pd.array(marks, dtype="Int64"))
 
-    if hot.any and hot.bounds:
-        maps_schema = f"{ddl(*group)}, __thresholds array<bigint>, __exits array<bigint>"
-        maps = sorted_groups(hot.only(rows, names), group, order, summarize, maps_schema)
-        marks = sorted_groups(maps, names, ["__chunk"], walk, f"{ddl(*group)}, __mark bigint")
-        rows = _null_safe_join(rows, marks, group, "left")
-    else:
-        rows = rows.withColumn("__mark", F.lit(None).cast("bigint"))
-    emitted = sorted_groups(rows, group, order, replay, ddl(*names, *order))
-    return _null_safe_join(df, emitted, [*names, *order], "left_semi")
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
-    renamed = right.withColumnsRenamed({name: f"__r_{name}" for name in names})
-    condition = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__r_{name}")) for name in names])
-    joined = left.join(renamed, condition, how)
-    return joined if how == "left_semi" else joined.drop(*[f"__r_{name}" for name in names])
+    # keys in several chunks: fewer than there are chunks
+    spanning = rows.groupBy(*names).agg(F.min(CHUNK).alias("__lo"), F.max(CHUNK).alias("__hi")).filter("__lo < __hi").select(*names)
+    wide = null_safe_join(rows, spanning, names, "left_semi")
+    maps = sorted_groups(wide, group, order, summarize, f"{ddl(*group)}, __thresholds array<bigint>, __exits array<bigint>")
+    marks = sorted_groups(maps, names, [CHUNK], walk, f"{ddl(*group)}, __mark bigint")
+    emitted = sorted_groups(null_safe_join(rows, marks, group, "left"), group, order, replay, ddl(*names, *order))
+    return null_safe_join(df, emitted, [*names, *order], "left_semi")

@@ -1,12 +1,9 @@
-"""Ordered per-key work that survives hot keys.
+"""Ordered per-key work in which no key is tied to one task.
 
-A window over one key runs in one task. When a key holds more rows than a task should take, its rows are cut into chunks of
-consecutive order values; each chunk runs its own window, per-chunk summaries are scanned in order (a few thousand small rows
-per key), and what a chunk inherits from the chunks before it is added to its rows. Keys below the bound keep the plain
-window: one shuffle, nothing else.
-
-The number of hot keys is bounded by ``MAX_HOT_KEYS`` (the heaviest ones are taken, so a key left out holds at most that
-fraction of all rows), and so is the list of chunk bounds; both are the only data that passes through the driver.
+A window over one key runs in one task. Here all rows are range-partitioned by key and order and written, so a key's rows lie in
+consecutive chunks, as many as its share of the table needs. Each chunk runs its own window, each (key, chunk) gives one summary row,
+the summaries of a key are scanned in order (at most one per chunk), and what a chunk inherits is added to its rows. One path serves
+every key, size and orderable type; ties beyond the given order are in no defined order, as in any window.
 """
 
 from __future__ import annotations
@@ -16,9 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
-MAX_CHUNKS = 8_192
+from docsieve.session import written
+
+CHUNK = "__chunk"
 
 
 @dataclass(frozen=True)
@@ -47,7 +44,7 @@ class Running:
         return F.max_by(self.value, F.when(self.value.isNotNull(), F.struct(*order)))
 
     def inherited(self, name: str, keys: list[str]) -> Column:
-        before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         if self.kind in ("count", "sum"):
             return F.sum(name).over(before)
         if self.kind in ("min", "max"):
@@ -62,106 +59,45 @@ class Running:
         return F.coalesce(inside, carried)
 
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Heavy keys and the order bounds that cut them; empty when no key is heavy."""
-
-    keys: DataFrame | None
-    bounds: tuple = ()
-
-    @property
-    def any(self) -> bool:
-        return self.keys is not None
-
-    def only(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Rows of the heavy keys."""
-        return df.join(F.broadcast(self.keys), _null_safe(df, self.keys, list(names)), "left_semi")
+def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by key and order, with ``__chunk``, the number of the partition a row fell into.
 
-
-def find_hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, chunks: int | None = None) -> HotKeys:
-    """One counting pass with map-side combine, and, only when a heavy key exists, one quantile pass over heavy rows."""
-    names = list(keys)
-    heavy = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
-    rows = heavy.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
-    if not rows:
-        return HotKeys(None)
-    spark = df.sparkSession
-    table = spark.createDataFrame([tuple(row)[:-1] for row in rows], df.select(*names).schema)
-    wanted = chunks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    count = min(wanted, MAX_CHUNKS)
-    fractions = [index / count for index in range(1, count)]
-    cut = HotKeys(table).only(df, names).agg(F.percentile_approx(_sortable(df, order), fractions, 20 * count).alias("b")).first()["b"]
-    return HotKeys(table, tuple(sorted(set(cut or []))))
+    The rows are written once: the ranges come from a sample, and all that follows has to see the same ones. ``chunks`` is the number
+    of partitions (the session's shuffle partitions by default); it changes where work runs, never the result.
+    """
+    if not order:
+        raise ValueError("an explicit order is required")
+    count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(count, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
-def _sortable(df: DataFrame, order: str) -> Column:
-    """Numeric form of an order column, so that quantiles exist for timestamps too."""
-    kind = dict(df.dtypes)[order]
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        from docsieve.functions.timefn import micros
+def null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Join in which nulls of the key are equal; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({name: f"__r_{name}" for name in names})
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(f"`{name}`").eqNullSafe(F.col(f"`__r_{name}`"))
+    joined = left.join(renamed, condition, how)
+    return joined if how == "left_semi" else joined.drop(*[f"__r_{name}" for name in names])
 
-        return micros(F.col(order))
-    return F.col(order)
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Running], chunks: int | None = None) -> DataFrame:
+    """Add running columns per key in ``order`` (ascending, nulls first).
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
-def with_chunk(df: DataFrame, keys: Sequence[str], order: str, hot: HotKeys) -> DataFrame:
-    """Add ``__chunk``: 0 for rows of ordinary keys, the order chunk for rows of heavy keys."""
-    if not hot.any or not hot.bounds:
-        return df.withColumn("__chunk", F.lit(0))
-    bounds = F.array(*[F.lit(bound) for bound in hot.bounds])
-    steps = [1 << bit for bit in reversed(range(len(hot.bounds).bit_length()))]
-    at = _sortable(df, order)
-    # binary search: log2(bounds) probes per row
-    chunk = F.aggregate(
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda position, step: position + F.when(F.get(bounds, position + step - 1) <= at, step).otherwise(F.lit(0)),
-    )
-    table = hot.keys.select(*[F.col(name).alias(f"__hot_{name}") for name in keys], F.lit(True).alias("__hot"))
-    condition = F.lit(True)
-    for name in keys:
-        condition = condition & df[name].eqNullSafe(table[f"__hot_{name}"])
-    marked = df.join(F.broadcast(table), condition, "left")
-    return marked.withColumn("__chunk", F.when(F.col("__hot"), chunk).otherwise(F.lit(0))).drop("__hot", *[f"__hot_{n}" for n in keys])
-
-
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, Running],
-    hot_rows: int = HOT_ROWS,
-    chunks: int | None = None,
-) -> DataFrame:
-    """Add running columns per key in ``order`` (ascending, unique within a key; the first column cuts hot keys).
-
-    Keys are columns of ``df``; ``order`` must not tie, or the result is not defined.
+    Keys and order are columns of ``df`` of any orderable type; rows that tie in all of ``order`` come in no defined order.
     """
-    if not order:
-        raise ValueError("an explicit order is required")
     names, order = list(keys), list(order)
-    hot = find_hot_keys(df, names, order[0], hot_rows, chunks)
-    if not hot.any or not hot.bounds:
-        return df.withColumns({name: value.within(names, order) for name, value in values.items()})
-    cut = with_chunk(df, names, order[0], hot)
-    group = [*names, "__chunk"]
+    cut = in_chunks(df, names, order, chunks)
+    group = [*names, CHUNK]
     inside = cut.withColumns({name: value.within(group, order) for name, value in values.items()})
     partial = cut.groupBy(*group).agg(*[value.summary(order).alias(name) for name, value in values.items()])
+    # only keys that go on from an earlier chunk inherit anything: fewer than there are chunks
+    before = Window.partitionBy(*names).orderBy(CHUNK)
     carried = partial.select(
-        *[F.col(name).alias(f"__k_{name}") for name in group],
-        *[value.inherited(name, names).alias(f"__c_{name}") for name, value in values.items()],
+        *group, F.row_number().over(before).alias("__nth"), *[value.inherited(name, names).alias(f"__c_{name}") for name, value in values.items()]
     )
-    condition = F.lit(True)
-    for name in group:
-        condition = condition & F.col(name).eqNullSafe(F.col(f"__k_{name}"))
-    both = inside.join(carried, condition, "left")
+    carried = carried.filter(F.col("__nth") > 1).drop("__nth")
+    both = null_safe_join(inside, carried, group, "left")
     out = both.withColumns({name: value.joined(F.col(name), F.col(f"__c_{name}")) for name, value in values.items()})
     return out.select(*[F.col(f"`{name}`") for name in df.columns], *values)
 
@@ -170,10 +106,3 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows
     """First ``rows`` rows per key. Spark limits each map task to that many rows per key before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).filter(F.col("__rank") <= rows).drop("__rank")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``broadcast`` hint only when a bounded count proves the table has at most ``max_rows`` rows; else the table as it is."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

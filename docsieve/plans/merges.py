@@ -166,7 +166,7 @@ def w1_w2_running(spark, d):
        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def w1_w2_hot_keys(spark, d):
-    out = mg.running_merge(events(spark, d, "event_type", "value", *ORDER), ["event_type"], ORDER, F.col("value"), hot_rows=500, chunks=16)
+    out = mg.running_merge(events(spark, d, "event_type", "value", *ORDER), ["event_type"], ORDER, F.col("value"), chunks=16)
     return out.select("event_id", "merge_count", F.round("merge_sum", 2).alias("merge_sum"), "running_min", "running_max")
 
 
@@ -175,9 +175,9 @@ W3 = """WITH v AS (SELECT event_id, {key} AS k, ts, CASE WHEN value > 100 THEN N
   SELECT event_id, least(prev, v) AS pair_min, greatest(prev, v) AS pair_max FROM p WHERE prev IS NOT NULL OR v IS NOT NULL"""
 
 
-def _pairs(spark, d, key, **hot):
+def _pairs(spark, d, key, chunks=None):
     value = F.when(F.col("value") <= 100, F.col("value"))
-    out = mg.running_merge(events(spark, d, key, "value", *ORDER), [key], ORDER, value, **hot)
+    out = mg.running_merge(events(spark, d, key, "value", *ORDER), [key], ORDER, value, chunks)
     return out.filter(F.col("pair_min").isNotNull()).select("event_id", "pair_min", "pair_max")
 
 
@@ -188,7 +188,7 @@ def w3_pairwise(spark, d):
 
 @query("w3_pairwise_hot_keys", W3.format(key="event_type"))
 def w3_pairwise_hot_keys(spark, d):
-    return _pairs(spark, d, "event_type", hot_rows=500, chunks=16)
+    return _pairs(spark, d, "event_type", chunks=16)
 
 
 @query(
@@ -226,7 +226,7 @@ def w5_throttle(spark, d):
 @query("w5_throttle_hot_keys", _throttle_sql("event_type", 3_600_000, "false"))
 def w5_throttle_hot_keys(spark, d):
     rows = events(spark, d, "event_type", *ORDER)
-    return mg.throttle(rows, ["event_type"], ORDER, 3_600_000, hot_rows=500, chunks=16).select("event_id")
+    return mg.throttle(rows, ["event_type"], ORDER, 3_600_000, chunks=16).select("event_id")
 
 
 @query("w7_any_rule", _throttle_sql("user_id", 172_800_000, "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) % 7 = 0 OR value > 150"))

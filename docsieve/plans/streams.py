@@ -42,18 +42,18 @@ def k9_emit(spark, d):
 @query("z3_cut_by_count", "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 700 AS BIGINT) AS batch, event_id FROM events")
 def z3_cut_by_count(spark, d):
     events = table(spark, d, "events").select("event_id")
-    return batches.cut_by_count(events, ["event_id"], 700, hot_rows=3000, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
+    return batches.cut_by_count(events, ["event_id"], 700, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
 
 
 @query(
     "z4_cut_by_size",
-    """WITH s AS (SELECT event_id, length('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS size FROM events),
+    """WITH s AS (SELECT event_id, strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS size FROM events),
        r AS (SELECT event_id, sum(size) OVER (ORDER BY event_id) - size AS before FROM s)
        SELECT CAST(before // 16384 AS BIGINT) AS batch, event_id FROM r""",
 )
 def z4_cut_by_size(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type")
-    return batches.cut_by_size(events, ["event_id"], 16, hot_rows=3000, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
+    return batches.cut_by_size(events, ["event_id"], 16, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
 
 
 @query("z6_stream_steps", "SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 20")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.operators import merge as mg
-from docsieve.operators.ordered import Running, find_hot_keys, running
+from docsieve.operators.ordered import Running, in_chunks, running
 
 START = dt.datetime(2024, 1, 1)
 
@@ -60,8 +60,8 @@ def test_append_of_long_and_short_ranges(spark):
     rng = random.Random(3)
     rows = [(key, rng.random() * 10**rng.randint(0, 6), seq) for key in range(5) for seq in range(rng.choice([1, 2, 300]))]
     df = spark.createDataFrame([(key, at, seq, f"m{seq}") for key, at, seq in rows], "key int, at double, seq int, m string")
-    for hot_rows in (10**9, 100):
-        merged = mg.merge_append(df, ["key"], "m", ["at", "seq"], out="m", hot_rows=hot_rows, chunks=6)
+    for chunks in (1, 6):
+        merged = mg.merge_append(df, ["key"], "m", ["at", "seq"], out="m", chunks=chunks)
         got = {row["key"]: row["m"] for row in merged.collect()}
         for key in {row[0] for row in rows}:
             ordered = sorted(((at, seq) for k, at, seq in rows if k == key), reverse=True)
@@ -92,13 +92,13 @@ def by_key(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot_rows", [10**9, 150])
-def test_running_merge_against_brute_force(spark, seed, hot_rows):
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_running_merge_against_brute_force(spark, seed, chunks):
     rows = skewed(seed)
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, seq int, v double")
     got = {
         row["seq"]: (row["merge_count"], round(row["merge_sum"], 6), row["pair_min"], row["pair_max"], row["running_min"], row["running_max"])
-        for row in mg.running_merge(df, ["k"], ["t", "seq"], F.col("v"), hot_rows=hot_rows, chunks=7).collect()
+        for row in mg.running_merge(df, ["k"], ["t", "seq"], F.col("v"), chunks=chunks).collect()
     }
     for group in by_key(rows).values():
         total, last, seen = 0.0, None, []
@@ -122,11 +122,11 @@ def expected_throttle(group, period, forced=lambda number, row: False):
 
 
 @pytest.mark.parametrize("period", [0, 5, 50, 1_000, 10**7])
-@pytest.mark.parametrize("hot_rows", [10**9, 100])
-def test_throttle_against_brute_force(spark, period, hot_rows):
+@pytest.mark.parametrize("chunks", [1, 9])
+def test_throttle_against_brute_force(spark, period, chunks):
     rows = skewed(5)
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, seq int, v double")
-    got = {row["seq"] for row in mg.throttle(df, ["k"], ["t", "seq"], period, hot_rows=hot_rows, chunks=9).collect()}
+    got = {row["seq"] for row in mg.throttle(df, ["k"], ["t", "seq"], period, chunks=chunks).collect()}
     assert got == {seq for group in by_key(rows).values() for seq in expected_throttle(group, period)}
 
 
@@ -134,20 +134,41 @@ def test_throttle_against_brute_force(spark, period, hot_rows):
 def test_throttle_with_other_rules(spark, period):
     rows = skewed(8)
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, seq int, v double")
-    got = {row["seq"] for row in mg.throttle(df, ["k"], ["t", "seq"], period, F.col("v") > 9, hot_rows=100, chunks=9).collect()}
+    got = {row["seq"] for row in mg.throttle(df, ["k"], ["t", "seq"], period, F.col("v") > 9, chunks=9).collect()}
     want = {seq for group in by_key(rows).values() for seq in expected_throttle(group, period, lambda _, row: (row[3] or 0) > 9)}
     assert got == want
 
 
-def test_hot_keys_are_found_and_cut(spark):
+def test_a_hot_key_lies_in_many_chunks(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    hot = find_hot_keys(df, ["k"], "id", hot_rows=100, chunks=8)
-    assert [row["k"] for row in hot.keys.collect()] == ["hot"] and len(hot.bounds) == 7
-    assert not find_hot_keys(df, ["k"], "id", hot_rows=1000).any
-    got = running(df, ["k"], ["id"], {"n": Running("count")}, hot_rows=100, chunks=8)
+    assert in_chunks(df.filter("k = 'hot'"), ["k"], ["id"], 8).select("__chunk").distinct().count() > 4
+    got = running(df, ["k"], ["id"], {"n": Running("count")}, chunks=8)
     assert got.filter("k = 'hot' and n = id + 1").count() == 400 and got.filter("k <> 'hot' and n = 1").count() == 600
 
 
+@pytest.mark.parametrize("chunks", [1, 6])
+def test_any_order_type_ties_and_nulls(spark, chunks):
+    # text order, a first order column that ties throughout, and nulls
+    rows = [("hot", "same", None if i == 0 else f"{i:05d}") for i in range(300)] + [(None, None, f"{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, first string, then string")
+    got = {(r["k"], r["then"]): (r["n"], r["p"]) for r in running(df, ["k"], ["first", "then"], {"n": Running("count"), "p": Running("previous", F.col("then"))}, chunks).collect()}
+    assert got[("hot", None)] == (1, None) and got[("hot", "00001")] == (2, None) and got[("hot", "00299")] == (300, "00298") and got[(None, "2")] == (3, "1")
+
+
+@pytest.mark.parametrize("chunks", [1, 6])
+def test_rows_without_time_neither_emit_nor_mark(spark, chunks):
+    rows = [("k", None, i, True) for i in range(8)] + [("k", START + dt.timedelta(milliseconds=10 * i), 100 + i, False) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, seq int, f boolean")
+    got = sorted(r["seq"] for r in mg.throttle(df, ["k"], ["t", "seq"], 99, F.col("f"), chunks).collect())
+    assert got == [100, 110, 120, 130, 140]
+
+
+def test_pieces(spark):
+    df = spark.createDataFrame([("k", i, f"m{i}") for i in range(40)], "key string, at int, m string")
+    pieces = mg.append_pieces(df, ["key"], "m", ["at"], chunks=5).orderBy("piece").collect()
+    assert len(pieces) > 1 and " ".join(p["text"] for p in pieces) == " ".join(f"m{i}" for i in reversed(range(40)))
+
+
 def test_order_is_required(spark):
     with pytest.raises(ValueError):
         running(spark.range(3), ["id"], [], {"n": Running("count")})
