@@ -11,7 +11,7 @@ from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.query import all_of
 from docsieve.operators.update import Update
 from docsieve.plans.registry import query, table, work_folder
-from docsieve.sources import readers, versioned, writers
+from docsieve.sources import layout, readers, versioned, writers
 from docsieve.sources.layout import Bucket, state_bucket
 from docsieve.sources.readers import Input
 
@@ -83,10 +83,15 @@ def s4_sliced_scan_exact(spark, d):
     return readers.scan_input(spark, scan, NOW).select("o_orderkey")
 
 
-@query("s6_binary_files")
+@query("s6_binary_files", "SELECT lang, sum(strlen(text) + 1)::BIGINT AS bytes, sum(strlen(text) + 1)::BIGINT AS content_bytes, true AS named FROM documents GROUP BY lang")
 def s6_binary_files(spark, d):
-    files = readers.scan_binary(spark, d, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", (F.length("content") == F.col("length")).alias("whole"))
+    # every text and a line end, as files of bytes in a folder per language
+    folder = work_folder(spark, "binary")
+    table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(folder)
+    files = readers.scan_binary(spark, folder, "*.txt").withColumn("lang", F.regexp_extract("path", "/lang=([^/]+)/", 1))
+    return files.groupBy("lang").agg(
+        F.sum("length").alias("bytes"), F.sum(F.octet_length("content")).cast("bigint").alias("content_bytes"), F.bool_and(F.col("path").endswith(".txt")).alias("named")
+    )
 
 
 @query("s7_file_listing", "SELECT strftime(o_orderdate, '%Y') AS slice, true AS has_files, true AS has_bytes FROM orders GROUP BY 1")
@@ -223,15 +228,17 @@ def k14_atomic_replace(spark, d):
     doubled = spark.read.parquet(versioned.current_folder(spark, folder)).withColumn("price", F.col("price") * 2)
     versioned.replace_folder(doubled, folder)
     versioned.remove_old_versions(spark, folder, keep=1)
-    return spark.read.parquet(versioned.current_folder(spark, folder)).withColumn("versions", F.lit(1).cast("bigint"))
+    left = len(layout.list_folders(spark, f"{folder}/versions"))
+    return spark.read.parquet(versioned.current_folder(spark, folder)).withColumn("versions", F.lit(left).cast("bigint"))
 
 
-@query("k19_purge", "SELECT 0::BIGINT AS n")
+@query("k19_purge", "SELECT 0::BIGINT AS n, columns FROM (SELECT string_agg(name, ',') AS columns FROM pragma_table_info('orders'))")
 def k19_purge(spark, d):
     folder = work_folder(spark, "purged")
     versioned.replace_folder(table(spark, d, "orders"), folder)
     versioned.purge(spark, folder)
-    return spark.read.parquet(versioned.current_folder(spark, folder)).agg(F.count("o_orderkey").alias("n"))
+    left = spark.read.parquet(versioned.current_folder(spark, folder))
+    return left.agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(",".join(left.columns)))
 
 
 @query("k20_table", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part")

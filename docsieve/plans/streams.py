@@ -23,8 +23,12 @@ def _events_stream(spark, d):
 @query("s13_new_data_only", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def s13_new_data_only(spark, d):
     folder = work_folder(spark, "served")
-    for _ in range(2):  # the second run finds nothing new
-        batches.emit_to_folder(_events_stream(spark, d), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    events = table(spark, d, "events")
+    for arriving in (events.filter(F.col("event_type") == "click"), events.filter(~F.col("event_type").eqNullSafe("click")), None):
+        if arriving is not None:  # the last run finds nothing new
+            arriving.write.mode("append").parquet(f"{folder}/in")
+        stream = readers.stream_folder(spark, f"{folder}/in", events.schema)
+        batches.emit_to_folder(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -56,6 +60,35 @@ def z4_cut_by_size(spark, d):
     return batches.cut_by_size(events, ["event_id"], 16, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
 
 
+def _batched(spark, d, files, max_files, every):
+    """Events in ``files`` files as micro-batches of at most ``max_files`` files; (event_type, rows, batches)."""
+    folder = work_folder(spark, "batched")
+    events = table(spark, d, "events").select("event_id", "event_type")
+    events.repartition(files, "event_id").write.parquet(f"{folder}/in")
+    stream = readers.stream_folder(spark, f"{folder}/in", events.schema, max_files=max_files)
+
+    def keep(df, batch_id):
+        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/number={batch_id}")
+
+    running = batches.run_batches(stream, keep, f"{folder}/checkpoint", every=every)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("batch").alias("batches"))
+
+
+@query("z2_by_time", "SELECT event_type, count(*) AS n, CAST(3 AS BIGINT) AS batches FROM events GROUP BY event_type")
+def z2_by_time(spark, d):
+    return _batched(spark, d, 3, 1, "200 milliseconds")
+
+
+@query("z5_batch_controls", "SELECT event_type, count(*) AS n, CAST(2 AS BIGINT) AS batches FROM events GROUP BY event_type")
+def z5_batch_controls(spark, d):
+    return _batched(spark, d, 4, 2, "0 seconds")
+
+
 @query("z6_stream_steps", "SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 20")
 def z6_stream_steps(spark, d):
     folder = work_folder(spark, "steps")

@@ -6,6 +6,7 @@ whole old or the whole new data. The two newest versions are kept, older ones ma
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from docsieve.sources import layout
 
 _POINTER = "_current"
 _VERSIONS = "versions"
+_MARKS = "_batches"
 
 
 def current_folder(spark: SparkSession, folder: str) -> str:
@@ -26,16 +28,33 @@ def has_version(spark: SparkSession, folder: str) -> bool:
     return layout.read_small(spark, f"{folder}/{_POINTER}") is not None
 
 
+def batch_marks(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Last batch of each streaming query that the current version contains."""
+    text = layout.read_small(spark, f"{current_folder(spark, folder)}/{_MARKS}") if has_version(spark, folder) else None
+    return json.loads(text) if text else {}
+
+
 def replace_folder(
-    df: DataFrame, folder: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None
+    df: DataFrame,
+    folder: str,
+    fmt: str = "parquet",
+    partition_by: tuple[str, ...] = (),
+    options: dict[str, str] | None = None,
+    marks: dict[str, int] | None = None,
 ) -> str:
-    """Write ``df`` as the new content of ``folder`` and switch to it. ``df`` may read the old content."""
+    """Write ``df`` as the new content of ``folder`` and switch to it. ``df`` may read the old content.
+
+    Batch marks of the old version go on, with ``marks`` added: the pointer switches rows and marks together.
+    """
     spark = df.sparkSession
     version = uuid.uuid4().hex
+    noted = batch_marks(spark, folder) | (marks or {})
     writer = df.write.format(fmt).options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(f"{folder}/{_VERSIONS}/{version}")
+    if noted:
+        layout.write_small(spark, f"{folder}/{_VERSIONS}/{version}/{_MARKS}", json.dumps(noted))
     layout.write_small(spark, f"{folder}/{_POINTER}", version)
     return version
 

@@ -8,49 +8,70 @@ from pyspark.sql import DataFrame, functions as F
 
 from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.update import upsert
-from docsieve.sources import layout
-from docsieve.sources.versioned import current_folder
+from docsieve.sources import layout, versioned
+
+_QUERY_ID = "sql.streaming.queryId"
+
+
+def _query_of(df: DataFrame) -> str:
+    """Id of the streaming query a micro-batch belongs to; Spark keeps it in the checkpoint. Outside a stream: the empty text."""
+    return df.sparkSession.sparkContext.getLocalProperty(_QUERY_ID) or ""
 
 
 def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: deduplicate against the folder's current version and switch to a new one.
 
-    The version is named after the batch, so a batch that is run again after a failure finds itself done and does nothing. Plain
-    files have no row-level merge: every batch rewrites the stage. For a large store use ``dedup_into_table``.
+    Each version notes, per streaming query, the last batch it contains. A batch is skipped only if the current version holds it
+    from that very query, whose numbers rise: a batch run again after a failure changes nothing, and other streams, fresh checkpoints
+    and stores written by other means lose nothing. Plain files have no row-level merge: every batch rewrites the stage. For a large store use
+    ``dedup_into_table``.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        version = f"batch{batch_id:012d}"
-        pointer = layout.read_small(spark, f"{folder}/_current")
-        if pointer and pointer.strip() >= version:
+        spark, query = df.sparkSession, _query_of(df)
+        done = versioned.batch_marks(spark, folder)
+        if query in done and batch_id <= done[query]:
             return
-        if pointer is None and not layout.exists(spark, folder):
+        if not versioned.has_version(spark, folder) and not layout.exists(spark, folder):
             stored = df.limit(0)
         else:
-            stored = spark.read.format(fmt).load(current_folder(spark, folder))
+            stored = spark.read.format(fmt).load(versioned.current_folder(spark, folder))
         result = dedup(df, stored, config, small_batch=True)
         kept = stored.join(result.delete.select(config.id_column), config.id_column, "left_anti")
-        # an interrupted attempt may have left part of this version: overwrite it
-        upsert(kept, result.emit, config.id_column).write.mode("overwrite").format(fmt).save(f"{folder}/versions/{version}")
-        layout.write_small(spark, f"{folder}/_current", version)
+        versioned.replace_folder(upsert(kept, result.emit, config.id_column), folder, fmt, marks={query: batch_id})
 
     return handle
 
 
-def dedup_into_table(table: str, config: DedupConfig) -> Callable[[DataFrame, int], None]:
-    """The same into a table whose format supports row-level merge: only changed rows are written."""
+def dedup_into_table(table: str, config: DedupConfig, marks: str) -> Callable[[DataFrame, int], None]:
+    """The same into a table whose format supports row-level merge: only changed and deleted rows are written.
+
+    ``marks`` is a folder for the last batch of each query. It is noted behind the merge, so a batch may be merged twice; merging by id
+    the second time writes the same rows.
+    """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
+        spark, query = df.sparkSession, _query_of(df)
+        mark = f"{marks}/{query or 'batch'}"
+        if layout.read_small(spark, mark) == str(batch_id):
+            return
         result = dedup(df, spark.table(table), config, small_batch=True)
-        id_column = config.id_column
-        source = result.emit.alias("s")
+        source = merge_source(result.emit, result.delete, config.id_column)
+        key = config.id_column
         (
-            source.mergeInto(table, F.expr(f"{table}.`{id_column}` = s.`{id_column}`"))
-            .whenMatched().updateAll()
-            .whenNotMatched().insertAll()
+            source.mergeInto(table, F.expr(f"{table}.`{key}` = s.`{key}`"))
+            .whenMatched(F.expr("s.__delete")).delete()
+            .whenMatched().update({name: F.expr(f"s.`{name}`") for name in result.emit.columns})
+            .whenNotMatched(F.expr("not s.__delete")).insert({name: F.expr(f"s.`{name}`") for name in result.emit.columns})
             .merge()
         )
+        layout.write_small(spark, mark, str(batch_id))
 
     return handle
+
+
+def merge_source(emit: DataFrame, delete: DataFrame, id_column: str) -> DataFrame:
+    """Rows of one merge, named ``s``: those to write, and ids to delete that are not written again, marked ``__delete``."""
+    gone = delete.select(id_column).distinct().join(emit.select(id_column), id_column, "left_anti")
+    rows = emit.withColumn("__delete", F.lit(False)).unionByName(gone.withColumn("__delete", F.lit(True)), allowMissingColumns=True)
+    return rows.alias("s")

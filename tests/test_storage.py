@@ -20,7 +20,7 @@ from docsieve.sources import readers, versioned, writers
 from docsieve.sources.layout import Bucket
 from docsieve.sources.readers import Input
 from docsieve.streaming import batches, stateful
-from docsieve.streaming.stored import dedup_into
+from docsieve.streaming.stored import dedup_into, merge_source
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -187,6 +187,29 @@ def test_stream_dedup_is_idempotent(spark, tmp_path):
     assert {tuple(row) for row in stored.collect()} == {("c", 1, 4), ("b", 2, 2), ("e", 3, 5)}
 
 
+def test_stream_dedup_loses_nothing(spark, tmp_path):
+    settings = DedupConfig(order=("seq",), policy="overwrite", fields=("k",), delete_unhandled=True)
+    schema = "_id string, k int, seq int"
+    store, inputs = f"{tmp_path}/store", f"{tmp_path}/in"
+    # a store first made by other means, with two rows of one key
+    versioned.replace_folder(spark.createDataFrame([("z", 1, 0), ("y", 1, 0), ("x", 9, 0)], schema), store)
+    for name, frames in (("one", [[("a", 1, 1)], [("b", 2, 2)]]), ("two", [[("c", 3, 3)], [("d", 2, 4)]])):
+        for number, rows in enumerate(frames):  # each stream has a fresh checkpoint, so its batches start from 0 again
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{inputs}-{name}")
+            stream = readers.stream_folder(spark, f"{inputs}-{name}", spark.createDataFrame([], schema).schema, max_files=1)
+            batches.run_batches(stream, dedup_into(store, settings), f"{tmp_path}/checkpoint-{name}").awaitTermination()
+    stored = spark.read.parquet(versioned.current_folder(spark, store))
+    # the surplus row of key 1 is gone, and the stored id of key 2 is taken over
+    assert {tuple(row) for row in stored.collect()} == {("y", 1, 1), ("x", 9, 0), ("b", 2, 4), ("c", 3, 3)}
+    assert sorted(versioned.batch_marks(spark, store).values()) == [1, 1]
+
+
+def test_merge_source_marks_deletions(spark):
+    emit = spark.createDataFrame([("a", 1)], "_id string, k int")
+    delete = spark.createDataFrame([("a",), ("b",), ("b",)], "_id string")
+    assert {tuple(r) for r in merge_source(emit, delete, "_id").collect()} == {("a", 1, False), ("b", None, True)}
+
+
 def test_stream_serves_new_files_once(spark, tmp_path):
     source, out, checkpoint = (f"{tmp_path}/{name}" for name in ("in", "out", "checkpoint"))
     schema = "id bigint"
