@@ -31,9 +31,13 @@ def pattern_regex(text: str) -> str:
     return "(?i)" + simple_glob_regex(text)
 
 
+#: Tokens of a path glob: crossing star, star, mark, set, choice, quoted character, character.
+_TOKEN = r"(?s)\*\*|\*|\?|\[[^\]]*\]|\{[^}]*\}|\\.|."
+
+
 def path_glob_regex(glob: str) -> str:
     """Anchored Java regular expression of a path glob."""
-    tokens = re.findall(r"\*\*|\*|\?|\[[^\]]*\]|\{[^}]*\}|\\.|.", glob, re.S)
+    tokens = re.findall(_TOKEN, glob)
     return "^" + "".join(_path_token(token) for token in tokens) + "$"
 
 
@@ -54,6 +58,35 @@ def _path_token(token: str) -> str:
     return re.escape(token)
 
 
+def path_glob_regex_column(glob: Column) -> Column:
+    """``path_glob_regex`` for a column of patterns: the same tokens, the same rule for each."""
+
+    def quoted(char: Column) -> Column:
+        return F.when(char.rlike(r"^[A-Za-z0-9_/]$"), char).otherwise(F.concat(F.lit("\\"), char))
+
+    def plain(token: Column) -> Column:
+        inner = F.substr(token, F.lit(2), F.length(token) - 2)
+        negated = F.concat(F.lit("^"), F.substr(inner, F.lit(2)))
+        return (
+            F.when(token == "**", ".*")
+            .when(token == "*", "[^/]*")
+            .when(token == "?", "[^/]")
+            .when(token.rlike(r"(?s)^\[.+\]$"), F.concat(F.lit("["), F.when(inner.startswith("!"), negated).otherwise(inner), F.lit("]")))
+            .when(token.rlike(r"(?s)^\\.$"), quoted(F.substr(token, F.lit(2))))
+            .otherwise(quoted(token))
+        )
+
+    def joined(text: Column, rule) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), 0), rule), "")
+
+    def whole(token: Column) -> Column:
+        choices = F.split(F.substr(token, F.lit(2), F.length(token) - 2), ",")
+        choice = F.concat(F.lit("(?:"), F.array_join(F.transform(choices, lambda c: joined(c, plain)), "|"), F.lit(")"))
+        return F.when(token.rlike(r"(?s)^\{.*\}$"), choice).otherwise(plain(token))
+
+    return F.concat(F.lit("^"), joined(glob, whole), F.lit("$"))
+
+
 def literal_prefix(glob: str) -> str:
     """The part of a glob before its first wildcard."""
     return _WILDCARD.sub("", glob)
@@ -87,11 +120,24 @@ def matches_path(path: Column, globs: list[str]) -> Column:
     return reduce(lambda a, b: a | b, terms, F.lit(False))
 
 
-def rule_list(value: Column, rules: list[str]) -> Column:
-    """Include/exclude rules: ``+pattern`` (or no sign) accepts matches, ``-pattern`` accepts non-matches, any rule suffices."""
+def rule_list(value: Column, rules: list[str], names: Column | None = None) -> Column:
+    """Include/exclude rules: ``+pattern`` (or no sign) accepts matches, ``-pattern`` accepts non-matches, any rule suffices.
+
+    ``$name`` (or ``-$name``) tests whether the array ``names`` holds the name.
+    """
     terms = []
     for rule in rules:
         body = rule[1:] if rule[:1] in ("+", "-") else rule
-        hit = value.rlike(pattern_regex(body))
+        if body.startswith("$"):
+            if names is None:
+                raise ValueError(f"{rule} needs a set of names")
+            hit = F.coalesce(F.array_contains(names, body[1:]), F.lit(False))
+        else:
+            hit = value.rlike(pattern_regex(body))
         terms.append(~hit if rule.startswith("-") else hit)
     return reduce(lambda a, b: a | b, terms) if terms else F.lit(True)
+
+
+def rule_lists(value: Column, lists: list[list[str]], names: Column | None = None) -> Column:
+    """Several rule lists, each of which has to accept."""
+    return reduce(lambda a, b: a & b, [rule_list(value, rules, names) for rules in lists], F.lit(True))

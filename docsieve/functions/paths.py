@@ -8,11 +8,11 @@ Two readings of a path exist and both are kept:
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from docsieve.functions.timefn import let
+
 _SCALARS = (
     T.StringType,
     T.LongType,
@@ -84,8 +84,12 @@ def query_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     field = _field(schema, head)
     if field is None:
         return F.lit(None), T.NullType()
-    column, dtype = F.col(f"`{head}`"), field.dataType
-    for name in rest:
+    return path_below(F.col(f"`{head}`"), field.dataType, rest)
+
+
+def path_below(column: Column, dtype: T.DataType, names: list[str]) -> tuple[Column, T.DataType]:
+    """``query_path`` from a column of known type."""
+    for name in names:
         if isinstance(dtype, T.ArrayType):
             element = dtype.elementType
             if not isinstance(element, T.StructType) or _field(element, name) is None:
@@ -105,13 +109,15 @@ def query_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
 
 
 def json_value_at(variant: Column, path: str, dtype: str = "string") -> Column:
-    """Property lookup inside a Variant column (``try_parse_json`` of a JSON string); JSON null counts as missing."""
-    parts = path.split(".")
-    choices = []
-    for marks in product(("", "[0]"), repeat=len(parts) - 1):
-        steps = "".join(f".{part}{mark}" for part, mark in zip(parts, (*marks, "")))
-        choices.append(F.try_variant_get(variant, "$" + steps, dtype))
-    return choices[0] if len(choices) == 1 else F.coalesce(*choices)
+    """Property lookup inside a Variant column (``try_parse_json`` of a JSON string); JSON null counts as missing.
+
+    One step a level: an array met on the way stands for its first element.
+    """
+    *above, last = path.split(".")
+    for name in above:
+        inner = F.try_variant_get(variant, f"$.{name}", "variant")
+        variant = let(inner, lambda v: F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v))
+    return F.try_variant_get(variant, f"$.{last}", dtype)
 
 
 def json_typed(text: Column, dtype: str) -> Column:
@@ -120,12 +126,18 @@ def json_typed(text: Column, dtype: str) -> Column:
 
 
 def fold_into_json(text: Column, overrides: dict[str, tuple[Column, str]]) -> Column:
-    """Overlay columns on the object held by a JSON string; a same-named member is replaced, others stay.
+    """Overlay columns on the object held by a JSON string; a same-named member is replaced, others stay. The result is JSON text.
 
-    ``overrides`` maps member name to (column, Spark type). The result is a map from member name to its JSON text, so
-    members of unknown shape survive untouched.
+    ``overrides`` maps member name to (column, Spark type). Numbers, texts, booleans, objects and nulls stay what they are. A null text
+    is an empty object; a text that is no object gives null (see ``not_an_object``).
     """
-    base = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    new = F.create_map(*[part for name, (column, dtype) in overrides.items() for part in (F.lit(name), column.cast(dtype).cast("string"))])
+    empty = F.create_map().cast("map<string,variant>")
+    base = F.when(text.isNull(), empty).otherwise(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
     kept = F.map_filter(base, lambda key, _: ~key.isin(list(overrides)))
-    return F.map_concat(kept, new)
+    new = [part for name, (column, dtype) in overrides.items() for part in (F.lit(name), column.cast(dtype).cast("variant"))]
+    return F.to_json(F.map_concat(kept, F.create_map(*new)) if new else kept)
+
+
+def not_an_object(text: Column) -> Column:
+    """Rows ``fold_into_json`` refuses, for the error channel."""
+    return text.isNotNull() & F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>").isNull()

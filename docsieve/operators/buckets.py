@@ -93,25 +93,26 @@ def glob_anchor(pattern: Column) -> Column:
     )
 
 
-def path_glob_regex_column(pattern: Column) -> Column:
-    """``path_glob_regex`` for a column of patterns made of literals, ``?``, ``*`` and ``**``."""
-    escaped = F.regexp_replace(pattern, r"([.\\+^$|()\[\]{}])", r"\\$1")
-    stars = F.regexp_replace(escaped, r"\*\*", "\u0001")
-    single = F.regexp_replace(F.regexp_replace(stars, r"\*", "[^/]*"), r"\?", "[^/]")
-    return F.concat(F.lit("^"), F.regexp_replace(single, "\u0001", ".*"), F.lit("$"))
-
-
 def glob_join(paths: DataFrame, path: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """All (path row, pattern row) pairs that match.
 
     The join is an equi-join on the anchor of the pattern, followed by the exact test, so a path only meets the patterns that
-    share a directory or a part with it. Patterns without any literal part (``/**``) meet every path, as they must.
+    share a directory or a part with it. The different patterns without any literal part (``/**``) are a handful of texts; each path
+    tests those in place, and only what matches meets their rows.
     """
+    marked = patterns.withColumns({"__want": glob_anchor(F.col(pattern)), "__regex": globs.path_glob_regex_column(F.col(pattern))})
+    anchored = marked.filter(F.length("__want") > 1)
     left = paths.withColumn("__anchor", F.explode(path_anchors(F.col(path))))
-    right = patterns.withColumns({"__want": glob_anchor(F.col(pattern)), "__regex": path_glob_regex_column(F.col(pattern))})
-    joined = left.join(right, F.col("__anchor") == F.col("__want"))
+    joined = left.join(anchored, F.col("__anchor") == F.col("__want"))
     exact = (F.col(path) == F.col(pattern)) | F.expr(f"`{path}` RLIKE __regex")
-    return joined.filter(exact).drop("__anchor", "__want", "__regex")
+    near = joined.filter(exact).drop("__anchor", "__want", "__regex")
+
+    free = marked.filter(F.length("__want") <= 1)
+    texts = free.agg(F.collect_set(F.struct(F.col(pattern).alias("p"), F.col("__regex").alias("r"))).alias("set")).scalar()
+    tested = F.filter("__set", lambda t: (F.col(path) == t["p"]) | F.call_function("regexp_like", F.col(path), t["r"]))
+    hits = paths.withColumn("__set", texts).withColumn("__free", F.explode(F.transform(tested, lambda t: t["p"]))).drop("__set")
+    wide = hits.join(free.drop("__want", "__regex"), F.col("__free") == F.col(pattern)).drop("__free")
+    return near.unionByName(wide)
 
 
 def expand_patterns(catalog: DataFrame, path: str, patterns: DataFrame, pattern: str) -> DataFrame:

@@ -288,6 +288,23 @@ def custom_reduce(
     return reduce_groups(rows, keys, reducer, reduced_schema, schema)
 
 
+def dedup_custom(
+    incoming: DataFrame,
+    stored: DataFrame,
+    config: DedupConfig,
+    reducer: type[GroupReducer],
+    reduced_schema: T.StructType | str,
+    schema: T.StructType,
+    columns: Sequence[str] | None = None,
+) -> DedupResult:
+    """A custom policy from end to end: ``emit`` holds what the function makes of the chosen groups and, untouched, the last row of each
+    unmatched key; fields the function's ``schema`` does not have are null in its rows, and the other way round."""
+    config = config.resolved()
+    made = custom_reduce(custom_groups(incoming, stored, config), reducer, reduced_schema, schema, columns)
+    emit = made.unionByName(passed_through(incoming, stored, config), allowMissingColumns=True)
+    return DedupResult(emit, stored.select(config.id_column).limit(0))
+
+
 def custom_apply(groups: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
     """Custom policy as any function ``fn(key, frames)`` over one group at a time, streamed in Arrow batches."""
     flat = group_columns(groups)

@@ -42,7 +42,10 @@ class Term:
     args: tuple = ()
 
     def column(self, schema: T.StructType) -> Column:
-        column, dtype = paths.query_path(schema, self.field)
+        return self.test(*paths.query_path(schema, self.field))
+
+    def test(self, column: Column, dtype: T.DataType) -> Column:
+        """The operator on a column of the given type; both bounds of a range belong to this one test."""
         is_array = isinstance(dtype, T.ArrayType)
         if self.kind == "present":
             return column.isNotNull()
@@ -149,7 +152,14 @@ class Query:
 
     # compilation --------------------------------------------------------------------------------------------------
     def column(self, schema: T.StructType) -> Column:
-        parts = [term.column(schema) for term in self.terms] + [child.column(schema) for child in self.children]
+        return self._joined([term.column(schema) for term in self.terms] + [child.column(schema) for child in self.children])
+
+    def on(self, item: Column, dtype: T.DataType) -> Column:
+        """The query on one value, such as an item of an array, whose fields the terms name."""
+        terms = [term.test(*paths.path_below(item, dtype, term.field.split("."))) for term in self.terms]
+        return self._joined(terms + [child.on(item, dtype) for child in self.children])
+
+    def _joined(self, parts: list[Column]) -> Column:
         if not parts:
             return F.lit(True)
         return reduce((lambda a, b: a & b) if self.joiner == "all" else (lambda a, b: a | b), parts)

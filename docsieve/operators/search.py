@@ -16,20 +16,20 @@ from docsieve.operators.query import Query, sort_columns
 
 @dataclass(frozen=True)
 class SearchQuery:
-    """Terms: all of ``must``, any of ``should`` (when given), none of ``must_not``; ``fields`` are exact ``field:value`` tests."""
+    """Terms: all of ``must``, one of each group of ``should``, none of ``must_not``; ``fields`` are exact ``field:value`` tests."""
 
     must: tuple[str, ...] = ()
-    should: tuple[str, ...] = ()
+    should: tuple[tuple[str, ...], ...] = ()
     must_not: tuple[str, ...] = ()
     fields: tuple[tuple[str, str], ...] = ()
 
     @property
     def scoring(self) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(self.must + self.should))
+        return tuple(dict.fromkeys(self.must + tuple(word for group in self.should for word in group)))
 
 
 def parse_search(text: str) -> SearchQuery:
-    """``a b -c d|e field:value``: words are required, ``-`` forbids, ``x|y`` offers a choice. Words are cut like texts are."""
+    """``a b -c d|e field:value``: words are required, ``-`` forbids, each ``x|y`` offers a choice of its own. Words are cut like texts are."""
     must, should, must_not, fields = [], [], [], []
     for word in text.split():
         if ":" in word:
@@ -38,7 +38,7 @@ def parse_search(text: str) -> SearchQuery:
         elif word.startswith("-"):
             must_not += query_words(word)
         elif "|" in word:
-            should += query_words(word)
+            should.append(tuple(query_words(word)))
         else:
             must += query_words(word)
     return SearchQuery(tuple(must), tuple(should), tuple(must_not), tuple(fields))
@@ -52,8 +52,8 @@ def _matching(df: DataFrame, text: str, query: SearchQuery, where: Query | None)
     lowered = F.lower(F.col(text))
     for word in query.must:
         rows = rows.filter(has_word(lowered, word))
-    if query.should:
-        rows = rows.filter(reduce(lambda a, b: a | b, [has_word(lowered, word) for word in query.should]))
+    for group in query.should:
+        rows = rows.filter(reduce(lambda a, b: a | b, [has_word(lowered, word) for word in group], F.lit(False)))
     for word in query.must_not:
         rows = rows.filter(~has_word(lowered, word))
     return rows
@@ -71,7 +71,7 @@ def search(
     where: Query | None = None,
     order: Sequence[tuple[str, int]] = (),
     tie: str | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
     skip: int = 0,
     fields: Sequence[str] = (),
 ) -> DataFrame:
@@ -79,7 +79,7 @@ def search(
 
     The query's few words are counted in place, so scoring needs no shuffle: one aggregate row over the corpus gives the document
     frequencies, and the second pass scores and takes the top rows. In ``order`` a negative sign is ascending; with an order
-    given, the corpus pass is left out and the score is not computed.
+    given, the corpus pass is left out and the score is not computed. All hits come back unless ``limit`` is given.
     """
     words = query.scoring
     hits = _matching(df, text, query, where)
@@ -116,8 +116,15 @@ def search_count(df: DataFrame, text: str, query: SearchQuery, where: Query | No
     return search_hits(df, text, query, where).agg(F.count(F.lit(1)).alias("n"))
 
 
-def facets(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
-    """Per field the ``top`` most frequent values, ties by value: (field, term, n). Array fields count each distinct item.
+def search_with_facets(
+    df: DataFrame, text: str, query: SearchQuery, facet_fields: Sequence[str], top: int | None = None, where: Query | None = None, **page
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, facets): the page of hits ``search`` gives, and facets over all hits, whatever the page."""
+    return search(df, text, query, where, **page), facets(search_hits(df, text, query, where), facet_fields, top)
+
+
+def facets(df: DataFrame, fields: Sequence[str], top: int | None = None) -> DataFrame:
+    """Per field its values (the ``top`` most frequent, if given, ties by value): (field, term, n). Array fields count each distinct item.
 
     Scalar fields share one pass; an array field has its own, which reads only that column.
     """
@@ -131,4 +138,4 @@ def facets(df: DataFrame, fields: Sequence[str], top: int = 10) -> DataFrame:
         terms = df.select(F.explode(F.array_distinct(F.col(f"`{name}`"))).alias("term")).select(F.col("term").cast("string").alias("term"))
         parts.append(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("field"), "term", "n"))
     counted = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("term").isNotNull())
-    return first_rows(counted, ["field"], [F.desc("n"), F.asc("term")], top)
+    return counted if top is None else first_rows(counted, ["field"], [F.desc("n"), F.asc("term")], top)

@@ -86,8 +86,11 @@ def with_slice(
 
 
 def slice_bounds(period: str, low: dt.datetime | None, high: dt.datetime | None, slice_name: str = SLICE) -> Column:
-    """Predicate on the slice column alone. Suffixes of one period sort like time, so Spark prunes partitions by it."""
-    test = F.lit(True)
+    """Predicate on the slice column alone. Suffixes of one period sort like time, so Spark prunes partitions by it.
+
+    Rows without a time (``all_time``) are in no range, whichever bound is given; without bounds they stay.
+    """
+    test = F.lit(True) if low is None and high is None else F.col(slice_name) != "all_time"
     stamp = lambda moment: timefn.dated_suffix(F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz"), period)
     if low is not None:
         test = test & (F.col(slice_name) >= stamp(low))

@@ -45,42 +45,11 @@ class Change:
             return F.concat(kept, F.array_except(_array_of(_values(self.value), dtype), kept))
         if isinstance(self.value, Query):
             # each array item is a record the query is matched against
-            return F.filter(old, lambda item: ~F.coalesce(_on_item(self.value, item, dtype.elementType), F.lit(False)))
+            return F.filter(old, lambda item: ~F.coalesce(self.value.on(item, dtype.elementType), F.lit(False)))
         unwanted = _array_of(_values(self.value), dtype)
         return F.filter(old, lambda item: ~F.coalesce(F.array_contains(unwanted, item), F.lit(False)))
 
 
-def _on_item(query: Query, item: Column, dtype: T.DataType) -> Column:
-    parts = []
-    for term in query.terms:
-        column = item
-        for name in term.field.split("."):
-            column = column.getField(name)
-        if term.kind == "is":
-            parts.append(column == F.lit(term.args[0]))
-        elif term.kind == "not":
-            parts.append(~column.eqNullSafe(F.lit(term.args[0])))
-        elif term.kind == "any":
-            parts.append(column.isin(list(term.args[0])))
-        elif term.kind == "present":
-            parts.append(column.isNotNull())
-        elif term.kind == "absent":
-            parts.append(column.isNull())
-        elif term.kind == "range":
-            low, low_open, high, high_open = term.args
-            if low is not None:
-                parts.append(column > F.lit(low) if low_open else column >= F.lit(low))
-            if high is not None:
-                parts.append(column < F.lit(high) if high_open else column <= F.lit(high))
-        else:
-            raise ValueError(f"{term.kind} cannot select array items")
-    parts += [_on_item(child, item, dtype) for child in query.children]
-    out = parts[0] if parts else F.lit(True)
-    for part in parts[1:]:
-        out = (out & part) if query.joiner == "all" else (out | part)
-    return out
-
-
 @dataclass(frozen=True)
 class Update:
     """A list of changes, applied together to the rows a predicate selects."""

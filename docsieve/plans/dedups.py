@@ -220,6 +220,30 @@ def d8_custom_update(spark, d):
     return _custom(spark, d, _config("custom_update"))
 
 
+UNMATCHED = """SELECT last._id, last.k, round(last.amount, 2), NULL FROM last LEFT JOIN {old} o ON last.k = o.k WHERE o.k IS NULL"""
+
+
+def _custom_all(spark, d, config):
+    out = dd.dedup_custom(incoming(spark, d), stored(spark, d), config, AddUp, REDUCED, MERGED, columns=["_id", "amount", "__injected"])
+    return out.emit.select("_id", "k", F.round("amount", 2).alias("amount"), "new_rows")
+
+
+ONE_BUCKET = f"WITH {INCOMING}, old_one AS (SELECT * FROM old WHERE bucket = '/orders/F') {CUSTOM} JOIN old_one o ON i.k = o.k"
+
+
+@query("d7_custom_all", f"{ONE_BUCKET} UNION ALL {UNMATCHED.format(old='old_one')}")
+def d7_custom_all(spark, d):
+    return _custom_all(spark, d, _config("custom", contexts=("/orders/F",)))
+
+
+@query(
+    "d8_custom_update_all",
+    f"{ONE_BUCKET} JOIN last ON last.k = i.k WHERE last.ts > o.ts UNION ALL {UNMATCHED.format(old='old_one')}",
+)
+def d8_custom_update_all(spark, d):
+    return _custom_all(spark, d, _config("custom_update", contexts=("/orders/F",)))
+
+
 @query("d9_finalize_all", f"WITH {INCOMING} {CUSTOM} LEFT JOIN (SELECT * FROM old WHERE bucket = '/orders/F') o ON i.k = o.k")
 def d9_finalize_all(spark, d):
     return _custom(spark, d, _config("custom", contexts=("/orders/F",), finalize_all=True))

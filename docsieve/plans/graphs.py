@@ -47,6 +47,27 @@ def q1_search_ordered(spark, d):
     return search.search(docs, "text", search.parse_search("and"), order=[("n_chars", -1)], tie="doc_id", skip=10, limit=20).select("doc_id", "n_chars")
 
 
+@query(
+    "q1_search_groups",
+    f"WITH {TERMS} SELECT doc_id FROM t WHERE (list_contains(w, 'the') OR list_contains(w, 'le')) AND (list_contains(w, 'and') OR list_contains(w, 'la'))",
+)
+def q1_search_groups(spark, d):
+    return search.search_hits(table(spark, d, "documents"), "text", search.parse_search("the|le and|la")).select("doc_id")
+
+
+@query(
+    "q1_search_facets",
+    f"""WITH {TERMS}, h AS (SELECT doc_id, lang, source FROM t WHERE list_contains(w, 'the')), p AS (SELECT doc_id FROM h ORDER BY doc_id LIMIT 5),
+        f AS (SELECT 'lang' AS field, lang AS term, count(*) AS n FROM h GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM h GROUP BY source)
+        SELECT field, term, n FROM f UNION ALL SELECT 'page', CAST(doc_id AS VARCHAR), 1 FROM p""",
+)
+def q1_search_facets(spark, d):
+    found = search.parse_search("the")
+    hits, counted = search.search_with_facets(table(spark, d, "documents"), "text", found, ["lang", "source"], order=[("doc_id", -1)], tie="doc_id", limit=5)
+    page = hits.select(F.lit("page").alias("field"), F.col("doc_id").cast("string").alias("term"), F.lit(1).cast("bigint").alias("n"))
+    return counted.unionByName(page)
+
+
 @query("q2_count", f"WITH {TERMS} SELECT count(*) AS n FROM t WHERE list_contains(w, 'with') AND source = 'src7'")
 def q2_count(spark, d):
     return search.search_count(table(spark, d, "documents"), "text", search.parse_search("with source:src7"))

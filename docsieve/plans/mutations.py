@@ -65,6 +65,18 @@ def m6_remove(spark, d):
     return out.withColumn("tags", F.array_join("tags", "|"))
 
 
+@query(
+    "m6_remove_range_any",
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+        SELECT doc_id, CAST(len(list_filter(w, lambda x: NOT (length(x) BETWEEN 3 AND 8 OR x = 'a'))) AS BIGINT) AS kept FROM t""",
+)
+def m6_remove_range_any(spark, d):
+    words = F.transform(tokens(F.col("text")), lambda word: F.struct(word.alias("word"), F.length(word).alias("size")))
+    docs = table(spark, d, "documents").select("doc_id", words.alias("words"))
+    out = Update().remove("words", any_of().range_in("size", 3, False, 8, False).when("word", "a")).apply(docs)
+    return out.select("doc_id", F.size("words").cast("bigint").alias("kept"))
+
+
 @query(
     "m6_remove_by_query",
     r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)

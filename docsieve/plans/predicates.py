@@ -271,13 +271,25 @@ def p4_mutations(spark, d):
 
 @query(
     "p5_fold",
-    """SELECT event_id, json_extract_string(props, '$.k') AS k, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events""",
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, event_type, user_id, 'bigint string' AS kinds, true AS whole, 2 + 7 % 5 AS inner_n, false AS refused FROM events""",
 )
 def p5_fold(spark, d):
     events = table(spark, d, "events")
-    folded = paths.fold_into_json(F.col("props"), {"event_type": (F.col("event_type"), "string"), "user_id": (F.col("user_id"), "bigint")})
-    out = events.select("event_id", folded.alias("m"))
-    return out.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["event_type"].alias("event_type"), F.col("m")["user_id"].alias("user_id"))
+    # members of every kind: one replaced, the others as they were
+    base = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "user_id": "old", "flag": true, "obj": {"n": 4, "t": "4"}}'))
+    folded = paths.fold_into_json(base, {"event_type": (F.col("event_type"), "string"), "user_id": (F.col("user_id"), "bigint")})
+    out = events.select("event_id", F.parse_json(folded).alias("m"), paths.not_an_object(base).alias("refused"))
+    kind = lambda path: F.lower(F.schema_of_variant(F.variant_get("m", path, "variant")))
+    return out.select(
+        "event_id",
+        F.variant_get("m", "$.k", "string").alias("k"),
+        F.variant_get("m", "$.event_type", "string").alias("event_type"),
+        F.variant_get("m", "$.user_id", "bigint").alias("user_id"),
+        F.concat_ws(" ", kind("$.obj.n"), kind("$.obj.t")).alias("kinds"),
+        F.variant_get("m", "$.flag", "boolean").alias("whole"),
+        F.variant_get("m", "$.obj.n", "int").alias("inner_n"),
+        "refused",
+    )
 
 
 @query("p6_columnar", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")

@@ -97,6 +97,18 @@ def j1_glob_join(spark, d):
     return joined.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "j1_glob_join_choices",
+    f"""WITH p AS (SELECT page_id, {PAGE_PATH} AS path FROM pages)
+        SELECT pattern, count(*) AS n FROM p, (VALUES ('/*/{{en,fr}}/*', '^/[^/]*/(en|fr)/[^/]*$'), ('/*/[de]*/**', '^/[^/]*/[de][^/]*/.*$'), ('/*/[!e]?/*', '^/[^/]*/[^e][^/]/[^/]*$'),
+          ('/**', '^/.*$'), ('/*', '^/[^/]*$')) v(pattern, re) WHERE regexp_matches(path, re) GROUP BY pattern""",
+)
+def j1_glob_join_choices(spark, d):
+    patterns = ["/*/{en,fr}/*", "/*/[de]*/**", "/*/[!e]?/*", "/**", "/*"]
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
+    return buckets.glob_join(_page_paths(spark, d), "path", rows, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "u4_expansion",
     f"""SELECT DISTINCT path FROM (SELECT {PAGE_PATH} AS path FROM pages) WHERE regexp_matches(path, '^/[^/]+/.*$')""",

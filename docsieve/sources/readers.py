@@ -57,23 +57,20 @@ def scan_stage(spark: SparkSession, bucket: Bucket, stage: str = "processed", jo
 def scan_bucket_set(
     spark: SparkSession, buckets: Sequence[Bucket], patterns: Sequence[str], stage: str = "processed", schema: T.StructType | None = None
 ) -> DataFrame:
-    """All buckets the patterns match as one scan with ``__bucket``: one plan node however many buckets there are.
+    """All buckets the patterns match, with ``__bucket`` and, where a bucket is sliced, ``__slice``, by which Spark prunes folders.
 
-    Needs one format and root; columns a bucket does not have are null. Buckets of different formats go through ``union_buckets``.
+    One branch per bucket, so formats and roots may differ and each bucket's name is its own, not read off a path. Columns a bucket does
+    not have are null. With a ``schema`` no file is opened to find one.
     """
     wanted = set(matching_buckets([bucket.full_name for bucket in buckets], patterns))
     chosen = [bucket for bucket in buckets if bucket.full_name in wanted]
     if not chosen:
         raise LookupError(f"no bucket matches {list(patterns)}")
-    if len({(bucket.root, bucket.format) for bucket in chosen}) > 1:
-        raise ValueError("buckets of one set share root and format")
-    first = chosen[0]
-    options = {"mergeSchema": "true", "recursiveFileLookup": "true"} if schema is None else {"recursiveFileLookup": "true"}
-    folders = [current_folder(spark, bucket.stage(stage)) for bucket in chosen]
-    reader = _reader(spark, first.format, schema, options)
-    root = re.escape(first.root.rstrip("/"))
-    name = F.regexp_extract(F.col("_metadata.file_path"), f"{root}(/.*?)/stored/{stage}/", 1)
-    return reader.load(folders).withColumn(BUCKET, name)
+    out = None
+    for bucket in chosen:
+        part = scan_stage(spark, bucket, stage, schema=schema).withColumn(BUCKET, F.lit(bucket.full_name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def scan_ready(spark: SparkSession, bucket: Bucket, fmt: str = "json", schema: T.StructType | None = None) -> DataFrame:

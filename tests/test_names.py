@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pytest
@@ -98,7 +99,12 @@ def test_json_paths(spark):
 def test_fold(spark):
     text = F.lit('{"misc":true,"long":1,"string":""}')
     folded = paths.fold_into_json(text, {"long": (F.lit(10), "bigint"), "double": (F.lit(1.1), "double"), "string": (F.lit("val"), "string")})
-    assert spark.range(1).select(folded).first()[0] == {"misc": "true", "long": "10", "string": "val", "double": "1.1"}
+    assert json.loads(spark.range(1).select(folded).first()[0]) == {"misc": True, "long": 10, "string": "val", "double": 1.1}
+    texts = ['{"n": 5, "t": "5", "o": {"a": [1, null]}, "b": false}', None, "{}", "{bad", "[1]", "7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select(paths.fold_into_json(F.col("t"), {"x": (F.lit(1), "bigint")}), paths.not_an_object(F.col("t"))).collect()
+    assert json.loads(rows[0][0]) == {"n": 5, "t": "5", "o": {"a": [1, None]}, "b": False, "x": 1}
+    assert [r[0] for r in rows[1:]] == ['{"x":1}', '{"x":1}', None, None, None] and [r[1] for r in rows] == [False, False, False, True, True, True]
 
 
 def test_addresses(spark):
@@ -122,3 +128,22 @@ def test_declared_tables():
     assert [field.dataType.simpleString() for field in made.fields] == [
         "varchar(10)", "decimal(5,2)", "array<int>", "map<string,double>", "struct<x:date,y:array<string>>", "struct<member0:int,member1:string>",
     ]
+
+
+def test_glob_columns_are_the_glob_texts(spark):
+    patterns = ["/a/{b,c?}/*", "/x[!a-c]y", "/q\\*", "/**/end", "/a.b+(c)", "/{a,b*}/**", "/é ü", "[ab]*"]
+    df = spark.createDataFrame([(p,) for p in patterns], "p string")
+    got = {r["p"]: r["r"] for r in df.select("p", globs.path_glob_regex_column(F.col("p")).alias("r")).collect()}
+    paths = ["/a/b/z", "/a/cd/z", "/xdy", "/xay", "/q*", "/qq", "/m/n/end", "/a.b+(c)", "/b1/z/y", "/é ü", "abc", "cab"]
+    for pattern in patterns:
+        rows = spark.createDataFrame([(p,) for p in paths], "v string")
+        one, other = (sorted(r["v"] for r in rows.filter(F.col("v").rlike(x)).collect()) for x in (got[pattern], globs.path_glob_regex(pattern)))
+        assert one == other and one, pattern
+
+
+def test_rule_names_and_lists(spark):
+    df = spark.createDataFrame([("a1", ["x"]), ("b1", ["y"]), ("a2", None)], "h string, names array<string>")
+    kept = lambda test: sorted(r["h"] for r in df.filter(test).collect())
+    assert kept(globs.rule_list(F.col("h"), ["$x"], F.col("names"))) == ["a1"]
+    assert kept(globs.rule_list(F.col("h"), ["-$x"], F.col("names"))) == ["a2", "b1"]
+    assert kept(globs.rule_lists(F.col("h"), [["a*"], ["-$x"]], F.col("names"))) == ["a2"]

@@ -98,6 +98,23 @@ def test_replace_is_a_switch(spark, tmp_path, rows):
     assert left.count() == 0 and left.columns == ["_id", "t", "v"]
 
 
+def test_sliced_bucket_set_prunes(spark, tmp_path, rows):
+    root = f"{tmp_path}/with blank"
+    one = Bucket("/logs/one", root, time_field="t", slice_period="month")
+    two = Bucket("/logs/two", root, time_field="t", slice_period="month")
+    untimed = spark.createDataFrame([("u", None, 999)], rows.schema)
+    writers.write_sliced(rows.unionByName(untimed), one, policy="record")
+    writers.write_sliced(rows, two, policy="record")
+    both = readers.scan_bucket_set(spark, [one, two, Bucket("/other", root)], ["/logs/*"])
+    assert {r["__bucket"]: r["count"] for r in both.groupBy("__bucket").count().collect()} == {"/logs/one": 121, "/logs/two": 120}
+    first = rows.agg(F.min("t")).first()[0]
+    low, high = first - dt.timedelta(days=4000), first + dt.timedelta(days=4000)
+    for bounds, kept in (((low, None), 240), ((None, high), 240), ((low, high), 240), ((None, None), 241)):
+        assert timeslice.sliced_scan(both, "t", "month", *bounds).count() == kept
+    pruned = timeslice.sliced_scan(both, "t", "month", high, None)
+    assert pruned.count() == 0 and "PartitionFilters: [isnotnull(__slice" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
 def test_write_modes(spark, bucket, rows):
     assert writers.write_results(rows, bucket, dedup_configured=True) == "upsert"
     changes = rows.filter("v >= 100").withColumn("v", F.col("v") + 1000)
