@@ -37,10 +37,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def worker_cache(key: object, build: Callable[[], object]) -> object:
-    """One object per key and Python worker, kept while Spark reuses the worker (vocabularies, automata)."""
+def worker_cache(key: object, build: Callable[[], object], keep: int = 3) -> object:
+    """One object per key and Python worker, kept while Spark reuses the worker (vocabularies, automata); the last ``keep`` stay."""
     holder = sys.modules.setdefault("docsieve_worker_cache", types.ModuleType("docsieve_worker_cache"))
     store = holder.__dict__.setdefault("store", {})
-    if key not in store:
-        store[key] = build()
+    found = store.pop(key, None)
+    store[key] = build() if found is None else found
+    while len(store) > keep:
+        del store[next(iter(store))]
     return store[key]

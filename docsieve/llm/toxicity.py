@@ -25,6 +25,8 @@ LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "fool", "idiot", "
 MINED = 2_000
 FITTED = 8_000
 VOTERS = 60
+#: Words of which a worker remembers the votes.
+WORDS = 150_000
 BEGINNINGS = (4, 5, 6)
 ROUNDS = 8
 #: A mined voter fires in this share of toxic documents at least, and at least e^ODDS times as often as in clean ones.
@@ -91,7 +93,7 @@ def _votes(voters: tuple[str, ...], key: str):
                             for name in beginnings(words[i]):
                                 vote |= bits.get(name, 0)
                             votes[i] = vote
-                            if len(known) < 500_000:
+                            if len(known) < WORDS:
                                 known[words[i]] = vote
                 mask = 0
                 for vote in set(votes):
