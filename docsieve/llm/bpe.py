@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import worker_cache
+from docsieve.llm.common import slices, worker_cache
 
 #: Bytes of text per slice, characters per merge window of a long word, and most cached runs per worker.
 SLICE = 1 << 20
 WINDOW = 4096
-CACHE = 400_000
+CACHE = 150_000
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -188,7 +188,7 @@ class Decoder:
 def _encoder(path: str, lookahead: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         transducer = worker_cache(("bpe", path), lambda: Transducer(path, lookahead))
-        for batch in batches:
+        for batch in slices(batches):
             packed = [b"".join(transducer.encode(text)) if text else b"" for text in batch.cast(pa.binary()).to_pylist()]
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
@@ -200,7 +200,7 @@ def _encoder(path: str, lookahead: int):
 def _decoder(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = worker_cache(("bpe-decoder", path), lambda: Decoder(path))
-        for batch in batches:
+        for batch in slices(batches):
             values, offsets = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
             out = []
             for start, end in zip(offsets, offsets[1:]):

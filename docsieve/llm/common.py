@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +46,10 @@ def worker_cache(key: object, build: Callable[[], object], keep: int = 3) -> obj
     while len(store) > keep:
         del store[next(iter(store))]
     return store[key]
+
+
+def slices(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of a few rows, so that Python objects exist of a few texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

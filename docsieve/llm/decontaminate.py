@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import WORD_BYTES, worker_cache
+from docsieve.llm.common import WORD_BYTES, slices, worker_cache
 
 #: The words of a text in its original spelling, for offsets; the same cuts as WORD_BYTES makes.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -69,7 +69,7 @@ def scan(text: str | None, vocabulary: dict[bytes, int], automaton) -> tuple[int
 def _scanner(shared, key: str, window: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, automaton = worker_cache(key, lambda: build_automaton(shared.value, window))
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan(text.as_py(), vocabulary, automaton) for text in batch]
             yield pa.StructArray.from_arrays(
                 [

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import held_out, worker_cache
+from docsieve.llm.common import held_out, slices, worker_cache
 
 #: Bounds of the learning sample: documents expected per language, characters of each, languages, bytes of a dictionary.
 SAMPLE = 200
@@ -76,7 +76,7 @@ def _predictor(shared, key: str):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = worker_cache(key, build)
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(text, compressors) for text in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "margin"])
 

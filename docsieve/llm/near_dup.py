@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsieve.llm.common import LOWER_BYTES, saved
+from docsieve.llm.common import LOWER_BYTES, saved, slices
 from docsieve.llm.components import components
 
 #: Retained values of the first sketch, of every class, and of the second, of classes that have shared values in the first.
@@ -62,7 +62,7 @@ def _sketcher(words: int, k: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, sketches = [], [], []
             for text in batch:
                 hashes = shingle_hashes(text.as_py(), words)
@@ -76,7 +76,7 @@ def _sketcher(words: int, k: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _longs([shingle_hashes(text.as_py(), words) for text in batch])
 
     return F.arrow_udf(run, "array<long>").asNondeterministic()

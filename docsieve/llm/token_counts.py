@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import worker_cache
+from docsieve.llm.common import slices, worker_cache
 
 #: A text of more characters is huge; characters a chunk advances by; first overlap; chunks encoded at once; cached runs a worker.
 HUGE = 32_768
 STEP = 16_384
 OVERLAP = 256
 BATCH = 8
-CACHE = 400_000
+CACHE = 200_000
 #: White space with the run behind it. No word of the byte-level pattern reaches from other text into white space, and how white space
 #: is cut depends on the run and the one character behind it, so a text's tokens are those of its runs, one after the other.
 _RUN = re.compile(r"\s*\S+|\s+")
@@ -113,7 +113,7 @@ class Counter:
 def _counter(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = worker_cache(("count", path), lambda: Counter(path))
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([counter.count(text) for text in batch.to_pylist()], pa.int64())
 
     return F.arrow_udf(run, "long").asNondeterministic()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import WORD_BYTES, held_out, saved, worker_cache
+from docsieve.llm.common import WORD_BYTES, held_out, saved, slices, worker_cache
 
 #: Words of insult.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "fool", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -68,7 +68,7 @@ def _features():
     """UDF: the different features of a text, for mining."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([sorted({f for w in set(words_of(t or "")) for f in beginnings(w)}) for t in batch.to_pylist()], pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>").asNondeterministic()
@@ -81,7 +81,7 @@ def _votes(voters: tuple[str, ...], key: str):
         bits = {name: 1 << k for k, name in enumerate(voters)}
         patterns = [bits.get(p, 0) for p in PATTERNS]
         known: dict[bytes, int] = worker_cache(key, dict)
-        for batch in batches:
+        for batch in slices(batches):
             masks, hits, sizes = [], [], []
             for text in batch.to_pylist():
                 words = words_of(text or "")
