@@ -47,6 +47,14 @@ def time_uuid(millis: Column, node: Column | None = None) -> Column:
     )
 
 
+def unique_time_uuid(millis: Column, identity: Column) -> Column:
+    """Version 1 UUID carrying ``millis`` and, in its clock sequence and node, a digest of ``identity``: rows of one millisecond that
+    differ in their identity differ in their id, and a row computed again gets its id again."""
+    digest = F.md5(identity.cast("string"))
+    plain = time_uuid(millis, F.substring(digest, 1, 12))
+    return F.concat(F.substring(plain, 1, 19), F.lit("8"), F.substring(digest, 13, 3), F.substring(plain, 24, 13))
+
+
 def time_uuid_millis(uuid: Column) -> Column:
     """Epoch milliseconds carried by a version 1 UUID."""
     digits = F.concat(F.substring(uuid, 16, 3), F.substring(uuid, 10, 4), F.substring(uuid, 1, 8))

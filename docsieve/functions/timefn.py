@@ -86,11 +86,6 @@ class Span:
             return moment.replace(year=year, month=month + 1, day=min(moment.day, last_day))
         return moment + dt.timedelta(**{self.period + "s": amount})
 
-    def estimated_seconds(self) -> int:
-        # fixed values: estimated length of a period in seconds (a month is a twelfth of 365.2425 days)
-        seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2629746, "year": 31556952}
-        return self.amount * seconds[self.period]
-
 
 def span_of(text: str) -> Span:
     """Duration text: a period word, or ``<N> <unit>``; calendar arithmetic for both."""

@@ -84,20 +84,30 @@ def decompose(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFr
 def merge_elements(elements: DataFrame, keys: Sequence[str] = DEDUP_FIELDS, id_column: str = "id") -> DataFrame:
     """One element per key: first and last time, the distinct paths, newest properties, and an id derived from the key.
 
-    Paths are the buckets an element came from, so their set is small. All aggregates combine map-side; properties merge per member before they are collected, so no group is held whole.
+    Paths are the buckets an element came from, so their set is small. The source is read once: each element gives one row per member
+    and one marker row without a member for its own values. Rows combine map-side per key and member, so what meets per key is one row
+    per member name, however many elements there are.
     """
     names = list(keys)
-    base = elements.groupBy(*names).agg(
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("value")))
+    own = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("member"), e["value"].alias("value")))
+    rows = elements.select(*names, "time", "path", F.inline(F.concat(marker, F.coalesce(own, F.slice(marker, 1, 0)))))
+    base = F.col("member").isNull()
+    parts = rows.groupBy(*names, "member").agg(
         F.min("time").alias("created"),
         F.max("time").alias("modified"),
-        F.array_sort(F.collect_set("path")).alias("paths"),
+        F.collect_set(F.when(base, F.col("path"))).alias("paths"),
         F.count(F.lit(1)).alias("seen"),
+        F.max(F.struct("time", "value")).getField("value").alias("value"),
+    )
+    pairs = F.array_sort(F.collect_list(F.when(~base, F.struct("member", "value"))))
+    merged = parts.groupBy(*names).agg(
+        F.max(F.when(base, F.col("created"))).alias("created"),
+        F.max(F.when(base, F.col("modified"))).alias("modified"),
+        F.array_sort(F.flatten(F.collect_list(F.when(base, F.col("paths"))))).alias("paths"),
+        F.max(F.when(base, F.col("seen"))).alias("seen"),
+        F.when(F.count("member") > 0, F.map_from_entries(pairs)).alias("properties"),
     )
-    members = elements.select(*names, "time", F.explode("properties").alias("member", "value"))
-    newest = members.groupBy(*names, "member").agg(F.max(F.struct("time", "value")).getField("value").alias("value"))
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("member", "value"))))
-    properties = newest.groupBy(*names).agg(pairs.alias("properties"))
-    merged = base.join(properties, names, "left")
     return merged.withColumn(id_column, F.md5(F.to_json(F.struct(*names))))
 
 

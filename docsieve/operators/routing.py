@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions import globs, paths
+from docsieve.session import written
 
 TARGET = "__target"
 REASON = "__reason"
@@ -71,19 +72,17 @@ def emit_allowed(
     )
 
 
-def fan_out(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]], persist: bool = True) -> list[str]:
-    """Write one DataFrame to several targets, computing it once; targets sharing a writer are written once."""
+def fan_out(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]]) -> list[str]:
+    """Write one DataFrame to several targets, computing it once; targets sharing a writer are written once.
+
+    With several writers the rows go to the shared folder first, so a lost executor costs no second computation.
+    """
     distinct: dict[int, tuple[str, Callable[[DataFrame], None]]] = {}
     for name, writer in writers.items():
         distinct.setdefault(id(writer), (name, writer))
-    many = persist and len(distinct) > 1
-    source = df.persist() if many else df
-    try:
-        for _, writer in distinct.values():
-            writer(source)
-    finally:
-        if many:
-            source.unpersist()
+    source = written(df, "fan-out") if len(distinct) > 1 else df
+    for _, writer in distinct.values():
+        writer(source)
     return [name for name, _ in distinct.values()]
 
 

@@ -160,6 +160,13 @@ def x15_random_uuid(spark, d):
     return shape.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("x16_unique_time_uuid", "SELECT epoch_us(ts) // 1000 AS millis, count(*) AS ids, '1' AS version FROM events GROUP BY 1")
+def x16_unique_time_uuid(spark, d):
+    made = table(spark, d, "events").select(ids.unique_time_uuid(timefn.millis(F.col("ts")), F.col("event_id")).alias("uuid"))
+    millis = ids.time_uuid_millis(F.col("uuid")).alias("millis")
+    return made.groupBy(millis, F.substring("uuid", 15, 1).alias("version")).agg(F.count_distinct("uuid").alias("ids"))
+
+
 @query("x16_time_uuid", "SELECT event_id, epoch_us(ts) // 1000 AS millis, '1' AS version FROM events")
 def x16_time_uuid(spark, d):
     made = table(spark, d, "events").select("event_id", ids.time_uuid(timefn.millis(F.col("ts"))).alias("uuid"))

@@ -10,7 +10,9 @@ from docsieve.operators.query import all_of
 from docsieve.plans.enrichment import Step, run_steps
 from docsieve.plans.registry import query, table, work_folder
 from docsieve.sources import readers
+from docsieve.sources.layout import Bucket, parse_address
 from docsieve.sources.versioned import current_folder
+from docsieve.sources.writers import to_messages
 from docsieve.streaming import batches, stateful
 from docsieve.streaming.stored import dedup_into
 
@@ -43,6 +45,26 @@ def k9_emit(spark, d):
     return kept.unionByName(messages.select("r.event_id", "r.event_type", F.lit("message").alias("side")))
 
 
+@query(
+    "s8_addresses",
+    """SELECT address, count(*) AS n FROM events JOIN (VALUES ('/feed', 'click'), ('/feed:', 'view'), ('/feed:clean', 'purchase'), ('mine', 'signup')) v(address, kind)
+         ON event_type = kind GROUP BY address""",
+)
+def s8_addresses(spark, d):
+    # each kind of event is sent to one place, and read back by the address of that place
+    own = Bucket("/own", work_folder(spark, "addressed"))
+    events = table(spark, d, "events").select("event_id", "event_type")
+    out = None
+    for address, kind in (("/feed", "click"), ("/feed:", "view"), ("/feed:clean", "purchase"), ("mine", "signup")):
+        bucket, stage = parse_address(address, own)
+        to_messages(events.filter(F.col("event_type") == kind)).write.text(bucket.topic(stage))
+        seen = f"{own.folder}/seen/{stage}"
+        batches.emit_to_folder(readers.stream_address(spark, address, own, events.schema), seen, f"{seen}-checkpoint").awaitTermination()
+        part = spark.read.schema(events.schema).parquet(seen).select(F.lit(address).alias("address"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("z3_cut_by_count", "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 700 AS BIGINT) AS batch, event_id FROM events")
 def z3_cut_by_count(spark, d):
     events = table(spark, d, "events").select("event_id")

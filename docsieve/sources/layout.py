@@ -34,6 +34,10 @@ class Bucket:
         tail = f"/{job}" if job else ""
         return f"{self.folder}/stored/{name}{tail}"
 
+    def topic(self, stage: str = "$end") -> str:
+        """Folder of the messages a stage of the bucket's processing emits; ``$start`` and ``$end`` are its ends."""
+        return f"{self.folder}/topics/{stage.lstrip('$')}"
+
     @property
     def ready(self) -> str:
         """Folder new files are dropped in."""
@@ -45,6 +49,15 @@ def state_bucket(owner: Bucket, job: str, name: str) -> Bucket:
     return Bucket(f"{owner.full_name}/_state/{job}/{name}", owner.root, owner.format, id_column=owner.id_column)
 
 
+def parse_address(address: str, own: Bucket) -> tuple[Bucket, str]:
+    """(bucket, stage) of an input address: ``/b`` is the end of bucket b, ``/b:`` its start, ``/b:x`` its stage x, ``x`` a stage of the
+    bucket itself. Other buckets lie under the same root."""
+    if not address.startswith("/"):
+        return own, address
+    name, colon, stage = address.partition(":")
+    return Bucket(name, own.root, own.format), (stage or "$start") if colon else "$end"
+
+
 def hadoop_path(spark: SparkSession, path: str) -> tuple[Any, Any]:
     """(file system, path) of a location."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)

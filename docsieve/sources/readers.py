@@ -14,7 +14,7 @@ from docsieve.operators import timeslice
 from docsieve.operators.buckets import BUCKET, matching_buckets
 from docsieve.operators.grouped import tag_inputs
 from docsieve.operators.query import Query
-from docsieve.sources.layout import Bucket, list_folders
+from docsieve.sources.layout import Bucket, list_folders, parse_address
 from docsieve.sources.versioned import current_folder
 
 
@@ -156,6 +156,13 @@ def stream_topic(spark: SparkSession, servers: str, topic: str, schema: T.Struct
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
 
 
+def stream_address(spark: SparkSession, address: str, own: Bucket, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """The messages an input address names, as a stream of rows."""
+    bucket, stage = parse_address(address, own)
+    messages = stream_folder(spark, bucket.topic(stage), T.StructType([T.StructField("value", T.StringType())]), "text", max_files)
+    return messages.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def warehouse_view(df: DataFrame, table: str, sql: str, view: str) -> DataFrame:
     """A view given by SQL over a bucket's table."""
     df.createOrReplaceTempView(table)

@@ -14,7 +14,7 @@ from docsieve.operators.buckets import coerce
 from docsieve.operators.update import upsert
 from docsieve.sources import layout
 from docsieve.sources.layout import Bucket, exists
-from docsieve.sources.versioned import current_folder, has_version, replace_folder
+from docsieve.sources.versioned import current_folder, replace_folder
 
 # fixed values: codec names and what Spark calls them (framed snappy has no Spark writer; plain snappy stands in)
 CODECS = {"": "none", "plain": "none", "gz": "gzip", "gzip": "gzip", "sz": "snappy", "snappy": "snappy", "fr.sz": "snappy", "snappy_framed": "snappy"}
@@ -22,16 +22,30 @@ CODECS = {"": "none", "plain": "none", "gz": "gzip", "gzip": "gzip", "sz": "snap
 
 @dataclass(frozen=True)
 class WriteSettings:
-    """Size of written files and the number of writing tasks."""
+    """Size of written files in rows and in kilobytes of JSON, the number of writing tasks, and how often a stream is flushed."""
 
     batch_max_objects: int | None = None
     target_write_concurrency: int | None = None
     codec: str = "snappy"
+    batch_max_size_kb: float | None = None
+    batch_flush_interval: str | None = None
 
     def writer(self, df: DataFrame, fmt: str):
         out = df if self.target_write_concurrency is None else df.repartition(self.target_write_concurrency)
         writer = out.write.format(fmt).option("compression", CODECS[self.codec])
-        return writer if self.batch_max_objects is None else writer.option("maxRecordsPerFile", self.batch_max_objects)
+        rows = [n for n in (self.batch_max_objects, self._rows_of_size(df)) if n is not None]
+        return writer.option("maxRecordsPerFile", min(rows)) if rows else writer
+
+    def _rows_of_size(self, df: DataFrame) -> int | None:
+        """Rows that make up the largest batch at the mean size of a row."""
+        if self.batch_max_size_kb is None:
+            return None
+        mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))).alias("b")).first()["b"]
+        return max(1, int(self.batch_max_size_kb * 1024 / mean)) if mean else None
+
+    def flush(self) -> dict[str, str]:
+        """Arguments for the functions that start streams: how often batches are written."""
+        return {"every": self.batch_flush_interval} if self.batch_flush_interval else {}
 
 
 def write_sliced(
@@ -95,7 +109,10 @@ def write_results(df: DataFrame, bucket: Bucket, dedup_configured: bool, delete_
 
 
 def age_out_stage(spark: SparkSession, bucket: Bucket, stage: str, max_age: str, now: dt.datetime) -> list[str]:
-    """Remove the slices of a stage that ended before the age limit; returns their folders. Each stage has its own limit."""
+    """Remove the slices of a stage that ended before the age limit; returns their folders. Each stage has its own limit.
+
+    Folders are deleted whole: a reader that listed them before may find files gone, so run it when their age makes that harmless.
+    """
     folders = layout.list_folders(spark, current_folder(spark, bucket.stage(stage)))
     marked = [(folder, folder.rsplit(f"{timeslice.SLICE}=", 1)[1].replace("%3A", ":")) for folder in folders if f"{timeslice.SLICE}=" in folder]
     if not marked:
@@ -107,16 +124,6 @@ def age_out_stage(spark: SparkSession, bucket: Bucket, stage: str, max_age: str,
     return expired
 
 
-def write_targets(external: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -> None:
-    """Hand the rows of each known target to its writer; the target list is configuration, the rows are computed once."""
-    source = external.persist()
-    try:
-        for target, writer in writers.items():
-            writer(source.filter(F.col(routing.TARGET) == target).drop(routing.TARGET))
-    finally:
-        source.unpersist()
-
-
 def write_partitioned_targets(external: DataFrame, root: str, fmt: str = "parquet") -> None:
     """All targets in one job: one folder per target, any number of targets."""
     external.write.format(fmt).mode("append").partitionBy(routing.TARGET).save(root)
@@ -189,8 +196,3 @@ def log_writer(root: str, fmt: str = "parquet") -> Callable[[DataFrame], None]:
         rows.write.format(fmt).mode("append").partitionBy("bucket", timeslice.SLICE).save(root)
 
     return write
-
-
-def is_versioned(bucket: Bucket, df: DataFrame, stage: str = "processed") -> bool:
-    return has_version(df.sparkSession, bucket.stage(stage))
-

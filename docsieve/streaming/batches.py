@@ -60,11 +60,9 @@ def emit_to_bucket_and_messages(bucket_folder: str, message_folder: str, fmt: st
     """Micro-batch handler writing to the bucket and to its listeners; a repeated batch overwrites its own folders."""
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        kept = df.persist()
-        try:
-            kept.write.mode("overwrite").format(fmt).save(f"{bucket_folder}/batch={batch_id}")
-            to_messages(kept).write.mode("overwrite").text(f"{message_folder}/batch={batch_id}")
-        finally:
-            kept.unpersist()
+        folder = f"{bucket_folder}/batch={batch_id}"
+        df.write.mode("overwrite").format(fmt).save(folder)
+        kept = df.sparkSession.read.format(fmt).schema(df.schema).load(folder)  # what was written, not computed again
+        to_messages(kept).write.mode("overwrite").text(f"{message_folder}/batch={batch_id}")
 
     return handle

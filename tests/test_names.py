@@ -147,3 +147,10 @@ def test_rule_names_and_lists(spark):
     assert kept(globs.rule_list(F.col("h"), ["$x"], F.col("names"))) == ["a1"]
     assert kept(globs.rule_list(F.col("h"), ["-$x"], F.col("names"))) == ["a2", "b1"]
     assert kept(globs.rule_lists(F.col("h"), [["a*"], ["-$x"]], F.col("names"))) == ["a2"]
+
+
+def test_unique_time_uuids(spark):
+    df = spark.range(5).select(ids.unique_time_uuid(F.lit(1445019566566), F.col("id")).alias("u"))
+    made = [r["u"] for r in df.collect()]
+    assert len(set(made)) == 5 and {uuid.UUID(u).version for u in made} == {1} and {uuid.UUID(u).variant for u in made} == {uuid.RFC_4122}
+    assert {r[0] for r in df.select(ids.time_uuid_millis(F.col("u"))).collect()} == {1445019566566}

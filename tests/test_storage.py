@@ -143,10 +143,18 @@ def test_routing_and_fan_out(spark, tmp_path):
     routing.fan_out(df, {"one": first, "same": first, "two": second})
     assert calls == [("a", 4), ("b", 4)]
     folder = str(tmp_path / "targets")
-    writers.write_targets(routing.route(df, "/out/y"), {"/out/y": lambda frame: frame.write.parquet(folder)})
+    writers.write_partitioned_targets(routing.route(df, "/out/y"), folder)
     assert spark.read.parquet(folder).count() == 4
 
 
+def test_write_size_and_flush(spark, tmp_path, rows):
+    settings = writers.WriteSettings(batch_max_size_kb=0.5, target_write_concurrency=1, batch_flush_interval="5 seconds")
+    settings.writer(rows, "json").save(f"{tmp_path}/sized")
+    files = [path.read_bytes() for path in Path(f"{tmp_path}/sized").glob("*.json*")]
+    assert len(files) > 8 and settings.flush() == {"every": "5 seconds"}
+    assert writers.WriteSettings().flush() == {}
+
+
 def test_steps(spark):
     df = spark.range(10)
     steps = [
