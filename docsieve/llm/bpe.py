@@ -185,40 +185,53 @@ class Decoder:
         return rest
 
 
-def _encoder(path: str, lookahead: int):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        transducer = worker_cache(("bpe", path), lambda: Transducer(path, lookahead))
-        for batch in slices(batches):
-            packed = [b"".join(transducer.encode(text)) if text else b"" for text in batch.cast(pa.binary()).to_pylist()]
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
 
-    return F.arrow_udf(run, "array<int>").asNondeterministic()
+def _decoded(decoder: Decoder, ids: np.ndarray) -> str:
+    pieces = [decoder.feed(ids[at : at + SLICE].tolist()) for at in range(0, len(ids), SLICE)]
+    return "".join([*pieces, decoder.finish()])
 
 
-def _decoder(path: str):
+def _udf(path: str, encode: bool, decode: bool):
+    """UDF that encodes texts, decodes ids, or does both in one worker and gives both."""
+    spec = _specification(path)
+    lookahead = sufficient_lookahead(spec["merges"], spec["suffix"])
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = worker_cache(("bpe-decoder", path), lambda: Decoder(path))
+        transducer = worker_cache(("bpe", path), lambda: Transducer(path, lookahead)) if encode else None
+        decoder = worker_cache(("bpe-decoder", path), lambda: Decoder(path)) if decode else None
         for batch in slices(batches):
-            values, offsets = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-            out = []
-            for start, end in zip(offsets, offsets[1:]):
-                pieces = [decoder.feed(values[at : min(at + SLICE, end)].tolist()) for at in range(start, end, SLICE)]
-                out.append("".join([*pieces, decoder.finish()]))
-            yield pa.array(out, pa.string())
+            if transducer is not None:
+                packed = [b"".join(transducer.encode(text)) if text else b"" for text in batch.cast(pa.binary()).to_pylist()]
+                lists = _id_lists(packed)
+            else:
+                packed, lists = [np.array(ids.as_py() or [], np.int32).tobytes() for ids in batch], None
+            if decoder is None:
+                yield lists
+                continue
+            texts = pa.array([_decoded(decoder, np.frombuffer(p, np.int32)) for p in packed], pa.string())
+            yield texts if lists is None else pa.StructArray.from_arrays([lists, texts], ["ids", "decoded"])
 
-    return F.arrow_udf(run, "string").asNondeterministic()
+    kind = "struct<ids: array<int>, decoded: string>" if encode and decode else "array<int>" if encode else "string"
+    return F.arrow_udf(run, kind).asNondeterministic()
 
 
 def encoded(documents: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``documents`` with the token ids of each whole text: no added special tokens, special strings inside texts are special tokens,
     no truncation or padding. Null and empty texts, and texts without words, have no ids. ``path`` is read on every worker."""
-    spec = _specification(path)
-    lookahead = sufficient_lookahead(spec["merges"], spec["suffix"])
-    return documents.withColumn(into, _encoder(path, lookahead)(F.col(text)))
+    return documents.withColumn(into, _udf(path, True, False)(F.col(text)))
 
 
 def decoded(documents: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``documents`` with the text of each array of ids, special tokens included. A null array decodes to the empty text."""
-    return documents.withColumn(into, _decoder(path)(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+    return documents.withColumn(into, _udf(path, False, True)(F.col(ids)))
+
+
+def round_trip(documents: DataFrame, path: str, text: str = "text", into: str = "tokens") -> DataFrame:
+    """``documents`` with a struct of ``ids`` and of the text decoded from these ids, as ``encoded`` and ``decoded`` give them, by one
+    worker a task."""
+    return documents.withColumn(into, _udf(path, True, True)(F.col(text)))

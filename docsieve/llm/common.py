@@ -37,7 +37,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def worker_cache(key: object, build: Callable[[], object], keep: int = 3) -> object:
+def worker_cache(key: object, build: Callable[[], object], keep: int = 2) -> object:
     """One object per key and Python worker, kept while Spark reuses the worker (vocabularies, automata); the last ``keep`` stay."""
     holder = sys.modules.setdefault("docsieve_worker_cache", types.ModuleType("docsieve_worker_cache"))
     store = holder.__dict__.setdefault("store", {})

@@ -126,15 +126,14 @@ def _vocabulary(name: str) -> str:
 
 @_query("op8_bpe_round_trip")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    from docsieve.llm.bpe import decoded, encoded
+    from docsieve.llm.bpe import round_trip
 
-    path = _vocabulary("word_bpe_49k.json")
-    both = decoded(encoded(_table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    both = round_trip(_table(spark, folder, "documents").select("doc_id", "text"), _vocabulary("word_bpe_49k.json"))
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("tokens.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("tokens.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

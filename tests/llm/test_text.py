@@ -82,6 +82,8 @@ def test_encode_and_decode_columns(spark):
     for row, text in zip(rows, texts):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert row["ids"] == ids and row["decoded"] == library.decode(ids, skip_special_tokens=False)
+    both = bpe.round_trip(docs, WORDS, into="known").orderBy("doc_id").collect()
+    assert [(r["known"]["ids"], r["known"]["decoded"]) for r in both] == [(r["ids"], r["decoded"]) for r in rows]
     assert bpe.encoded(docs.where("false"), WORDS).count() == 0
     with pytest.raises(ValueError):
         bpe.encoded(docs, BYTES)
