@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.bpe import decoded, encoded
+from docsieve.llm.bpe import round_trip
 from docsieve.llm.common import saved
 from docsieve.llm.decontaminate import contamination, is_contaminated
 from docsieve.llm.language import learned_dictionaries, with_language
@@ -60,13 +60,12 @@ def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    both = decoded(encoded(docs.select("doc_id", "text"), path), path)
+    both = round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("tokens.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("tokens.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
