@@ -33,6 +33,7 @@ SUFFIX_FORMATS = {
     "month": "yyyy.MM",
     "year": "yyyy",
 }
+# fixed values: the shape of each suffix
 SUFFIX_SHAPES = {
     "second": r"[0-9]{4}[.][0-9]{2}[.][0-9]{2}[.][0-9]{2}:[0-9]{2}:[0-9]{2}",
     "minute": r"[0-9]{4}[.][0-9]{2}[.][0-9]{2}[.][0-9]{2}:[0-9]{2}",

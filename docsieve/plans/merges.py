@@ -209,7 +209,7 @@ def w6_outside(spark, d):
     return mg.emit_any(merged, [mg.rule_outside(F.col("merge_sum"), 50.0, 2000.0)]).select("event_id", "merge_sum")
 
 
-def _throttle_sql(key: str, period: int, forced: str) -> str:
+def throttle_sql(key: str, period: int, forced: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) // 1000 AS ms, {forced} AS force,
         row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
       walk AS (SELECT event_id, k, ms AS mark, n, true AS hit FROM e WHERE n = 1
@@ -218,18 +218,18 @@ def _throttle_sql(key: str, period: int, forced: str) -> str:
       SELECT event_id FROM walk WHERE hit"""
 
 
-@query("w5_throttle", _throttle_sql("user_id", 86_400_000, "false"))
+@query("w5_throttle", throttle_sql("user_id", 86_400_000, "false"))
 def w5_throttle(spark, d):
     return mg.throttle(events(spark, d, "user_id", *ORDER), ["user_id"], ORDER, 86_400_000).select("event_id")
 
 
-@query("w5_throttle_hot_keys", _throttle_sql("event_type", 3_600_000, "false"))
+@query("w5_throttle_hot_keys", throttle_sql("event_type", 3_600_000, "false"))
 def w5_throttle_hot_keys(spark, d):
     rows = events(spark, d, "event_type", *ORDER)
     return mg.throttle(rows, ["event_type"], ORDER, 3_600_000, chunks=16).select("event_id")
 
 
-@query("w7_any_rule", _throttle_sql("user_id", 172_800_000, "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) % 7 = 0 OR value > 150"))
+@query("w7_any_rule", throttle_sql("user_id", 172_800_000, "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) % 7 = 0 OR value > 150"))
 def w7_any_rule(spark, d):
     merged = mg.running_merge(events(spark, d, "user_id", "value", *ORDER), ["user_id"], ORDER)
     forced = mg.rule_every_nth(7) | mg.rule_outside(F.col("value"), high=150.0)

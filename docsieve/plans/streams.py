@@ -8,6 +8,7 @@ from docsieve.functions.timefn import millis
 from docsieve.operators.dedup import DedupConfig
 from docsieve.operators.query import all_of
 from docsieve.plans.enrichment import Step, run_steps
+from docsieve.plans.merges import throttle_sql
 from docsieve.plans.registry import query, table, work_folder
 from docsieve.sources import readers
 from docsieve.sources.layout import Bucket, parse_address
@@ -141,17 +142,38 @@ def z7_stream_dedup(spark, d):
          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n % 5 = 0""",
 )
 def z8_stream_merge(spark, d):
+    merged = _merged_stream(spark, d, stateful.Rules(every_nth=5))
+    return merged.select("user_id", "event_id", "merge_count", F.round("merge_sum", 2).alias("merge_sum"))
+
+
+def _merged_stream(spark, d, rules):
+    """Rows of the running merge of events per user that pass the rules, from a stream run to its end."""
     folder = work_folder(spark, "merged")
     stream = _events_stream(spark, d).withColumn("at", millis(F.col("ts")))
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, stateful.ROCKSDB)
     try:
-        merged = stateful.running_merge_stream(stream, "user_id", "at", "value", "event_id", stateful.Rules(every_nth=5))
+        merged = stateful.running_merge_stream(stream, "user_id", "at", "value", "event_id", rules)
         batches.emit_to_folder(merged, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    return spark.read.parquet(f"{folder}/out").select("user_id", "event_id", "merge_count", F.round("merge_sum", 2).alias("merge_sum"))
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "z8_stream_threshold",
+    """SELECT event_id, n AS merge_count, least(prev, value) AS pair_min FROM (SELECT event_id, value, count(*) OVER w AS n,
+         last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE value < 5 OR value > 150""",
+)
+def z8_stream_threshold(spark, d):
+    return _merged_stream(spark, d, stateful.Rules(below=5.0, above=150.0)).select("event_id", "merge_count", "pair_min")
+
+
+@query("z8_stream_throttle", throttle_sql("user_id", 86_400_000, "false"))
+def z8_stream_throttle(spark, d):
+    return _merged_stream(spark, d, stateful.Rules(every_ms=86_400_000)).select("event_id")
 
 
 @query("z9_consumers", "SELECT name, count(*) AS n FROM events, (VALUES ('first'), ('second')) v(name) GROUP BY name")

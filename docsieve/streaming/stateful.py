@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -54,6 +55,27 @@ def merge_processor(
     Rows of a micro-batch are taken in ``(at, tie)`` order; state per key is four numbers whatever the key's volume.
     """
 
+    def _merged(batch: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        """Merged rows that pass rules without memory, as arrays, and the state behind the batch."""
+        count, total, last, mark = state
+        values = batch[value].to_numpy(np.float64, na_value=np.nan)
+        filled = np.nan_to_num(values, nan=0.0)
+        known = pd.Series(np.concatenate([[np.nan if last is None else last], values])).ffill().to_numpy()
+        numbers, sums = count + np.arange(1, len(batch) + 1), total + np.cumsum(filled)
+        keep = np.full(len(batch), rules.none)
+        if rules.every_nth is not None:
+            keep |= numbers % rules.every_nth == 0
+        if rules.below is not None:
+            keep |= filled < rules.below
+        if rules.above is not None:
+            keep |= filled > rules.above
+        merged = batch[[key, tie, at]].assign(
+            merge_count=numbers, merge_sum=sums, pair_min=np.fmin(known[:-1], values), pair_max=np.fmax(known[:-1], values)
+        )[keep]
+        if keep.any():
+            mark = int(merged[at].iloc[-1])
+        return merged, (int(numbers[-1]), float(sums[-1]), None if np.isnan(known[-1]) else float(known[-1]), mark)
+
     class KeyedMerge(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._state = handle.getValueState("merged", STATE)
@@ -62,6 +84,13 @@ def merge_processor(
             stored = self._state.get() if self._state.exists() else None
             count, total, last, mark = stored if stored is not None else (0, 0.0, None, None)
             batch = pd.concat(list(rows), ignore_index=True).sort_values([at, tie], kind="stable")
+            if rules.every_ms is None and formatter is None:
+                merged, state = _merged(batch, (count, total, last, mark))
+                self._state.update(state)
+                if len(merged):
+                    yield merged
+                return
+            # what is emitted here depends on what was emitted before, row by row
             emitted = []
             for moment, row_id, current in zip(batch[at], batch[tie], batch[value]):
                 current = None if pd.isna(current) else float(current)

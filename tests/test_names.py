@@ -12,6 +12,7 @@ from docsieve.functions import globs, ids, paths
 from docsieve.operators import buckets, security
 from docsieve.sources.writers import table_format_of
 
+# fixed values: published patterns and the paths they match and miss
 PATTERNS = ["/easy_case", "/easy_case/suffix", "/wildcard_case/**", "/another/wild*card/case", "/final*"]
 HITS = ["/easy_case", "/easy_case/suffix", "/wildcard_case/nested1/nested2", "/another/wildXXXcard/case", "/finally"]
 MISSES = ["", "/easy_case/nonmatching", "/easy_case/suffix/more", "/wildcard_caseSUFFIX", "/another/wildXXXcare/case", "/final/nested"]
