@@ -54,7 +54,39 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 # --- 7: sharding
 
 
-@_query("op7_sharding")
+_ROUNDS = 6
+_P = 2147483647
+
+
+def _sharding_sql() -> str:
+    """Row numbers by bucket of an MD5, the Feistel rounds as one select each, cycle walking as a recursion, CRC-32 byte by byte."""
+    from docsieve.llm.sharding import BUCKET_ROWS, round_keys
+
+    rounds = []
+    for i, key in enumerate(round_keys(1)):
+        t = f"((y + {key}) % {_P})"
+        mixed = f"(({t} * {t}) % {_P}) * (({t} + {key // 2 + 1}) % {_P}) % {_P}"
+        rounds.append(f"e{i + 1} AS (SELECT n, y AS x, (x + {mixed}) % {'b' if i % 2 else 'a'} AS y, a, b FROM e{i})")
+    return f"""
+WITH RECURSIVE t AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+h AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '[0-9A-F][0-9A-F]'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, v: xor(t[xor(c, v) % 256 + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM h, t),
+k AS (SELECT *, greatest((SELECT count(*) FROM (SELECT DISTINCT doc_id, size, text_crc32 FROM c)) // {BUCKET_ROWS}, 1) AS buckets FROM c),
+n AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), size, text_crc32)), 1, 15) AS BIGINT) % buckets,
+        doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number, count(*) OVER () AS rows FROM k),
+r AS (SELECT max(rows) AS rows, CAST(ceil(sqrt(max(rows))) AS BIGINT) AS a FROM n),
+ab AS (SELECT rows, a, (rows + a - 1) // a AS b FROM r),
+e0 AS (SELECT n, n // b AS x, n % b AS y, a, b FROM (SELECT unnest(range(0, a * b)) AS n, a, b FROM ab)),
+{", ".join(rounds)},
+e AS (SELECT n, x * b + y AS place FROM e{_ROUNDS}),
+w AS (SELECT n, place FROM e UNION ALL SELECT w.n, e.place FROM w JOIN e ON e.n = w.place WHERE w.place >= (SELECT rows FROM ab)),
+s AS (SELECT n, place FROM w WHERE place < (SELECT rows FROM ab) AND n < (SELECT rows FROM ab))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % 8 AS INTEGER) AS shard, place // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+FROM n JOIN s ON s.n = n.row_number"""
+
+
+@_query("op7_sharding", _sharding_sql())
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     from docsieve.llm.sharding import shards
 

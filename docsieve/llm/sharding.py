@@ -71,7 +71,8 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     distinct = counted.count()
     buckets = max(1, distinct // BUCKET_ROWS)
     width = max(1, int(buckets**0.5))
-    placed = counted.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    placed = counted.withColumn("__b", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % buckets)
     totals = placed.groupBy("__b").agg(F.sum("__m").alias("n")).withColumn("__s", F.expr(f"__b div {width}"))
     inner = totals.withColumn("before", F.sum("n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("n"))
     outer = totals.groupBy("__s").agg(F.sum("n").alias("n"))
