@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import WORD_BYTES, held_out, saved, slices, worker_cache
+from docsieve.llm.near_dup import shingle_hashes
 
 #: Words of insult.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "fool", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -30,7 +31,7 @@ WORDS = 150_000
 BEGINNINGS = (4, 5, 6)
 ROUNDS = 8
 #: A mined voter fires in this share of toxic documents at least, and at least e^ODDS times as often as in clean ones.
-SHARE = 0.004
+SHARE = 0.01
 ODDS = 3.0
 PATTERNS = ("!shouting", "!exclaiming")
 _EXCLAIM = re.compile("!!")
@@ -65,13 +66,16 @@ def writing(text: str, n_words: int) -> list[bool]:
 
 
 def _features():
-    """UDF: the different features of a text, for mining."""
+    """UDF: the different features of a text, for mining, and its family: the least hash of its shingles, which copies mostly share."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in slices(batches):
-            yield pa.array([sorted({f for w in set(words_of(t or "")) for f in beginnings(w)}) for t in batch.to_pylist()], pa.list_(pa.string()))
+            texts = batch.to_pylist()
+            found = pa.array([sorted({f for w in set(words_of(t or "")) for f in beginnings(w)}) for t in texts], pa.list_(pa.string()))
+            families = pa.array([int(hashes[0]) if len(hashes) else None for hashes in (shingle_hashes(t, 4) for t in texts)], pa.int64())
+            yield pa.StructArray.from_arrays([found, families], ["found", "family"])
 
-    return F.arrow_udf(run, "array<string>").asNondeterministic()
+    return F.arrow_udf(run, "found array<string>, family long").asNondeterministic()
 
 
 def _votes(voters: tuple[str, ...], key: str):
@@ -125,10 +129,19 @@ def _posterior(evidence: np.ndarray, prior: float, toxic: np.ndarray, clean: np.
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def mined_voters(labelled: DataFrame, toxic: int, clean: int) -> list[tuple[str, float, float]]:
-    """(voter, rate in toxic, rate in clean) from counts over labelled rows (columns text, toxic). A beginning stands for what it begins
-    where it is as telling; the most frequent voters stay."""
-    counts = labelled.select("toxic", F.explode(_features()(F.col("text"))).alias("f")).groupBy("f")
+def mined_voters(labelled: DataFrame) -> tuple[list[tuple[str, float, float]], int]:
+    """(voter, rate in toxic, rate in clean) from counts over labelled rows (columns text, toxic), and the clean rows counted.
+
+    Of a family of copies one row counts, else the words of a much copied text would look telling. A beginning stands for what it
+    begins where it is as telling; the most frequent voters stay.
+    """
+    rows = labelled.select("toxic", _features()(F.col("text")).alias("x")).select("toxic", "x.found", "x.family")
+    rows = saved(rows.dropDuplicates(["toxic", "family"]), "families")
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return [], clean
+    counts = rows.select("toxic", F.explode("found").alias("f")).groupBy("f")
     counts = counts.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
     told = counts.where((F.col("a") >= max(5, SHARE * toxic)) & (odds >= ODDS)).orderBy(F.desc("a"), "f").limit(20 * VOTERS).collect()
@@ -138,8 +151,13 @@ def mined_voters(labelled: DataFrame, toxic: int, clean: int) -> list[tuple[str,
         covered = [c for c in chosen if c.endswith("*") and stem.startswith(c[:-1])]
         if not any(row["b"] / max(row["a"], 1) >= 0.5 * chosen[c][1] / max(chosen[c][0], 1) for c in covered):
             chosen[row["f"]] = (row["a"], row["b"])
+    # a beginning gives way to a longer one that fires about as often in toxic texts and far less in clean ones
+    for name, (a, b) in list(chosen.items()):
+        longer = [v for other, v in chosen.items() if other != name and other.startswith(name.rstrip("*"))]
+        if name.endswith("*") and any(v[0] >= 0.8 * a and v[1] < 0.5 * b for v in longer):
+            del chosen[name]
     kept = sorted(chosen.items(), key=lambda kv: (-kv[1][0], kv[0]))
-    return [(name, a / max(toxic, 1), b / max(clean, 1)) for name, (a, b) in kept]
+    return [(name, a / toxic, b / clean) for name, (a, b) in kept], clean
 
 
 def _expectation(patterns: DataFrame, n: int, prior: float, toxic: np.ndarray, clean: np.ndarray, trust: np.ndarray, pairs: bool) -> np.ndarray:
@@ -162,7 +180,7 @@ def _expectation(patterns: DataFrame, n: int, prior: float, toxic: np.ndarray, c
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     """Weights of a logistic regression on fractional labels by Newton steps; the last column is the bias and not shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(len(w), penalty)
@@ -182,11 +200,28 @@ def _design(masks: np.ndarray, hits: np.ndarray, words: np.ndarray, n: int) -> n
     return np.column_stack([_bits(masks, n), np.log1p(hits), np.minimum(10.0, 100.0 * hits / np.maximum(words, 1)), np.ones(len(masks))])
 
 
+def _calibrated(weights: np.ndarray, labelled: list, counts: dict[int, int], n: int) -> np.ndarray:
+    """The classifier with its scale and bias set on the labelled sample, in the proportions of the labels, so that 0.5 is the place to
+    cut. As it is where the sample lacks a class or runs against the classifier."""
+    y = np.array([r["toxic"] for r in labelled], np.float64)
+    if not len(y) or y.min() == y.max():
+        return weights
+    masks, hits, words = (np.array([r[k] for r in labelled], np.int64) for k in ("mask", "hits", "words"))
+    logit = _design(masks, hits, words, n) @ weights
+    weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())
+    scale, bias = _logistic(np.column_stack([logit, np.ones(len(y))]), y, weight / weight.mean())
+    if scale <= 0:
+        return weights
+    out = weights * scale
+    out[-1] += bias
+    return out
+
+
 def trained(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Fit voters, label model and classifier.
 
-    Labels are used of rows that are not held out, and only to mine voters (``MINED`` documents of a class), to start the label model and
-    for its prior. The label model's rates come from the votes on all documents, half a weight being on the labelled start. Documents
+    Labels are used of rows that are not held out, and only to mine voters (``MINED`` documents of a class), to start the label model,
+    for its prior, and to set scale and bias of the classifier. The label model's rates come from the votes on all documents, half a weight being on the labelled start. Documents
     without label train too. Repeated labels of an id are averaged; null ids and labels are left out. Without labels of both classes
     the fixed lexicon votes alone.
     """
@@ -199,8 +234,7 @@ def trained(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(scale))
     drawn = saved(known.where(place < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])), "labelled")
     sampled = docs.join(F.broadcast(drawn), "doc_id")  # about MINED ids of a class
-    n_toxic, n_clean = (drawn.where(F.col("toxic") == c).count() for c in (1, 0))
-    mined = mined_voters(sampled, n_toxic, n_clean) if n_toxic and n_clean else []
+    mined, n_clean = mined_voters(sampled)
     fixed = [(name, 0.05, 0.001) for name in LEXICON if name not in {m[0] for m in mined}]
     # the patterns come last; behind them stands the silence of all words
     voters = mined[: VOTERS - len(fixed) - len(PATTERNS)] + fixed + [(name, 0.1, 0.1) for name in PATTERNS]
@@ -243,6 +277,7 @@ def trained(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         masks, hits, words = (np.array([r[k] for r in rows], np.int64) for k in ("mask", "hits", "words"))
         weight = np.where(hits > 0, scale / part[1], scale / part[0])  # back to the corpus's proportions
         weights = _logistic(_design(masks, hits, words, n), _posterior(_evidence(masks, n), prior, alpha, beta, trust), weight / weight.mean())
+    weights = _calibrated(weights, voted.join(F.broadcast(drawn), "doc_id").select("mask", "hits", "words", "toxic").collect(), counts, n)
     return Model(names, tuple(map(float, weights)), tuple(map(float, alpha)), tuple(map(float, beta)), tuple(map(tuple, correlation.tolist())), float(prior))
 
 
