@@ -185,12 +185,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     w = np.zeros(x.shape[1])
     shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-6
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (shrink * w * w).sum())
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + shrink * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(shrink), gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9), gradient)
+        now, part = loss(w), 1.0
+        while part > 1e-6 and not loss(w - part * step) <= now:
+            part /= 2  # a full step can overshoot where the classes are apart
+        w -= part * step
+        if part * np.abs(step).max() < 1e-8:
             break
     return w
 
