@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import slices, worker_cache
 
-#: Bytes of text per slice, characters per merge window of a long word, and most cached runs per worker.
+#: Bytes of text per slice, characters per merge window of a long word, and cached runs per worker, held twice at most.
 SLICE = 1 << 20
 WINDOW = 4096
-CACHE = 150_000
+CACHE = 250_000
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -77,6 +77,7 @@ class Transducer:
         self.byte_characters = dict(enumerate(byte_alphabet()))
         self.lookahead, self.window = lookahead, max(WINDOW, 4 * lookahead)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before ``known`` was full; what is met again moves over
 
     def _word_ids(self, word: str) -> Iterator[int]:
         """Ids of one word: all at once, or window by window. The last character of a window carries the end mark, so it counts as
@@ -108,8 +109,9 @@ class Transducer:
 
     def encode(self, data: bytes) -> Iterator[bytes]:
         """Packed ids of UTF-8 text, slice by slice; what is held does not grow with the text beyond one slice or run."""
-        known, at = self.known, 0
+        at = 0
         while at < len(data):
+            known = self.known
             end = len(data)
             if end - at > SLICE:
                 space = _SPACE.search(data, at + SLICE)
@@ -120,11 +122,12 @@ class Transducer:
                 for i, found in enumerate(packed):
                     if found is None:
                         run = runs[i]
-                        packed[i] = found = self._run(run)
+                        found = known.get(run) or self.older.get(run)
+                        packed[i] = found = self._run(run) if found is None else found
                         if len(run) < 64:
-                            if len(known) >= CACHE:
-                                known.clear()
                             known[run] = found
+                if len(known) >= CACHE:
+                    self.known, self.older = {}, known
             yield b"".join(packed)
             at = end
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import slices, worker_cache
 
-#: A text of more characters is huge; characters a chunk advances by; first overlap; chunks encoded at once; cached runs a worker.
+#: A text of more characters is huge; characters a chunk advances by; first overlap; chunks encoded at once; cached runs a worker, held twice at most.
 HUGE = 32_768
 STEP = 16_384
 OVERLAP = 256
 BATCH = 8
-CACHE = 200_000
+CACHE = 250_000
 #: White space with the run behind it. No word of the byte-level pattern reaches from other text into white space, and how white space
 #: is cut depends on the run and the one character behind it, so a text's tokens are those of its runs, one after the other.
 _RUN = re.compile(r"\s*\S+|\s+")
@@ -40,6 +40,7 @@ class Counter:
         longest = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
         self.huge, self.step, self.overlap = huge, step, max(overlap, 2 * longest)
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # what was known before ``known`` was full; what is met again moves over
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -48,12 +49,13 @@ class Counter:
             return self.spliced(text)
         if _ODD.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False))
-        runs, known = _RUN.findall(text), self.known
-        new = list({run for run in runs if run not in known})
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
+        runs, known, older = _RUN.findall(text), self.known, self.older
+        missing = {run for run in runs if run not in known}
+        known.update((run, older[run]) for run in missing if run in older)
+        new = [run for run in missing if run not in older]
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(runs))
             for run, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 known[run] = len(found)
         return sum(map(known.__getitem__, runs))
