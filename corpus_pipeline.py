@@ -12,7 +12,7 @@ from docsieve.llm.bpe import round_trip
 from docsieve.llm.common import saved
 from docsieve.llm.decontaminate import contamination, is_contaminated
 from docsieve.llm.language import learned_dictionaries, with_language
-from docsieve.llm.near_dup import near_duplicates
+from docsieve.llm.near_dup import BROADCAST_IDS, near_duplicates
 from docsieve.llm.toxicity import is_toxic, trained, with_toxicity
 
 
@@ -39,8 +39,10 @@ def drop_undetermined(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows that share an id and stay, one."""
     found = saved(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), "near-duplicates")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = saved(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    # few ids go to every task, so that the texts stay where they are
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = saved(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return left
