@@ -93,9 +93,11 @@ def least_overlap(k: int, percent: int, miss: float = MISS) -> int:
 
 def _least_shared(n: Column, k: int, percent: int) -> Column:
     """Sketch values a class of n shingles shares with any partner at least. Up to k*percent/100 shingles the partner's sketch
-    is its whole set as well, so the bound is exact."""
+    is its whole set as well, so the bound is exact. From there up to k the union may fill k places or not: where it does not,
+    the whole overlap is shared, which can be less than ``least_overlap``, so the smaller bound counts."""
     whole = (n * percent + 99).cast("long")
-    return F.when(n <= k * percent // 100, ((whole - whole % 100) / 100).cast("int")).otherwise(F.lit(least_overlap(k, percent)))
+    exact, sampled = ((whole - whole % 100) / 100).cast("int"), F.lit(least_overlap(k, percent))
+    return F.when(n <= k * percent // 100, exact).when(n <= k, F.least(exact, sampled)).otherwise(sampled)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:

@@ -75,6 +75,28 @@ def test_near_duplicates_against_brute_force(spark, k, k_long):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(rows)
 
 
+def test_near_duplicates_of_contained_copies_around_the_exact_range(spark):
+    fresh = iter("w%d" % i for i in range(10**6))
+
+    def some(n):
+        return [next(fresh) for _ in range(n)]
+
+    rows = []
+    for n in (*range(405, 431), 511, 512, 513, 640):  # n shingles of four words, and the fewest of them that are similar enough
+        whole, least = some(n + 3), -(-n * 80 // 100)
+        rows += [(10 * n, " ".join(whole)), (10 * n + 1, " ".join(whole[: least + 3])), (10 * n + 2, " ".join(whole[: least + 2]))]
+        if n % 2:  # the rarest values of the whole are in its end, which another text has too; two texts have the rest
+            rows += [(10 * n + 3, " ".join([*whole[least:], *some(60)])), (10 * n + 4, " ".join([*whole[: n // 2], *some(80)])), (10 * n + 5, " ".join([*whole[n // 2 - 9 : least + 3], *some(80)]))]
+    # the copy that is one shingle short of the least overlap is linked with the other copy, not with the whole
+    sizes, groups = brute_groups([r for r in rows if r[0] % 10 != 2], 4, 80)
+    assert sum(i != g for i, g in groups.items()) == 30
+    got = near_duplicates(spark.createDataFrame([r for r in rows if r[0] % 10 != 2], "doc_id long, text string"), words=4, percent=80).collect()
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups
+    short = [r for r in rows if r[0] % 10 in (0, 2)]
+    assert all(r["kept"] for r in near_duplicates(spark.createDataFrame(short, "doc_id long, text string"), words=4, percent=80).collect())
+
+
 def test_near_duplicates_repeated_and_null_ids(spark):
     rows = [(5, "a b c d e f")] * 50 + [(3, "a b c d e f"), (None, "a b c d e f"), (None, None), (8, "x")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
