@@ -1,8 +1,9 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and decoding as an incremental state machine.
 
 For tokenizer files whose normaliser and pre-tokeniser drop white space (words with an end-of-word suffix). Text is read in slices cut at
-ASCII white space; a run without white space is cut into words by the file's own pattern; a word longer than a window is merged window by
-window, and a token is emitted once no further text can change it.
+ASCII white space; a run without white space is cut into words by the file's own pattern, beyond ASCII by the library itself, whose
+Unicode tables decide what is a letter; a word longer than a window is merged window by window, and a token is emitted once no further
+text can change it.
 """
 
 from __future__ import annotations
@@ -70,19 +71,25 @@ class Transducer:
         self.tokenizer = Tokenizer.from_file(path)
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.merge = self.tokenizer.model.tokenize
-        self.word = regex.compile(spec["word"]).findall
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.word = regex.compile(spec["word"]).findall  # of ASCII texts only, where all engines cut alike
         self.suffix = spec["suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added"]}
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.byte_characters = dict(enumerate(byte_alphabet()))
         self.lookahead, self.window = lookahead, max(WINDOW, 4 * lookahead)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before ``known`` was full; what is met again moves over
 
-    def _word_ids(self, word: str) -> Iterator[int]:
-        """Ids of one word: all at once, or window by window. The last character of a window carries the end mark, so it counts as
-        unread; what ends ``lookahead`` before it is final, and a final boundary can start the next window."""
-        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_characters)
+    def _words(self, part: str) -> list[str]:
+        """Words of a text without special strings, in the byte alphabet."""
+        words = self.word(part.lower()) if part.isascii() else []
+        if words and all(map(str.isprintable, words)):
+            return words
+        return [word for word, _ in self.cut(self.normalise(part))]
+
+    def _word_ids(self, mapped: str) -> Iterator[int]:
+        """Ids of one word in the byte alphabet: all at once, or window by window. The last character of a window carries the end mark,
+        so it counts as unread; what ends ``lookahead`` before it is final, and a final boundary can start the next window."""
         while len(mapped) > self.window:
             taken = 0
             for token in self.merge(mapped[: self.window]):
@@ -97,13 +104,13 @@ class Transducer:
     def _run(self, run: bytes) -> bytes:
         """Ids, as packed 32-bit integers, of a run of bytes without ASCII white space."""
         text = run.decode("utf-8", "replace")
-        parts = self.split_special(text) if self.split_special and "<" in text else [text]
+        parts = self.split_special(text) if self.split_special else [text]
         ids: list[int] = []
         for part in parts:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for word in self.word(part.lower() if part.isascii() else self.normalise(part)):
+                for word in self._words(part):
                     ids.extend(self._word_ids(word))
         return np.array(ids, np.int32).tobytes()
 
@@ -140,6 +147,9 @@ def _specification(path: str) -> dict:
     words = [s for s in steps if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
     if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or len(words) != 1 or steps[-1]["type"] != "ByteLevel" or steps[-1]["add_prefix_space"]:
         raise ValueError(f"{path}: not a byte-level BPE over words cut by one pattern that drops white space")
+    for token in spec["added_tokens"]:
+        if any(token.get(flag) for flag in ("lstrip", "rstrip", "single_word", "normalized")) or not token["content"] or _SPACE.search(token["content"].encode()):
+            raise ValueError(f"{path}: special string {token['content']!r} takes in blanks, words or normalised text, or is empty")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return {
         "word": words[0]["pattern"]["Regex"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from pathlib import Path
 
@@ -56,6 +57,31 @@ def test_slices_change_nothing(monkeypatch):
         assert np.frombuffer(b"".join(transducer.encode(text.encode())), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_cut_by_the_unicode_tables_of_the_library():
+    library, transducer = tokenizers.Tokenizer.from_file(WORDS), bpe.Transducer(WORDS, 700)
+    newer = [0x558, 0x88F, 0xC5C, 0xA7CE, *range(0x10940, 0x1095A), 0x1D6A6, *range(0x2B73A, 0x2B740), *range(0x2CEA2, 0x2CEAE), *range(0x323B0, 0x323C0)]
+    for c in [*map(chr, newer), *map(chr, range(1, 0x250))]:
+        for text in (f"a{c}b", f"{c}{c}1{c}!", f"!{c}?é{c}", f"it{c}'s<{c}|endoftext|>"):
+            assert np.frombuffer(b"".join(transducer.encode(text.encode())), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def with_special(folder, **changes):
+    spec = json.loads(Path(WORDS).read_text(encoding="utf-8"))
+    spec["added_tokens"][0] |= changes
+    (folder / "words.json").write_text(json.dumps(spec), encoding="utf-8")
+    return str(folder / "words.json")
+
+
+def test_special_strings_of_other_files(tmp_path):
+    path = with_special(tmp_path, content="[START]")
+    library, transducer = tokenizers.Tokenizer.from_file(path), bpe.Transducer(path, 700)
+    for text in ("a[START]b", "[START][START]", "x [START", "é[START]é <|endoftext|>", "[start]"):
+        assert np.frombuffer(b"".join(transducer.encode(text.encode())), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for changes in ({"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}, {"content": "<a b>"}):
+        with pytest.raises(ValueError, match="special string"):
+            bpe.Transducer(with_special(tmp_path, **changes), 700)
+
+
 def test_lookahead_of_small_merge_lists():
     assert bpe.sufficient_lookahead([]) == 0
     assert bpe.sufficient_lookahead([("a", "b")]) == 3  # one character, and the longest token
