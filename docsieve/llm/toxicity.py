@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ ROUNDS = 8
 SHARE = 0.01
 ODDS = 3.0
 PATTERNS = ("!shouting", "!exclaiming")
+#: Letters a text of capitals needs to count as shouting.
+SHOUTED = 20
 _EXCLAIM = re.compile("!!")
 
 
@@ -60,9 +63,9 @@ def beginnings(word: bytes) -> list[str]:
 
 
 def writing(text: str, n_words: int) -> list[bool]:
-    """Votes of the patterns: most letters are capitals; doubled exclamation marks behind many words."""
-    letters = sum(map(str.isalpha, text[:2000])) if text.isupper() else 0
-    return [letters >= 20, n_words >= 5 and len(_EXCLAIM.findall(text)) * 10 >= n_words]
+    """Votes of the patterns: no small letters, and ``SHOUTED`` letters anywhere in the text; doubled exclamation marks behind many words."""
+    letters = sum(1 for _ in islice(filter(str.isalpha, text), SHOUTED)) if text.isupper() else 0
+    return [letters >= SHOUTED, n_words >= 5 and len(_EXCLAIM.findall(text)) * 10 >= n_words]
 
 
 def _features():

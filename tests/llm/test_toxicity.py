@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import held_out
-from docsieve.llm.toxicity import LEXICON, is_toxic, trained, with_toxicity
+from docsieve.llm.toxicity import LEXICON, is_toxic, trained, with_toxicity, writing
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,10 @@ def test_without_labels_or_rows(spark, corpus):
         model = trained(d, l)
         scores = [r[0] for r in with_toxicity(spark.createDataFrame([(1, "you idiot you moron"), (2, "good day")], "doc_id long, text string"), model).select("toxicity.score").collect()]
         assert scores[0] > scores[1] and all(0 <= s <= 1 for s in scores)
+
+
+def test_shouting_behind_a_long_beginning_without_letters():
+    for beginning in ("", "0" * 2_000, "- " * 50_000):
+        assert writing(beginning + "GO AWAY " * 4, 4) == [True, False]
+        assert writing(beginning + "GO AWAY " * 3, 4) == [False, False]  # 18 letters
+        assert writing(beginning + "GO AWAY " * 4 + "x", 4) == [False, False]
