@@ -32,10 +32,21 @@ def prepared(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
+def evenly_cut(texts: list[bytes], total: int) -> list[bytes]:
+    """Beginnings of the texts, of ``total`` bytes at most with one between each two: all of one length, but for shorter texts, whose
+    bytes the others share."""
+    left, cut = total - max(0, len(texts) - 1), {}
+    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        cut[k] = texts[k][: max(0, left) // (len(texts) - done)]
+        left -= len(cut[k])
+    return [cut[k] for k in range(len(texts))]
+
+
 def learned_dictionaries(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary per language, from a bounded sample of the rows that are not held out and have text and language.
 
-    Counts per language, over all rows, set the share of its rows to draw; a hash of the id draws them. Languages are taken as they
+    Counts per language, over all rows, set the share of its rows to draw; a hash of the id draws them and the place in the whole text
+    from which each teaches. The dictionary's bytes are shared evenly, so every drawn document with letters has its part. Languages are taken as they
     come; more than ``LANGUAGES`` raise.
     """
     known = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -48,11 +59,14 @@ def learned_dictionaries(documents: DataFrame, doc_id: str = "doc_id", text: str
     scale = 1 << 40
     limits = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(scale, SAMPLE * scale // n)))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(scale))
-    drawn = known.where(place < limits[F.col("lang")]).select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("span")), F.greatest(F.length("text") - SAMPLE_CHARACTERS, F.lit(0)) + 1).cast("int")
+    span = F.col("text").substr(start + 1, F.lit(SAMPLE_CHARACTERS))
+    drawn = known.where(place < limits[F.col("lang")]).select("lang", place.alias("place"), span.alias("text")).collect()
     parts: dict[str, list[bytes]] = {name: [] for name in counts}
     for row in sorted(drawn, key=lambda r: (r["lang"], r["place"])):
-        parts[row["lang"]].append(prepared(row["text"]))
-    return {name: b" ".join(texts)[:DICTIONARY] for name, texts in sorted(parts.items()) if sum(map(len, texts)) >= 8}
+        if learned := prepared(row["text"]):
+            parts[row["lang"]].append(learned)
+    return {name: b" ".join(evenly_cut(texts, DICTIONARY)) for name, texts in sorted(parts.items()) if sum(map(len, texts)) >= 8}
 
 
 def _predictor(shared, key: str):

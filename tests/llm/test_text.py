@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docsieve.llm import bpe
 from docsieve.llm.decontaminate import build_automaton, contamination, normalised_words, scan
-from docsieve.llm.language import learned_dictionaries, prepared, with_language
+from docsieve.llm.language import DICTIONARY, learned_dictionaries, prepared, with_language
 from docsieve.llm.token_counts import Counter, with_token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -180,6 +180,16 @@ def test_language_accuracy(spark):
     assert n > 100 and right > 0.96 and rejected < 0.02
 
 
+def test_dictionaries_learn_from_whole_texts_and_all_drawn_documents(spark):
+    name = [chr(0x4E00 + i) * 3 for i in range(150)]
+    rows = [(i, name[i] * 800, "zh") for i in range(150)] + [(1000 + i, "the of " * 150 + "further " * 2_000, "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = learned_dictionaries(docs)
+    used = {r["doc_id"] for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()}
+    assert all(name[i].encode() in learned["zh"] for i in used if i < 150) and len(learned["zh"]) <= DICTIONARY
+    assert b"further" in learned["en"]
+
+
 def test_language_edges(spark):
     texts = [None, "", "123 !!", "der die das", "the of and", "中文字", "the " * 50_000]
     learn = [(1000 + i, "der die das und ist nicht " * 9, "de") for i in range(20)] + [(2000 + i, "the of and that with have " * 9, "en") for i in range(20)] + [(3000, None, "fr"), (3001, "x", None)]
