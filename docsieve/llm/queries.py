@@ -246,3 +246,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     scored = with_toxicity(documents, trained(documents, _table(spark, folder, "labels")))
     score = F.col("toxicity.score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), is_toxic(score).cast("int").alias("predicted"))
+
+
+# --- 11: alignment of two tokenizers
+
+
+@_query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.alignment import aligned, with_alignment
+
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    found = aligned(documents, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return with_alignment(documents, found).select("doc_id", "alignment.*")
