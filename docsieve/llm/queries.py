@@ -258,3 +258,29 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     found = aligned(documents, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
     return with_alignment(documents, found).select("doc_id", "alignment.*")
+
+
+# --- 12: phrase collocations
+
+_PHRASE_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g, w[i : i + m - 1] AS ws FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, any_value(ws) AS ws, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE m >= 2 AND f >= 10),
+b AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, f, array_to_string(ws[1:2], ' ') AS g FROM c WHERE m = 3 UNION ALL SELECT lang, f, array_to_string(ws[2:3], ' ') FROM c WHERE m = 3) GROUP BY ALL),
+k AS (SELECT c.lang, c.g, c.f AS a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1 : m], ' ') AS y
+      FROM c LEFT JOIN b ON b.lang = c.lang AND b.g = c.g AND c.m = 2, (VALUES (1), (2)) v(k) WHERE k < m AND (longer IS NULL OR 100 * longer < 50 * c.f)),
+s AS (SELECT k.lang, k.g, a, k, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.g = k.x JOIN f y ON y.lang = k.lang AND y.g = k.y),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM o)
+SELECT t.lang, rank, g AS phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@_query("op12_collocations", _PHRASE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.collocations import collocations
+
+    return collocations(_table(spark, folder, "documents"), max_words=3, min_count=10, covered=50, top=2000)
