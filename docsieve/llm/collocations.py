@@ -22,7 +22,12 @@ from docsieve.llm.common import saved, slices
 BLOCK = 1_500_000
 #: Byte table: A-Z lower-cased, marks that end a piece a line feed, tabs blanks.
 _PIECES = bytes(10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_GRAMS = "lang string, gram string, n long"
+_GRAMS = "bucket int, lang string, gram string, n long"
+#: Edges are dealt out by their node into so many buckets. Documents drawn to find words that hold one word place in ``FREQUENT`` or
+#: more, of which there are no more than that: nodes of such words alone are spread by the edge's last word. Neither changes a result.
+BUCKETS = 1 << 16
+DRAWN = 2000
+FREQUENT = 1000
 
 
 class _Numbers(dict):
@@ -50,35 +55,60 @@ class _Block:
         self.parts.append(ids)
         self.size += len(ids)
 
-    def grams(self, lang: str, longest: int) -> Iterator[pa.RecordBatch]:
-        """Edges (``longest`` words) and, for each shorter length, the ends of pieces, each with its count, in the order of the words."""
+    def grams(self, lang: str, longest: int, frequent: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+        """Edges (``longest`` words) and, for each shorter length, the ends of pieces, each with its count, in the order of the words.
+
+        The bucket is one of the node an edge leaves or a piece ends in; below zero where the node lies in many buckets.
+        """
+        import xxhash
+
         if not self.size:
             return
         ids = np.concatenate([*self.parts, np.zeros(longest, np.int64)])
         words = np.array(list(self.numbers), object)[2:]
         order = np.argsort(words)
+        words = words[order]
         rank = np.zeros(len(words) + 2, np.int64)
         rank[order + 2] = np.arange(1, len(words) + 1)
         ranks = rank[ids]  # 0 ends a piece
-        table = pa.array(words[order], pa.binary())
+        table = pa.array(words, pa.binary())
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        common = np.fromiter((word in frequent for word in words), bool, len(words))
         total = len(ids) - longest
         for length in range(1, longest + 1):
             at = np.flatnonzero(np.logical_and.reduce([ranks[k : total + k] > 0 for k in range(length)]))
             if length < longest:
                 at = at[ranks[at + length] == 0]
+            if not len(at):
+                continue
             code = ranks[at]
             for k in range(1, length):
-                if len(code) and int(code.max() + 1) * (len(words) + 1) >= 1 << 62:
+                if int(code.max() + 1) * (len(words) + 1) >= 1 << 62:
                     code = np.unique(code, return_inverse=True)[1]
                 code = code * (len(words) + 1) + ranks[at + k]
             _, first, count = np.unique(code, return_index=True, return_counts=True)
-            columns = [table.take(pa.array(ranks[at[first] + k] - 1)) for k in range(length)]
-            grams = pc.binary_join_element_wise(*columns, b" ").cast(pa.string()) if length > 1 else columns[0].cast(pa.string())
-            if len(grams):
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, pa.array(count, pa.int64())], ["lang", "gram", "n"])
-
-
-def _edges(longest: int):
+            places = [ranks[at[first] + k] - 1 for k in range(length)]
+            node = places[: longest - 1] or places
+            spread = np.logical_and.reduce([common[p] for p in node])
+            mixed = np.full(len(first), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+            for p in node:
+                mixed = _mixed(mixed, hashes[p])
+            if length == longest > 1:
+                mixed = np.where(spread, _mixed(mixed, hashes[places[-1]]), mixed)
+            bucket = (mixed % np.uint64(BUCKETS)).astype(np.int32)
+            columns = [table.take(pa.array(p)) for p in places]
+            grams = pc.binary_join_element_wise(*columns, b" ") if length > 1 else columns[0]
+            langs = pa.repeat(pa.scalar(lang, pa.string()), len(first))
+            arrays = [pa.array(np.where(spread, -1 - bucket, bucket)), langs, grams.cast(pa.string()), pa.array(count, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "lang", "gram", "n"])
+
+
+def _mixed(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    state = (state ^ value) * np.uint64(0x9E3779B97F4A7C15)
+    return state ^ (state >> np.uint64(31))
+
+
+def _edges(longest: int, frequent: frozenset[bytes] = frozenset()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, _Block] = {}
         for batch in slices(batches):
@@ -87,14 +117,22 @@ def _edges(longest: int):
                     blocks.setdefault(lang, _Block()).add(text)
             if sum(block.size for block in blocks.values()) >= BLOCK:
                 for lang, block in blocks.items():
-                    yield from block.grams(lang, longest)
+                    yield from block.grams(lang, longest, frequent)
                 blocks = {}
         for lang, block in blocks.items():
-            yield from block.grams(lang, longest)
+            yield from block.grams(lang, longest, frequent)
 
     return run
 
 
+def frequent_words(rows: DataFrame) -> frozenset[bytes]:
+    """Words with a share of at least one in ``FREQUENT`` in a draw of about ``DRAWN`` of ``rows`` (lang, text): never more words than that."""
+    drawn = rows.sample(min(1.0, DRAWN / max(rows.count(), 1)), seed=1)
+    counts = drawn.mapInArrow(_edges(1), _GRAMS).groupBy("gram").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(row["gram"].encode() for row in counts.where(F.col("n") * FREQUENT >= total).select("gram").collect())
+
+
 def _words(gram: str | Column) -> Column:
     return F.split(gram, " ")
 
@@ -116,16 +154,20 @@ def phrase_counts(documents: DataFrame, max_words: int = 3, min_count: int = 10,
     whose count is the number of words.
 
     Text is lower-cased (A-Z) and cut into pieces at ``.,;:!?`` and line ends, these into words at blanks and tabs. Each task adds up
-    edges and piece ends of a block of words. The edges are summed, and each gives its count to the phrases it begins with, down to the
-    empty one; so do the ends of pieces. A null language is ``und``. Null and empty texts have no words.
+    edges and piece ends of a block of words. Those of a node meet in one bucket, where edges are summed and each gives its count to the
+    phrases it begins with, down to the empty one; so do the ends of pieces. Rare nodes end there. A null language is ``und``. Null and empty texts have no words.
     """
     rows = documents.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    edges = rows.mapInArrow(_edges(max_words), _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    edges = rows.mapInArrow(_edges(max_words, frequent_words(rows)), _GRAMS).repartition("bucket").groupBy("bucket", "lang", "gram").agg(F.sum("n").alias("n"))
     begins = [_first("gram", str(k)) for k in range(max_words)]
     # an end of a piece is shorter than an edge, so it is its own longest beginning; of an edge only frequent ones are needed
     own = F.when(F.col("n") >= min_count, F.col("gram"))
-    flows = edges.select("lang", "n", F.explode(F.array_distinct(F.array(*begins, own))).alias("gram")).where("gram is not null")
-    return flows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("gram") == ""))
+    flows = edges.select("bucket", "lang", "n", F.explode(F.array_distinct(F.array(*begins, own))).alias("gram")).where("gram is not null")
+    flows = flows.groupBy("bucket", "lang", "gram").agg(F.sum("n").alias("n"))
+    # what flows through a node of one bucket is known there
+    node = F.size(_words("gram")) == max_words - 1
+    kept = flows.where((F.col("bucket") < 0) | (F.col("gram") == "") | ~node | (F.col("n") >= min_count)) if max_words > 2 else flows
+    return kept.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("gram") == ""))
 
 
 def compact_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
