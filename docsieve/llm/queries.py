@@ -284,3 +284,17 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from docsieve.llm.collocations import collocations
 
     return collocations(_table(spark, folder, "documents"), max_words=3, min_count=10, covered=50, top=2000)
+
+
+# --- 13: language model
+
+
+@_query("op13_lm_scoring")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from docsieve.llm.ngram_lm import trained, with_score
+
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    model = trained(documents.where(~held_out))
+    scored = with_score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
