@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 
 from docsieve.functions import globs, paths
 from docsieve.functions.timefn import flexible_timestamp
-from docsieve.operators.grouped import GroupReducer, grouped_apply, reduce_groups
-from docsieve.operators.ordered import first_rows
+from docsieve.operators.grouped import GroupReducer, finish_groups, grouped_apply, reduce_groups, reduce_rows
+from docsieve.operators.ordered import first_rows, null_safe_join
 from docsieve.operators.query import include_fields
+from docsieve.session import written
 
 _KEY_NAME = re.compile(r"k\d+")
 POLICIES = ("leave", "update", "overwrite", "custom", "custom_update")
@@ -225,15 +226,14 @@ def dedup_stats(incoming: DataFrame, stored: DataFrame, config: DedupConfig) ->
 # user functions ---------------------------------------------------------------------------------------------------
 
 
-def custom_groups(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
-    """Rows a custom policy hands to the user function: ``__injected`` is false for new rows and true for stored ones.
+def chosen_keys(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
+    """(``__key``, ``__batch_size``): the groups a custom policy hands to its function, with the number of new rows of matched ones.
 
     ``custom`` takes every matched key, ``custom_update`` those whose last new row is newer than every stored one, and
-    ``finalize_all`` adds the unmatched keys.
+    ``finalize_all`` adds the unmatched keys. Both sides are one row per key before they meet.
     """
     config = config.resolved()
     new = keyed(incoming, config.fields)
-    old = keyed(lookup_scope(stored, config), config.fields)
     timed = config.policy == "custom_update"
     summary = _match_summary(_stored_rows(lookup_scope(stored, config), config), timed, with_id=False)
     per_key = [F.count(F.lit(1)).alias("__new_count")]
@@ -246,11 +246,18 @@ def custom_groups(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -
         passes = passes & F.coalesce(F.col("__new_ts") > F.col("__old_ts"), F.lit(False))
     if config.finalize_all:
         passes = passes | ~matched
-    chosen = decided.filter(passes).select("__key", F.when(matched, F.col("__new_count")).alias("__batch_size"))
-    rows = new.withColumn("__injected", F.lit(False)).unionByName(
-        old.withColumn("__injected", F.lit(True)), allowMissingColumns=True
-    )
-    return rows.join(chosen, "__key")
+    return decided.filter(passes).select("__key", F.when(matched, F.col("__new_count")).alias("__batch_size"))
+
+
+def _both_sides(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
+    new = keyed(incoming, config.fields).withColumn("__injected", F.lit(False))
+    return new.unionByName(keyed(lookup_scope(stored, config), config.fields).withColumn("__injected", F.lit(True)), allowMissingColumns=True)
+
+
+def custom_groups(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
+    """Rows of the ``chosen_keys``: ``__injected`` is false for new rows and true for stored ones."""
+    config = config.resolved()
+    return _both_sides(incoming, stored, config).join(chosen_keys(incoming, stored, config), "__key")
 
 
 def passed_through(incoming: DataFrame, stored: DataFrame, config: DedupConfig) -> DataFrame:
@@ -294,15 +301,40 @@ def dedup_custom(
     config: DedupConfig,
     reducer: type[GroupReducer],
     reduced_schema: T.StructType | str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     columns: Sequence[str] | None = None,
 ) -> DedupResult:
-    """A custom policy from end to end: ``emit`` holds what the function makes of the chosen groups and, untouched, the last row of each
-    unmatched key; fields the function's ``schema`` does not have are null in its rows, and the other way round."""
+    """A custom policy from end to end.
+
+    Rows of both sides are reduced where they are read; of the reduced rows those of the ``chosen_keys`` go on to the function, whose
+    rows are written once, each with its group and its place in it. Against that table the emission policy of ``config`` is checked and
+    the deletions are worked out, by joins on group and id, so that a group of many stored rows is never in one place.
+
+    ``emit``: accepted rows and, untouched, the last row of each unmatched key (fields the one has and the other has not are null).
+    ``delete``: ids of accepted rows with nothing but an id and, with ``delete_unhandled``, ids of stored rows of the function's groups
+    that it did not write again. ``errors``: refused rows. ``columns`` names what the reducer reads beside the keys.
+    """
     config = config.resolved()
-    made = custom_reduce(custom_groups(incoming, stored, config), reducer, reduced_schema, schema, columns)
-    emit = made.unionByName(passed_through(incoming, stored, config), allowMissingColumns=True)
-    return DedupResult(emit, stored.select(config.id_column).limit(0))
+    chosen = written(chosen_keys(incoming, stored, config).select("__key"), "chosen")
+    flat = group_columns(_both_sides(incoming, stored, config))
+    keys = [name for name in flat.columns if _KEY_NAME.fullmatch(name)]
+    wanted = columns if columns is not None else [name for name in flat.columns if name not in keys]
+    reduced = reduce_rows(flat.select(*keys, *[name for name in wanted if name not in keys]), reducer, reduced_schema)
+    reduced = null_safe_join(reduced, group_columns(chosen), keys, "left_semi")
+    made = written(finish_groups(reduced, keys, reducer, schema, tagged=True), "emissions")
+
+    single = not isinstance(chosen.schema["__key"].dataType, T.StructType)
+    group = F.col("__g_k0") if single else F.struct(*[F.col(f"__g_{name}").alias(name) for name in keys])
+    emitted = made.withColumn("__key", group).drop(*[f"__g_{name}" for name in keys])
+    members = keyed(lookup_scope(stored, config), config.fields).select("__key", config.id_column)
+    members = members.join(chosen, "__key", "left_semi")
+    own = dedup_key(emitted, config.fields)
+    checked = check_emissions(emitted, members, own, config.emission, ["__n"], config.id_column, "__key", config.delete_unhandled)
+    payload = [field.name for field in made.schema.fields if not field.name.startswith("__g_") and field.name != "__n"]
+    passed = checked.filter(F.col("__ok") & (F.col("__action") == "write")).select(*[F.col(f"`{name}`") for name in payload])
+    refused = checked.filter(~F.col("__ok")).select(*[F.col(f"`{name}`") for name in payload])
+    emit = passed.unionByName(passed_through(incoming, stored, config), allowMissingColumns=True)
+    return DedupResult(emit, unhandled_ids(checked, members, config.delete_unhandled, config.id_column), refused)
 
 
 def custom_apply(groups: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
@@ -337,11 +369,11 @@ def check_emissions(
         return rows.withColumn("__ok", F.lit(True))
     # minima per group stand in for windows: only the position of a first written row matters
     position = F.struct(*order)
-    written = rows.filter(F.col("__action") == "write")
+    writes = rows.filter(F.col("__action") == "write")
     if policy == "strict":
         ids = members.select(F.col(group_column).alias("__g"), F.col(id_column).alias("__i")).distinct().withColumn("__in", F.lit(True))
         if delete_unhandled:
-            firsts = written.groupBy(F.col(group_column).alias("__g"), F.col(id_column).alias("__i")).agg(F.min(position).alias("__first"))
+            firsts = writes.groupBy(F.col(group_column).alias("__g"), F.col(id_column).alias("__i")).agg(F.min(position).alias("__first"))
             ids = ids.join(firsts, ["__g", "__i"], "left")
         else:
             ids = ids.withColumn("__first", F.lit(None))
@@ -352,7 +384,7 @@ def check_emissions(
             known = known & (F.col("__first").isNull() | (position <= F.col("__first")))
         ok = known | ~F.col("__own").eqNullSafe(F.col(group_column))
         return joined.withColumn("__ok", ok).drop("__g", "__i", "__in", "__own", "__first")
-    first = written.groupBy(F.col(group_column).alias("__g")).agg(F.min(position).alias("__first"))
+    first = writes.groupBy(F.col(group_column).alias("__g")).agg(F.min(position).alias("__first"))
     joined = rows.join(first, rows[group_column] == F.col("__g"), "left")
     return joined.withColumn("__ok", F.col("__first").isNull() | (position <= F.col("__first"))).drop("__g", "__first")
 
@@ -364,6 +396,6 @@ def unhandled_ids(
     asked = checked.filter(F.col("__ok") & (F.col("__action") == "delete")).select(id_column)
     if not delete_unhandled:
         return asked
-    written = checked.filter(F.col("__ok") & (F.col("__action") == "write")).select(group_column, id_column).distinct()
-    left = members.select(group_column, id_column).join(written, [group_column, id_column], "left_anti").select(id_column)
+    writes = checked.filter(F.col("__ok") & (F.col("__action") == "write")).select(group_column, id_column).distinct()
+    left = members.select(group_column, id_column).join(writes, [group_column, id_column], "left_anti").select(id_column)
     return asked.unionByName(left).distinct()

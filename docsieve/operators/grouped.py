@@ -72,7 +72,13 @@ def grouped_apply(
 
 
 class GroupReducer:
-    """A group function in three parts, each from pandas frame to pandas frame over many groups at once."""
+    """A group function in three parts, each from pandas frame to pandas frame over many groups at once.
+
+    ``indexed`` promises that each row ``finish`` returns has the index of the reduced row it comes from, as column arithmetic keeps it;
+    where a row's group has to be known, ``finish`` is else called group by group.
+    """
+
+    indexed = False
 
     def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Some rows of some groups to reduced rows (key columns included)."""
@@ -90,11 +96,8 @@ class GroupReducer:
 _MERGE_AT = 100_000
 
 
-def reduce_groups(
-    df: DataFrame, keys: Sequence[str], reducer: type[GroupReducer], reduced_schema: T.StructType | str, schema: T.StructType | str
-) -> DataFrame:
-    """Run a ``GroupReducer``: reduce where the rows are, one shuffle of reduced rows, merge and finish."""
-    names = list(keys)
+def reduce_rows(df: DataFrame, reducer: type[GroupReducer], reduced_schema: T.StructType | str) -> DataFrame:
+    """First part of a ``GroupReducer``, where the rows are: a few reduced rows per key and task, nothing is shuffled."""
 
     def reduce(frames: Frames) -> Frames:
         instance, held, count = reducer(), [], 0
@@ -112,13 +115,53 @@ def reduce_groups(
         if count:
             yield instance.merge(pd.concat(held, ignore_index=True))
 
+    return df.mapInPandas(reduce, reduced_schema)
+
+
+def finish_groups(
+    reduced: DataFrame, keys: Sequence[str], reducer: type[GroupReducer], schema: T.StructType | str, tagged: bool = False
+) -> DataFrame:
+    """Second part: one shuffle of reduced rows by key, merge and finish.
+
+    ``tagged`` adds the group of each row, as ``__g_<key>``, and the place of the row among those of its group, ``__n``.
+    """
+    names = list(keys)
+
+    def pieces(instance: GroupReducer, merged: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        merged = merged.reset_index(drop=True)
+        parts = [merged] if instance.indexed else [merged.iloc[[row]] for row in range(len(merged))]
+        for part in parts:
+            out = instance.finish(part if instance.indexed else part.reset_index(drop=True))
+            if out is None or not len(out):
+                continue
+            at = out.index.to_numpy() if instance.indexed else np.full(len(out), part.index[0])
+            if instance.indexed and not np.isin(at, merged.index).all():
+                raise ValueError("finish returned rows whose index is of no reduced row")
+            groups = merged.loc[at, names].rename(columns=lambda name: f"__g_{name}").reset_index(drop=True)
+            yield pd.concat([out.reset_index(drop=True), groups], axis=1).assign(__n=pd.Series(at).groupby(at).cumcount().to_numpy())
+
     def finish(frames: Frames) -> Frames:
         instance = reducer()
         for frame in _whole_groups(frames, names, instance.merge):
-            yield instance.finish(instance.merge(frame))
+            merged = instance.merge(frame)
+            if tagged:
+                yield from pieces(instance, merged)
+            else:
+                yield instance.finish(merged)
+
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if tagged:
+        kinds = {field.name: field.dataType for field in reduced.schema.fields}
+        extra = [T.StructField(f"__g_{name}", kinds[name]) for name in names] + [T.StructField("__n", T.LongType())]
+        out = T.StructType([*out.fields, *extra])
+    return reduced.repartition(*names).sortWithinPartitions(*names).mapInPandas(finish, out)
 
-    reduced = df.mapInPandas(reduce, reduced_schema)
-    return reduced.repartition(*names).sortWithinPartitions(*names).mapInPandas(finish, schema)
+
+def reduce_groups(
+    df: DataFrame, keys: Sequence[str], reducer: type[GroupReducer], reduced_schema: T.StructType | str, schema: T.StructType | str
+) -> DataFrame:
+    """Run a ``GroupReducer``: reduce where the rows are, one shuffle of reduced rows, merge and finish."""
+    return finish_groups(reduce_rows(df, reducer, reduced_schema), keys, reducer, schema)
 
 
 def sorted_groups(

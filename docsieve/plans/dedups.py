@@ -168,6 +168,8 @@ MERGED = "_id string, k bigint, amount double, new_rows bigint"
 class AddUp(GroupReducer):
     """One row per group: the first stored row with the amounts of all new rows added."""
 
+    indexed = True
+
     def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
         old = rows["__injected"].astype(bool)
         reduced = pd.DataFrame(
@@ -315,3 +317,67 @@ def d12_manual_delete(spark, d):
 def d11_unhandled(spark, d):
     checked, members = _checked(spark, d, "strict")
     return dd.unhandled_ids(checked, members, delete_unhandled=True)
+
+
+# a custom policy with emission policy and deletions: the function emits the merged order under its stored id, the same under a new id, a
+# row of another key, and a row with nothing but an id; of pending orders only the last two
+
+HANDLED = "_id string, k bigint, amount double"
+
+
+class Handle(AddUp):
+    def finish(self, reduced: pd.DataFrame) -> pd.DataFrame:
+        total = (reduced["added"] + reduced["old_amount"].fillna(0.0)).round(2)
+        key, pending = reduced["k0"], reduced["k0"] % 5 == 0
+        rows = [
+            pd.DataFrame({"_id": reduced["old_id"], "k": key, "amount": total})[~pending],
+            pd.DataFrame({"_id": "n-" + key.astype(str), "k": key, "amount": total})[~pending],
+            pd.DataFrame({"_id": None, "k": -key - 1, "amount": total}),
+            pd.DataFrame({"_id": "gone-" + key.astype(str), "k": pd.array([None] * len(key), dtype="Int64"), "amount": None}, index=key.index),
+        ]
+        return pd.concat([part.astype({"k": "Int64", "amount": "float64"}) for part in rows])
+
+
+def _handled(spark, d, **other):
+    config = _config("custom", contexts=("/orders/F",), **other)
+    return dd.dedup_custom(incoming(spark, d), stored(spark, d), config, Handle, REDUCED, HANDLED, columns=["_id", "amount", "__injected"])
+
+
+HANDLING = f"""WITH {INCOMING}, o AS (SELECT * FROM old WHERE bucket = '/orders/F'),
+  m AS (SELECT i.k, o._id AS old_id, i.k % 5 = 0 AS pending, round(i.amount + o.amount, 2) AS amount
+        FROM (SELECT k, sum(amount) AS amount FROM inc GROUP BY k) i JOIN o ON i.k = o.k),
+  e AS (SELECT 1 AS seq, k AS g, old_id AS _id, k, amount FROM m WHERE NOT pending UNION ALL
+        SELECT 2, k, 'n-' || k, k, amount FROM m WHERE NOT pending UNION ALL SELECT 3, k, NULL, -k - 1, amount FROM m),
+  through AS (SELECT last._id, last.k, round(last.amount, 2) AS amount FROM last LEFT JOIN o ON last.k = o.k WHERE o.k IS NULL)"""
+
+
+def _outcome(result):
+    emit = result.emit.select(F.lit("emit").alias("what"), "_id", "k", F.round("amount", 2).alias("amount"))
+    return emit.unionByName(result.errors.select(F.lit("error").alias("what"), "_id", "k", F.round("amount", 2).alias("amount")))
+
+
+@query(
+    "d11_custom_all",
+    f"{HANDLING} SELECT 'gone-' || k AS _id FROM m UNION ALL SELECT old_id FROM m WHERE pending",
+)
+def d11_custom_all(spark, d):
+    return _handled(spark, d, delete_unhandled=True).delete
+
+
+@query(
+    "d14_custom_all",
+    f"""{HANDLING} SELECT CASE WHEN seq = 2 THEN 'error' ELSE 'emit' END AS what, _id, k, amount FROM e
+        UNION ALL SELECT 'emit', _id, k, amount FROM through""",
+)
+def d14_custom_all(spark, d):
+    return _outcome(_handled(spark, d))
+
+
+@query(
+    "d15_custom_all",
+    f"""{HANDLING} SELECT CASE WHEN seq = first THEN 'emit' ELSE 'error' END AS what, _id, k, amount
+        FROM (SELECT *, min(seq) OVER (PARTITION BY g) AS first FROM e) UNION ALL SELECT 'error', 'gone-' || k, NULL, NULL FROM m
+        UNION ALL SELECT 'emit', _id, k, amount FROM through""",
+)
+def d15_custom_all(spark, d):
+    return _outcome(_handled(spark, d, emission="very_strict"))

@@ -179,3 +179,69 @@ def test_user_functions_agree(stores, incoming):
     counts = {row["k0"]: row["n"] for row in reduced.collect()}
     assert sum(counts.values()) == 1550 and len(counts) == 500
     assert {row["k0"]: row["n"] for row in streamed.collect()} == {key: n for key, n in counts.items() if key < 50}
+
+
+class Echo(GroupReducer):
+    """Emits every stored row of a group but the smallest id, the group's key under a foreign id, and a deletion."""
+
+    def reduce(self, rows):
+        return pd.DataFrame({"k0": rows["k0"], "ids": [[i] if old else [] for i, old in zip(rows["_id"], rows["__injected"])]})
+
+    def merge(self, reduced):
+        return reduced.groupby("k0", sort=False, as_index=False)["ids"].agg(lambda lists: sorted({i for part in lists for i in part}))
+
+    def finish(self, reduced):
+        rows = []
+        for key, ids in zip(reduced["k0"], reduced["ids"]):
+            rows += [(i, key) for i in list(ids)[1:]] + [("foreign", key), (f"gone{key}", None)]
+        return pd.DataFrame(rows, columns=["_id", "k"]).astype({"k": "Int64"})
+
+
+def custom_case(spark, **config):
+    new = spark.createDataFrame([("n1", 1, 1), ("n1b", 1, 2), ("n2", 2, 3), ("n9", 9, 4), ("x", None, 5)], "_id string, k bigint, seq bigint")
+    old = spark.createDataFrame([("o1", 1), ("o1b", 1), ("o1c", 1), ("o2", 2), ("o7", 7)], "_id string, k bigint")
+    config = DedupConfig(order=("seq",), policy="custom", fields=("k",), **config)
+    out = dd.dedup_custom(new, old, config, Echo, "k0 bigint, ids array<string>", "_id string, k bigint")
+    return [sorted(tuple(r) for r in part.collect()) for part in (out.emit.select("_id", "k"), out.delete, out.errors)]
+
+
+def test_custom_policy_refuses_foreign_ids_and_deletes_what_is_asked_for(spark):
+    emit, delete, errors = custom_case(spark)
+    assert emit == [("n9", 9), ("o1b", 1), ("o1c", 1)]
+    assert delete == [("gone1",), ("gone2",)] and errors == [("foreign", 1), ("foreign", 2)]
+
+
+def test_custom_policy_deletes_unhandled_stored_rows(spark):
+    emit, delete, errors = custom_case(spark, delete_unhandled=True)
+    assert emit == [("n9", 9), ("o1b", 1), ("o1c", 1)] and errors == [("foreign", 1), ("foreign", 2)]
+    assert delete == [("gone1",), ("gone2",), ("o1",), ("o2",)]
+
+
+def test_custom_policy_very_strict_and_lax(spark):
+    emit, delete, errors = custom_case(spark, emission="very_strict")
+    assert emit == [("foreign", 2), ("n9", 9), ("o1b", 1)] and errors == [("foreign", 1), ("gone1", None), ("gone2", None), ("o1c", 1)]
+    assert delete == [("o1",), ("o1c",), ("o2",)]
+    emit, delete, errors = custom_case(spark, emission="lax", finalize_all=True)
+    assert emit == [("foreign", 1), ("foreign", 2), ("foreign", 9), ("o1b", 1), ("o1c", 1)] and not errors
+    assert delete == [("gone1",), ("gone2",), ("gone9",)]
+
+
+def test_custom_policy_with_composite_keys_and_missing_members(spark):
+    class Last(GroupReducer):
+        indexed = True
+
+        def reduce(self, rows):
+            return rows[["k0", "k1", "_id", "__injected"]].rename(columns={"__injected": "old"})
+
+        def merge(self, reduced):
+            return reduced.sort_values("_id").drop_duplicates(["k0", "k1"], keep="last")
+
+        def finish(self, reduced):
+            return pd.DataFrame({"_id": reduced["_id"], "a": reduced["k0"], "b": reduced["k1"]})
+
+    new = spark.createDataFrame([("n1", "x", None, 1), ("n2", "x", "y", 2), ("n3", None, None, 3)], "_id string, a string, b string, seq bigint")
+    old = spark.createDataFrame([("o1", "x", None), ("o2", "x", "y"), ("o3", "z", "y")], "_id string, a string, b string")
+    config = DedupConfig(order=("seq",), policy="custom", fields=("a", "b"), delete_unhandled=True)
+    out = dd.dedup_custom(new, old, config, Last, "k0 string, k1 string, _id string, old boolean", "_id string, a string, b string")
+    assert sorted((tuple(r) for r in out.emit.select("_id", "a", "b").collect()), key=str) == [("o1", "x", None), ("o2", "x", "y")]
+    assert out.delete.count() == 0 and out.errors.count() == 0
