@@ -21,6 +21,8 @@ K_LONG = 512
 MISS = 1e-12
 #: Ids up to this many, at about 24 bytes each, are sent to every task instead of moving the texts to the ids.
 BROADCAST_IDS = 1_000_000
+#: Values before its own that a list entry remembers. A pair that has met in one of them is not listed again; changes no result.
+EARLIER = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
        left behind the list's value is too little to share with the smallest class there.
     4. Each class is compared with the class of its lists that shares most of itself, which in a group of copies is what they were
        made from. What is confirmed merges most of a group, and lists of one group only are dropped.
-    5. The other lists give the pairs across groups. The sketch of the union filters, the full shingle sets confirm, and components
+    5. The other lists give the pairs across groups, most of them once: not where an earlier value close by has both. The sketch of the union filters, the full shingle sets confirm, and components
        join the links.
 
     No list, partner or candidate is capped. Sampling may hide a pair at exactly the least similarity with a chance of ``MISS``.
@@ -161,7 +163,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     ranked = ranked.withColumn("share", F.when(whole, F.col("r")).otherwise(F.col("n")))
     fitting = (F.col("n") + F.col("smallest")) * percent <= F.col("rest") * (100 + percent)
     short = ranked.where((F.col("r") >= least) & (F.col("rank") <= F.col("r") - least + 1) & fitting)
-    short = saved(short.select("rep", "n", "v", "share", "rest"), "prefixes")
+    short = saved(short.select("rep", "n", "v", "df", "share", "rest"), "prefixes")
 
     # 4
     standing = F.struct((F.col("share") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"))
@@ -171,12 +173,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     merged = saved(_confirmed(tried.select("a", F.col("rep").alias("b")), sets, k_long, percent), "first-links")
     group = components(merged)
 
-    # 5
-    grouped = short.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "v", "rest", F.coalesce("component", "rep").alias("g"))
+    # 5; values come in one order for all classes, and what is left of a class behind a value falls, so a pair that fits where it meets
+    # also fits where it met before: it is left to that list
+    grouped = short.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "v", "df", "rest", F.coalesce("component", "rep").alias("g"))
     mixed = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("v")
-    grouped = saved(grouped.join(mixed, "v"), "mixed")
-    a, b = (grouped.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
+    before = Window.partitionBy("rep").orderBy("df", "v").rowsBetween(-EARLIER, -1)
+    grouped = saved(grouped.join(mixed, "v").withColumn("earlier", F.collect_list("v").over(before)).drop("df"), "mixed")
+    a, b = (grouped.select("v", F.col("rep").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "rest", "g", "earlier")]) for x in "ab")
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ra, rb) >= {percent} * (na + nb) and not arrays_overlap(ea, eb)"
     pairs = a.join(b, "v").where(f"a < b and ga <> gb and {fits}").select("a", "b").distinct()
     links = merged.unionByName(saved(_confirmed(pairs, sets, k_long, percent), "links"))
 
