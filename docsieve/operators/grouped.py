@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from docsieve.session import written
+
 Frames = Iterator[pd.DataFrame]
 
 
@@ -54,6 +56,63 @@ def batch_apply(df: DataFrame, module: type[BatchModule], schema: T.StructType |
     return df.mapInPandas(run, schema)
 
 
+ERROR_ROW, ERROR_TEXT = "__row", "__error"
+
+
+def isolate(fn: Callable[[pd.DataFrame], pd.DataFrame | None], rows: pd.DataFrame) -> tuple[list[pd.DataFrame], list[tuple[int, str]]]:
+    """Outputs of ``fn`` over ``rows``, halved and tried again where it raises, down to single rows; and (place, message) of rows on
+    which it raises alone. A frame of n rows of which k fail takes about 2 k log n more calls."""
+    outputs, failed, waiting = [], [], [(0, len(rows))]
+    while waiting:
+        start, end = waiting.pop()
+        try:
+            out = fn(rows.iloc[start:end].reset_index(drop=True))
+        except Exception as error:  # whatever a user's function raises becomes a row of the error channel
+            if end - start == 1:
+                failed.append((start, f"{type(error).__name__}: {error}"))
+            else:
+                middle = (start + end) // 2
+                waiting += [(middle, end), (start, middle)]
+            continue
+        if out is not None and len(out):
+            outputs.append(out)
+    return outputs, failed
+
+
+def batch_isolated(
+    df: DataFrame, module: type[BatchModule], schema: T.StructType | str, options: Mapping[str, Any] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``batch_apply`` whose failing rows do not end the job: (output, errors).
+
+    A batch on which the module raises is halved until single rows are left; these become rows (``__error``, ``__row``: the input row as
+    JSON) and the others are emitted. The module sees rows of a failing batch again, in smaller batches, so ``batch`` must not keep what
+    it has seen before it is sure to return. Raising in ``setup`` or ``complete`` ends the job, since no row is to blame. The module runs
+    once: its output is a table in the shared folder, which both results read.
+    """
+    settings = dict(options or {})
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    names = [field.name for field in fields]
+    whole = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(ERROR_TEXT, T.StringType()), T.StructField(ERROR_ROW, T.StringType())])
+
+    def run(frames: Frames) -> Frames:
+        instance = module()
+        instance.setup(settings)
+        for frame in frames:
+            outputs, failed = isolate(instance.batch, frame)
+            for out in outputs:
+                yield out[names].assign(**{ERROR_TEXT: None, ERROR_ROW: None})
+            if failed:
+                rows = [frame.iloc[[place]].to_json(orient="records", lines=True, date_format="iso", date_unit="us").strip() for place, _ in failed]
+                yield pd.DataFrame({name: None for name in names} | {ERROR_TEXT: [text for _, text in failed], ERROR_ROW: rows})
+        tail = instance.complete()
+        if tail is not None and len(tail):
+            yield tail[names].assign(**{ERROR_TEXT: None, ERROR_ROW: None})
+
+    both = written(df.mapInPandas(run, whole), "isolated")
+    good = both.filter(F.col(ERROR_TEXT).isNull()).select(*[F.col(f"`{name}`") for name in names])
+    return good, both.filter(F.col(ERROR_TEXT).isNotNull()).select(ERROR_TEXT, ERROR_ROW)
+
+
 def _stream(fn: Callable) -> Callable:
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from fn(key, frames)

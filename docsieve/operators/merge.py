@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,7 @@ from docsieve.functions.timefn import millis
 from docsieve.operators.grouped import each_group, sorted_groups
 from docsieve.operators.ordered import CHUNK, Running, in_chunks, null_safe_join, running
 from docsieve.operators.query import outside_threshold
+from docsieve.session import ensure_checkpoint_dir, written
 
 # group merges: aggregate expressions, all combined map-side ----------------------------------------------------------
 
@@ -139,6 +143,127 @@ def formatted(df: DataFrame, column: str, fn: Callable[..., pd.Series], dtype: s
     return df.withColumn(column, F.pandas_udf(fn, dtype)(*inputs))
 
 
+# merges whose emitted row goes back into the state ---------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Emission rules, any of which lets a merged row through; none given lets everything through."""
+
+    every_nth: int | None = None
+    every_ms: int | None = None
+    below: float | None = None
+    above: float | None = None
+
+    @property
+    def none(self) -> bool:
+        return self.every_nth is None and self.every_ms is None and self.below is None and self.above is None
+
+    def passes(self, number: int, at: int, mark: int | None, value: float | None) -> bool:
+        filled = 0.0 if value is None else value
+        return (
+            self.none
+            or (self.every_nth is not None and number % self.every_nth == 0)
+            or (self.every_ms is not None and (mark is None or at - mark > self.every_ms))
+            or (self.below is not None and filled < self.below)
+            or (self.above is not None and filled > self.above)
+        )
+
+
+Formatter = Callable[[dict[str, Any]], dict[str, Any]]
+
+
+def merge_rows(
+    rows: pd.DataFrame, state: tuple, keys: Sequence[str], at: str, tie: str, value: str, rules: Rules, formatter: Formatter | None
+) -> tuple[list[dict[str, Any]], tuple]:
+    """Emitted merged rows of some rows of one key, in order, and the state (count, sum, last value, last emission) behind them.
+
+    ``formatter`` sees an emitted merged row as a dict; what it returns is emitted and, for the merged members, becomes the state.
+    """
+    count, total, last, mark = state
+    emitted = []
+    names = {name: rows[name].iloc[0] for name in keys}
+    for moment, row_id, current in zip(rows[at], rows[tie], rows[value]):
+        current = None if pd.isna(current) else float(current)
+        count += 1
+        total += current or 0.0
+        known = [each for each in (last, current) if each is not None]
+        last = current if current is not None else last
+        if rules.passes(count, int(moment), mark, current):
+            mark = int(moment)
+            merged = {"merge_count": count, "merge_sum": total, "pair_min": min(known) if known else None, "pair_max": max(known) if known else None}
+            row = {**names, tie: int(row_id), at: int(moment), **merged}
+            if formatter is not None:
+                row = formatter(row)
+                count, total = row["merge_count"], row["merge_sum"]
+            emitted.append(row)
+    return emitted, (count, total, last, mark)
+
+
+def merged_with_feedback(
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    tie: str,
+    value: str,
+    rules: Rules,
+    formatter: Formatter | None = None,
+    chunks: int | None = None,
+) -> DataFrame:
+    """Merged rows that pass the rules, where what ``formatter`` returns goes on as the key's state: ``running_merge_stream`` on a table.
+
+    ``at`` is a time in milliseconds, ``tie`` a long that orders rows of one time; rows without a time are left out. What a row gives
+    depends on all emitted before it, so no summary of a chunk exists: a chunk of a key starts from the state its chunk before left.
+    All keys go on together, one round per chunk: the first round takes the first chunk of every key, which for most is the only one,
+    each later round the next chunk of the keys that reach it, fewer than there are chunks. A round reads and writes only its own rows,
+    and hands on one small row per key. So memory is bounded by a chunk, and the rounds are as many as the longest key has chunks.
+    """
+    names, order = list(keys), [at, tie]
+    spark = df.sparkSession
+    slim = df.select(*names, F.col(at).cast("long").alias(at), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias(value)).filter(F.col(at).isNotNull())
+    cut = in_chunks(slim, names, order, chunks)
+    spans = cut.groupBy(*names).agg(F.min(CHUNK).alias("__lo"), F.max(CHUNK).alias("__hi")).filter("__lo < __hi")
+    spans = written(spans, "spans")
+    rounds = (spans.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0) + 1
+    nth = F.coalesce(F.col(CHUNK) - F.col("__lo"), F.lit(0))
+    placed = null_safe_join(cut, spans, names, "left").withColumns({"__nth": nth, "__more": F.coalesce(F.col(CHUNK) < F.col("__hi"), F.lit(False))}).drop("__lo", "__hi")
+    if rounds > 1:
+        folder = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        placed.write.partitionBy("__nth").parquet(folder)
+        placed = spark.read.schema(placed.schema).parquet(folder)
+    kinds = {field.name: field.dataType.simpleString() for field in cut.schema.fields}
+    members = "merge_count bigint, merge_sum double, pair_min double, pair_max double"
+    head = ", ".join(f"`{name}` {kinds[name]}" for name in [*names, tie, at])
+    state = ["__count", "__sum", "__last", "__mark"]
+    schema = f"{head}, {members}, __count bigint, __sum double, __last double, __mark bigint, __kind string"
+    columns = [*names, tie, at, "merge_count", "merge_sum", "pair_min", "pair_max", *state, "__kind"]
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in each_group(frame, names):
+            count, total, last, mark = (None if pd.isna(v) else v for v in part[state].iloc[0])
+            begin = (int(count or 0), float(total or 0.0), last, None if mark is None else int(mark))
+            emitted, end = merge_rows(part, begin, names, at, tie, value, rules, formatter)
+            out += [{**row, "__kind": "row"} for row in emitted]
+            if part["__more"].iloc[0]:
+                out.append({**{name: part[name].iloc[0] for name in names}, **dict(zip(state, end)), "__kind": "state"})
+        made = pd.DataFrame(out, columns=columns)
+        whole = {name: "Int64" for name in (tie, at, "merge_count", "__count", "__mark")}
+        return made.astype(whole | {name: "float64" for name in ("merge_sum", "pair_min", "pair_max", "__sum", "__last")})
+
+    target = f"{ensure_checkpoint_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    empty = {"__count": F.lit(None).cast("bigint"), "__sum": F.lit(None).cast("double"), "__last": F.lit(None).cast("double"), "__mark": F.lit(None).cast("bigint")}
+    for number in range(rounds):
+        rows = placed.filter(F.col("__nth") == number).drop("__nth", CHUNK)
+        if number:
+            before = spark.read.parquet(f"{target}/round={number - 1}").filter("__kind = 'state'").select(*names, *state)
+            rows = null_safe_join(rows, before, names, "left")
+        else:
+            rows = rows.withColumns(empty)
+        sorted_groups(rows, names, order, step, schema).write.parquet(f"{target}/round={number}")
+    return spark.read.parquet(target).filter("__kind = 'row'").select(*names, tie, at, "merge_count", "merge_sum", "pair_min", "pair_max")
+
+
 # throttle: emit when more than T ms passed since the last emitted row --------------------------------------------------
 
 

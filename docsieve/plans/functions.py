@@ -62,13 +62,13 @@ def _spread(key, frames):
         rows += len(frame)
         low = min(frame["value"].min(), low) if low is not None else frame["value"].min()
         high = max(frame["value"].max(), high) if high is not None else frame["value"].max()
-    yield pd.DataFrame([{"event_type": key[0], "low": low, "high": high, "n": rows}])
+    yield pd.DataFrame([{"user_id": key[0], "low": low, "high": high, "n": rows}])
 
 
-@query("f2_streamed_groups", "SELECT event_type, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY event_type")
+@query("f2_streamed_groups", "SELECT user_id, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY user_id")
 def f2_streamed_groups(spark, d):
-    events = table(spark, d, "events").select("event_type", "value")
-    return grouped.grouped_apply(events, ["event_type"], _spread, "event_type string, low double, high double, n bigint")
+    events = table(spark, d, "events").select("user_id", "value")
+    return grouped.grouped_apply(events, ["user_id"], _spread, "user_id bigint, low double, high double, n bigint")
 
 
 def _assign(df):
@@ -192,3 +192,24 @@ def f5_mutations(spark, d):
         Step("mutated", lambda df: df.withColumns({"grp": F.col("__group"), "event_type": F.lit("seen")}).drop("__group")),
     ]
     return run_steps({"events": table(spark, d, "events").select("event_id", "event_type", "value")}, steps)["mutated"]
+
+
+class Doubled(BatchModule):
+    """Doubles values; large ones are refused one by one, as by a parser that meets a bad record."""
+
+    def batch(self, rows: pd.DataFrame) -> pd.DataFrame:
+        large = rows["value"] > 250
+        if large.any():
+            raise ValueError(f"too large: {rows['value'][large].iloc[0]:.2f}")
+        return rows[["event_id"]].assign(value=(rows["value"] * 2).round(4))
+
+
+@query(
+    "f7_isolated",
+    """SELECT event_id, round(value * 2, 4) AS value, NULL AS message FROM events WHERE value IS NULL OR value <= 250
+       UNION ALL SELECT event_id, NULL, 'ValueError: too large: ' || printf('%.2f', value) FROM events WHERE value > 250""",
+)
+def f7_isolated(spark, d):
+    good, errors = grouped.batch_isolated(table(spark, d, "events").select("event_id", "value"), Doubled, "event_id bigint, value double")
+    failed = errors.select(F.get_json_object("__row", "$.event_id").cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("value"), F.col("__error").alias("message"))
+    return good.withColumn("message", F.lit(None).cast("string")).unionByName(failed)

@@ -248,3 +248,24 @@ def w8_formatter(spark, d):
     merged = mg.running_merge(events(spark, d, "user_id", "event_type", *ORDER), ["user_id"], ORDER)
     kept = mg.emit_any(merged, [mg.rule_every_nth(3)])
     return mg.formatted(kept, "message", _numbered, "string", ["event_type", "merge_count"]).select("event_id", "message")
+
+
+def _halved(row: dict) -> dict:
+    """Emitted rows carry half of the sum and count themselves as an arrival, which moves every later emission."""
+    return {**row, "merge_sum": row["merge_sum"] / 2, "merge_count": row["merge_count"] + 1}
+
+
+FEEDBACK = """WITH RECURSIVE e AS (SELECT event_id, event_type AS k, COALESCE(value, 0) AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n
+    FROM events),
+  walk AS (SELECT event_id, k, n, CAST(1 AS BIGINT) AS c, CAST(v AS DOUBLE) AS s, false AS hit FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.k, e.n, CASE WHEN (c + 1) % 3 = 0 THEN c + 2 ELSE c + 1 END, CASE WHEN (c + 1) % 3 = 0 THEN (s + e.v) / 2 ELSE s + e.v END,
+      (c + 1) % 3 = 0 FROM walk JOIN e ON e.k = walk.k AND e.n = walk.n + 1)
+  SELECT event_id, k AS event_type, c AS merge_count, round(s, 4) AS merge_sum FROM walk WHERE hit"""
+
+
+@query("w8_feedback", FEEDBACK)
+def w8_feedback(spark, d):
+    # micro-seconds stand for the time: the order is that of the timestamps
+    rows = table(spark, d, "events").select("event_type", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = mg.merged_with_feedback(rows, ["event_type"], "at", "event_id", "value", mg.Rules(every_nth=3), _halved, chunks=8)
+    return out.select("event_id", "event_type", "merge_count", F.round("merge_sum", 4).alias("merge_sum"))

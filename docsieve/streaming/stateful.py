@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docsieve.operators.merge import Rules, merge_rows
+
 STATE = T.StructType(
     [
         T.StructField("count", T.LongType()),
@@ -22,30 +23,6 @@ STATE = T.StructType(
 )
 
 
-@dataclass(frozen=True)
-class Rules:
-    """Emission rules, any of which lets a merged row through; none given lets everything through."""
-
-    every_nth: int | None = None
-    every_ms: int | None = None
-    below: float | None = None
-    above: float | None = None
-
-    @property
-    def none(self) -> bool:
-        return self.every_nth is None and self.every_ms is None and self.below is None and self.above is None
-
-    def passes(self, number: int, at: int, mark: int | None, value: float | None) -> bool:
-        filled = 0.0 if value is None else value
-        return (
-            self.none
-            or (self.every_nth is not None and number % self.every_nth == 0)
-            or (self.every_ms is not None and (mark is None or at - mark > self.every_ms))
-            or (self.below is not None and filled < self.below)
-            or (self.above is not None and filled > self.above)
-        )
-
-
 def merge_processor(
     rules: Rules, key: str, at: str, value: str, tie: str, formatter: Callable[[dict[str, Any]], dict[str, Any]] | None = None
 ) -> type[StatefulProcessor]:
@@ -91,29 +68,8 @@ def merge_processor(
                     yield merged
                 return
             # what is emitted here depends on what was emitted before, row by row
-            emitted = []
-            for moment, row_id, current in zip(batch[at], batch[tie], batch[value]):
-                current = None if pd.isna(current) else float(current)
-                count += 1
-                total += current or 0.0
-                known = [each for each in (last, current) if each is not None]
-                row = {
-                    key: keys[0],
-                    tie: int(row_id),
-                    at: int(moment),
-                    "merge_count": count,
-                    "merge_sum": total,
-                    "pair_min": min(known) if known else None,
-                    "pair_max": max(known) if known else None,
-                }
-                last = current if current is not None else last
-                if rules.passes(count, int(moment), mark, current):
-                    mark = int(moment)
-                    if formatter is not None:
-                        row = formatter(row)
-                        count, total = row["merge_count"], row["merge_sum"]
-                    emitted.append(row)
-            self._state.update((count, total, last, mark))
+            emitted, state = merge_rows(batch, (count, total, last, mark), (key,), at, tie, value, rules, formatter)
+            self._state.update(state)
             if emitted:
                 yield pd.DataFrame(emitted)
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docsieve.operators import merge as mg
 from docsieve.operators.ordered import Running, in_chunks, running
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 START = dt.datetime(2024, 1, 1)
 
 
@@ -172,3 +176,37 @@ def test_pieces(spark):
 def test_order_is_required(spark):
     with pytest.raises(ValueError):
         running(spark.range(3), ["id"], [], {"n": Running("count")})
+
+
+def _tenth(row):
+    return {**row, "merge_sum": row["merge_sum"] / 10, "merge_count": row["merge_count"] + 2}
+
+
+def _folded(rows, rules, formatter):
+    """The rules and the formatter row by row."""
+    out, states = [], {}
+    for key, at, tie, value in sorted(rows, key=lambda r: (r[1], r[2])):
+        count, total, last, mark = states.get(key, (0, 0.0, None, None))
+        count, total = count + 1, total + (value or 0.0)
+        known = [v for v in (last, value) if v is not None]
+        last = value if value is not None else last
+        if rules.passes(count, at, mark, value):
+            mark = at
+            row = formatter({"merge_count": count, "merge_sum": total, "pair_min": min(known, default=None), "pair_max": max(known, default=None)})
+            count, total = row["merge_count"], row["merge_sum"]
+            out.append((key, tie, at, row["merge_count"], round(row["merge_sum"], 9), row["pair_min"], row["pair_max"]))
+        states[key] = count, total, last, mark
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rules", [mg.Rules(every_nth=4), mg.Rules(every_ms=50), mg.Rules(below=1.0, above=8.5), mg.Rules()])
+def test_feedback_is_the_same_at_any_number_of_chunks(spark, rules):
+    draw = random.Random(7)
+    rows = [("hot" if i % 3 else draw.choice(["a", "b", None]), draw.randint(0, 900), i, None if i % 11 == 0 else round(draw.random() * 10, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows + [("hot", None, 1000, 1.0)], "k string, at bigint, id bigint, v double")
+    want = _folded(rows, rules, _tenth)
+    for chunks in (1, 8):
+        out = mg.merged_with_feedback(df, ["k"], "at", "id", "v", rules, _tenth, chunks=chunks)
+        got = sorted(((*tuple(r)[:4], round(r["merge_sum"], 9), r["pair_min"], r["pair_max"]) for r in out.collect()), key=str)
+        assert got == want
+    assert mg.merged_with_feedback(df.filter("false"), ["k"], "at", "id", "v", rules, _tenth).count() == 0
