@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import tokens
-from docsieve.operators import graph, search
+from docsieve.operators import graph, index, search
 from docsieve.operators.graph import EdgeRule, VertexRule
 from docsieve.operators.grouped import GroupReducer
 from docsieve.operators.query import all_of
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, work_folder
 
 TERMS = r"t AS (SELECT doc_id, lang, source, n_chars, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
 
@@ -68,6 +68,25 @@ def q1_search_facets(spark, d):
     return counted.unionByName(page)
 
 
+@query("q1_indexed_search", _scored(["the", "and"], "list_contains(w, 'the') AND list_contains(w, 'and')", "ORDER BY round(s, 6) DESC, doc_id LIMIT 40"))
+def q1_indexed_search(spark, d):
+    stored = index.build_index(table(spark, d, "documents"), "doc_id", "text", work_folder(spark, "index"), buckets=16)
+    found = index.indexed_search(spark, stored, search.parse_search("the and"), limit=40).hits
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query(
+    "q1_indexed_any_not",
+    _scored(["le", "la"], "lang = 'fr' AND (list_contains(w, 'le') OR list_contains(w, 'la')) AND NOT list_contains(w, 'pour') AND n_chars > 200", ""),
+)
+def q1_indexed_any_not(spark, d):
+    docs = table(spark, d, "documents")
+    stored = index.build_index(docs, "doc_id", "text", work_folder(spark, "index"), buckets=16)
+    allowed = docs.filter("lang = 'fr' and n_chars > 200").select(F.col("doc_id").alias("id"))
+    found = index.indexed_search(spark, stored, search.parse_search("le|la -pour"), rows=allowed).hits
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 @query("q2_count", f"WITH {TERMS} SELECT count(*) AS n FROM t WHERE list_contains(w, 'with') AND source = 'src7'")
 def q2_count(spark, d):
     return search.search_count(table(spark, d, "documents"), "text", search.parse_search("with source:src7"))
