@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +22,6 @@ LEVEL = 6
 #: A text is rejected where the second language is less than this share larger than the first.
 MARGIN = 0.005
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -80,7 +78,7 @@ def _predictor(shared, key: str):
         return [(name, zstandard.ZstdCompressor(dict_data=each, **options).compress) for name, each in raw.items()]
 
     def predict(text: str | None, compressors: list) -> tuple[str, float]:
-        if not text or not compressors or not _LETTER.search(text):
+        if not text or not compressors or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         data = prepared(text)
         blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]

@@ -35,6 +35,8 @@ class Plain:
         for (h, _), c in self.pairs.items():
             self.follow[h].append(c)
         self.d2, self.d1 = self.cuts(self.pairs.values()), self.cuts(self.ends.values())
+        self.even = sum(self.d1[min(c, 3) - 1] for c in self.ends.values()) / max(len(self.pairs), 1)
+        self.left = {h: (sum(self.d2[min(n, 3) - 1] for n in counts), sum(counts)) for h, counts in self.follow.items()}
 
     @staticmethod
     def cuts(counts):
@@ -45,15 +47,13 @@ class Plain:
         size, types = len(self.single) + 1, len(self.pairs)
         if not types:
             return 1 / size
-        even = sum(self.d1[min(c, 3) - 1] for c in self.ends.values()) / types
         c = self.ends[w]
-        return (c - (self.d1[min(c, 3) - 1] if c else 0)) / types + even / size
+        return (c - (self.d1[min(c, 3) - 1] if c else 0)) / types + self.even / size
 
     def pair(self, h, w):
         if h not in self.follow:
             return self.word(w)
-        c, total = self.pairs[h, w], sum(self.follow[h])
-        left = sum(self.d2[min(n, 3) - 1] for n in self.follow[h])
+        c, (left, total) = self.pairs[h, w], self.left[h]
         return (c - (self.d2[min(c, 3) - 1] if c else 0) + left * self.word(w)) / total
 
     def row(self, text):

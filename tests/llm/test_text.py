@@ -196,6 +196,8 @@ def test_language_edges(spark):
     docs = spark.createDataFrame(learn + [(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     dictionaries = learned_dictionaries(docs)
     assert sorted(dictionaries) == ["de", "en"]
+    numerals = spark.createDataFrame([(i, t) for i, t in enumerate(["²", "½ 3", "Ⅷ", "①②", "٣", "_"])], "doc_id long, text string")
+    assert {r["language"]["lang"] for r in with_language(numerals, dictionaries).collect()} == {"und"}
     rows = with_language(docs, dictionaries, into="lang").where("doc_id < 100").orderBy("doc_id").collect()
     assert [r["lang"]["lang"] for r in rows][:5] == ["und", "und", "und", "de", "en"] and rows[6]["lang"]["lang"] == "en"
     assert all(0 <= r["lang"]["score"] <= 1 for r in rows) and all(r["lang"]["rejected"] for r in rows[:3])
