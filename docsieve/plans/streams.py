@@ -14,7 +14,7 @@ from docsieve.sources import readers
 from docsieve.sources.layout import Bucket, parse_address
 from docsieve.sources.versioned import current_folder
 from docsieve.sources.writers import to_messages
-from docsieve.streaming import batches, stateful
+from docsieve.streaming import batches, cuts, stateful
 from docsieve.streaming.stored import dedup_into
 
 
@@ -83,6 +83,35 @@ def z4_cut_by_size(spark, d):
     return batches.cut_by_size(events, ["event_id"], 16, chunks=8).select(F.col("__batch").alias("batch"), "event_id")
 
 
+def _cut_stream(spark, d, columns, **limit):
+    """Batch and id of all events, read as a stream of one file after the other, each file a third of the ids in order."""
+    folder = work_folder(spark, "cut")
+    events = table(spark, d, "events").select(*columns)
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for nth in range(3):  # one run of the stream a third, so that each is a micro-batch of its own and they come in order
+        events.filter(F.floor((F.col("event_id") - F.lit(low)) / step) == nth).write.mode("append").parquet(f"{folder}/in")
+        stream = readers.stream_folder(spark, f"{folder}/in", events.schema)
+        handle = cuts.cut_into(f"{folder}/out", ["event_id"], **limit)
+        batches.run_batches(stream, handle, f"{folder}/checkpoint").awaitTermination()
+    return cuts.full_batches(spark, f"{folder}/out", with_open=True, **limit).select(F.col("__batch").alias("batch"), "event_id")
+
+
+@query("z3_stream_count", "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 700 AS BIGINT) AS batch, event_id FROM events")
+def z3_stream_count(spark, d):
+    return _cut_stream(spark, d, ["event_id"], rows=700)
+
+
+@query(
+    "z4_stream_size",
+    """WITH s AS (SELECT event_id, strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS size FROM events),
+       r AS (SELECT event_id, sum(size) OVER (ORDER BY event_id) - size AS before FROM s)
+       SELECT CAST(before // 16384 AS BIGINT) AS batch, event_id FROM r""",
+)
+def z4_stream_size(spark, d):
+    return _cut_stream(spark, d, ["event_id", "event_type"], kilobytes=16)
+
+
 def _batched(spark, d, files, max_files, every):
     """Events in ``files`` files as micro-batches of at most ``max_files`` files; (event_type, rows, batches)."""
     folder = work_folder(spark, "batched")

@@ -13,7 +13,7 @@ from docsieve.sources import layout, versioned
 _QUERY_ID = "sql.streaming.queryId"
 
 
-def _query_of(df: DataFrame) -> str:
+def query_of(df: DataFrame) -> str:
     """Id of the streaming query a micro-batch belongs to; Spark keeps it in the checkpoint. Outside a stream: the empty text."""
     return df.sparkSession.sparkContext.getLocalProperty(_QUERY_ID) or ""
 
@@ -28,7 +28,7 @@ def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callab
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        spark, query = df.sparkSession, _query_of(df)
+        spark, query = df.sparkSession, query_of(df)
         done = versioned.batch_marks(spark, folder)
         if query in done and batch_id <= done[query]:
             return
@@ -51,7 +51,7 @@ def dedup_into_table(table: str, config: DedupConfig, marks: str) -> Callable[[D
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        spark, query = df.sparkSession, _query_of(df)
+        spark, query = df.sparkSession, query_of(df)
         mark = f"{marks}/{query or 'batch'}"
         if layout.read_small(spark, mark) == str(batch_id):
             return

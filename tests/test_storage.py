@@ -19,7 +19,7 @@ from docsieve.plans.enrichment import Step, last_outputs, run_steps
 from docsieve.sources import readers, versioned, writers
 from docsieve.sources.layout import Bucket
 from docsieve.sources.readers import Input
-from docsieve.streaming import batches, stateful
+from docsieve.streaming import batches, cuts, stateful
 from docsieve.streaming.stored import dedup_into, merge_source
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -276,6 +276,63 @@ def test_cuts_against_brute_force(spark):
             position += len('{"id":%d,"s":"%s"}' % (i, "x" * (i % 9)))
 
 
+def test_stream_cuts_are_exact_and_repeatable(spark, tmp_path):
+    sizes = [5, 0, 1, 17, 3, 12]
+    rows, start = [], 0
+    for number, size in enumerate(sizes):
+        rows.append([(start + i, None if i % 4 == 0 else "x" * (i * 7 % 50)) for i in range(size)])
+        start += size
+    frames = [spark.createDataFrame(part, "id long, t string") for part in rows]
+    flat = [row for part in rows for row in part]
+
+    def weight(row, by_size):
+        text = '{"id":%d}' % row[0] if row[1] is None else '{"id":%d,"t":"%s"}' % row
+        return len(text) if by_size else 1
+
+    for name, limit, unit in (("count", {"rows": 4}, 4), ("size", {"kilobytes": 0.1}, 102.4)):
+        folder, handed = f"{tmp_path}/{name}", []
+
+        def keep(df, part):
+            handed.append((part, sorted((r["__batch"], r["id"]) for r in df.collect())))
+
+        fail = [True]
+
+        def keep_or_fail(df, part):
+            keep(df, part)
+            if part == 3 and fail:
+                fail.pop()
+                raise RuntimeError("lost")
+
+        cut = cuts.cut_into(folder, ["id"], handle=keep_or_fail, chunks=3, **limit)
+        for number, frame in enumerate(frames):
+            try:
+                cut(frame, number)
+            except RuntimeError:
+                cut(frame, number)  # the micro-batch is run again: same cuts, same part
+            cut(frame, number)  # run again behind its end: nothing
+        before, want = 0, []
+        for row in flat:
+            want.append((int(before // unit), row[0]))
+            before += weight(row, name == "size")
+        whole = cuts.full_batches(spark, folder, with_open=True, **limit)
+        assert sorted((r["__batch"], r["id"]) for r in whole.collect()) == want
+        full = [pair for pair in want if pair[0] < int(before // unit)]
+        assert sorted((r["__batch"], r["id"]) for r in cuts.full_batches(spark, folder, **limit).collect()) == full
+        repeated = [pairs for part, pairs in handed if part == 3]
+        assert len(repeated) == 2 and repeated[0] == repeated[1]
+        assert sorted({pair for _, pairs in handed for pair in pairs}) == full
+        # another checkpoint starts counting anew and goes on behind what is there
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", "other")
+        try:
+            cut(spark.createDataFrame([(1000, "y")], "id long, t string"), 0)
+        finally:
+            spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+        last = cuts.full_batches(spark, folder, with_open=True, **limit).filter("id = 1000").first()["__batch"]
+        assert last == int(before // unit)
+    with pytest.raises(ValueError):
+        cuts.cut_into(str(tmp_path), ["id"])
+
+
 def test_age_out(spark, rows):
     sliced = timeslice.with_slice(rows, "t", "month", "record")
     kept = timeslice.age_out(sliced, "t", "2 months", NOW, period="month")
