@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from docsieve.operators import buckets, query as q, routing
+from docsieve.operators import buckets, paging, query as q, routing
 from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.query import all_of
 from docsieve.operators.update import Update
@@ -145,6 +145,29 @@ def s16_get_many(spark, d):
     return spec.only("s_suppkey", "s_name").apply(table(spark, d, "supplier"))
 
 
+@query(
+    "s16_cursor_pages",
+    """WITH e AS (SELECT event_id, event_type, CAST(nullif(floor(value), 3) AS BIGINT) AS level FROM events),
+       r AS (SELECT event_id, level, row_number() OVER (ORDER BY level NULLS FIRST, event_type, event_id) AS nth FROM e WHERE event_type IN ('click', 'purchase', 'view'))
+       SELECT (nth - 1) // 150 AS page, nth - 1 AS place, event_id, level FROM r WHERE nth <= 900""",
+)
+def s16_cursor_pages(spark, d):
+    # six pages of 150 rows over three buckets, each asked for with nothing but the cursor of the page before
+    events = table(spark, d, "events").withColumn("level", F.nullif(F.floor("value"), F.lit(3)))
+    kinds = {f"/events/{kind}": events.filter(F.col("event_type") == kind).select("event_id", "level") for kind in ("click", "purchase", "view")}
+    order, cursor, folder = [("level", 1)], None, work_folder(spark, "pages")
+    for number in range(6):
+        rows = paging.page(kinds, order, 150, "event_id", cursor)
+        place = F.row_number().over(Window.orderBy(F.col("level").asc_nulls_first(), buckets.BUCKET, "event_id")) - 1
+        rows.withColumn("place", place + number * 150).write.parquet(f"{folder}/page={number}")
+        last = paging.last_row(spark.read.parquet(f"{folder}/page={number}"), order, "event_id")
+        if last is None:
+            break
+        cursor = paging.cursor_of(last, order, "event_id")
+    pages = spark.read.option("basePath", folder).parquet(folder)
+    return pages.select(F.col("page").cast("bigint").alias("page"), F.col("place").cast("bigint").alias("place"), "event_id", "level")
+
+
 @query("s17_table_view", "SELECT c_nationkey::BIGINT AS nation, count(*) AS n FROM customer GROUP BY c_nationkey")
 def s17_table_view(spark, d):
     view = buckets.table_view(table(spark, d, "customer"), "/parties/customer")
