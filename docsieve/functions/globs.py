@@ -48,7 +48,7 @@ def _path_token(token: str) -> str:
         return "[^/]*"
     if token == "?":
         return "[^/]"
-    if len(token) > 1 and token[0] == "[":
+    if len(token) > 2 and token[0] == "[":  # an empty set is its own text
         return "[" + ("^" + token[2:-1] if token[1] == "!" else token[1:-1]) + "]"
     if len(token) > 1 and token[0] == "{":
         inner = (path_glob_regex(choice)[1:-1] for choice in token[1:-1].split(","))

@@ -109,6 +109,25 @@ def j1_glob_join_choices(spark, d):
     return buckets.glob_join(_page_paths(spark, d), "path", rows, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "j1_glob_join_runs",
+    f"""WITH p AS (SELECT page_id, {PAGE_PATH} AS path FROM pages),
+        pat AS (SELECT DISTINCT '/' || substr(path, 2, 2) || '*' || right(path, 1) || '/**' AS pattern, '^/' || regexp_escape(substr(path, 2, 2)) || '[^/]*' || regexp_escape(right(path, 1)) || '/.*$' AS re FROM p
+                UNION SELECT DISTINCT '/**' || right(path, 3), '^/.*' || regexp_escape(right(path, 3)) || '$' FROM p
+                UNION SELECT DISTINCT '/*' || substr(path, 4, 1) || '*/*/*', '^/[^/]*' || regexp_escape(substr(path, 4, 1)) || '[^/]*/[^/]*/[^/]*$' FROM p
+                UNION ALL VALUES ('/*/*/*', '^/[^/]*/[^/]*/[^/]*$'), ('/**', '^/.*$'))
+        SELECT pattern, count(*) AS n FROM p JOIN pat ON regexp_matches(path, re) GROUP BY pattern""",
+)
+def j1_glob_join_runs(spark, d):
+    # patterns with neither a literal folder nor a literal part, made from the paths themselves
+    paths = _page_paths(spark, d)
+    start = F.concat(F.lit("/"), F.substring("path", 2, 2), F.lit("*"), F.right("path", F.lit(1)), F.lit("/**"))
+    end = F.concat(F.lit("/**"), F.right("path", F.lit(3)))
+    middle = F.concat(F.lit("/*"), F.substring("path", 4, 1), F.lit("*/*/*"))
+    made = paths.select(F.explode(F.array(start, end, middle, F.lit("/*/*/*"), F.lit("/**"))).alias("pattern")).distinct()
+    return buckets.glob_join(paths, "path", made, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "u4_expansion",
     f"""SELECT DISTINCT path FROM (SELECT {PAGE_PATH} AS path FROM pages) WHERE regexp_matches(path, '^/[^/]+/.*$')""",
