@@ -11,7 +11,7 @@ from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.query import all_of
 from docsieve.operators.update import Update
 from docsieve.plans.registry import query, table, work_folder
-from docsieve.sources import layout, readers, versioned, writers
+from docsieve.sources import layout, readers, service, versioned, writers
 from docsieve.sources.layout import Bucket, state_bucket
 from docsieve.sources.readers import Input
 
@@ -122,6 +122,15 @@ def s10_service(spark, d):
     return readers.scan_service(spark, "parquet", path=f"{d}/customer.parquet").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s10_native_reader", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey > 1000 AND o_orderpriority <> '5-LOW' GROUP BY o_orderstatus")
+def s10_native_reader(spark, d):
+    service.register(spark, "docsieve_parts", service.ParquetParts)
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    orders = service.scan(spark, "docsieve_parts", columns, path=f"{d}/orders.parquet")
+    wanted = orders.filter((F.col("o_orderkey") > 1000) & (F.col("o_orderpriority") != "5-LOW"))
+    return wanted.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("keys"))
+
+
 @query("s11_input_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
 def s11_input_filter(spark, d):
     wanted = all_of().when("o_orderstatus", "P").range_above("o_totalprice", 200000.0, True)
