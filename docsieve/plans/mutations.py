@@ -8,7 +8,8 @@ from docsieve.functions.text import tokens
 from docsieve.operators import diff, update as up
 from docsieve.operators.query import all_of, any_of
 from docsieve.operators.update import Update
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, work_folder
+from docsieve.sources import bucketed
 
 PARTS = "p_partkey, p_name, p_type, CAST(p_size AS BIGINT) AS p_size"
 
@@ -100,6 +101,25 @@ def m7_upsert(spark, d):
     return up.upsert(stored, changes, "id")
 
 
+@query(
+    "m7_touched_buckets",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey = 1 THEN 'changed' ELSE c_name END AS name, CAST(1 AS BIGINT) AS rewritten FROM customer WHERE c_custkey <> 2""",
+)
+def m7_touched_buckets(spark, d):
+    # one row deleted, then one replaced: of sixteen buckets, the last change writes one
+    folder = work_folder(spark, "customers")
+    bucketed.create(spark, folder, "id", 16)
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    bucketed.change(spark, folder, customers, delete=None)
+    ids = customers.select("id").filter(F.col("id") == 2)
+    bucketed.change(spark, folder, delete=ids)
+    before = bucketed.manifest(spark, folder).folders
+    bucketed.change(spark, folder, customers.filter(F.col("id") == 1).withColumn("name", F.lit("changed")))
+    after = bucketed.manifest(spark, folder).folders
+    rewritten = sum(1 for number in before | after if before.get(number) != after.get(number))
+    return bucketed.read(spark, folder).withColumn("rewritten", F.lit(rewritten).cast("bigint"))
+
+
 @query(
     "k3_insert_new",
     "SELECT doc_id, 'kept' AS state FROM documents UNION ALL SELECT vec_id, 'added' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",

@@ -10,12 +10,12 @@ from docsieve.operators.query import all_of
 from docsieve.plans.enrichment import Step, run_steps
 from docsieve.plans.merges import throttle_sql
 from docsieve.plans.registry import query, table, work_folder
-from docsieve.sources import readers
+from docsieve.sources import bucketed, readers
 from docsieve.sources.layout import Bucket, parse_address
 from docsieve.sources.versioned import current_folder
 from docsieve.sources.writers import to_messages
 from docsieve.streaming import batches, cuts, stateful
-from docsieve.streaming.stored import dedup_into
+from docsieve.streaming.stored import dedup_into, dedup_into_buckets
 
 
 def _events_stream(spark, d):
@@ -165,6 +165,30 @@ def z7_stream_dedup(spark, d):
     return stored.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
+@query(
+    "z7_touched_buckets",
+    """SELECT user_id, CASE WHEN user_id = (SELECT max(user_id) FROM events) THEN '2100-01-01 00:00:00' ELSE strftime(max(ts), '%Y-%m-%d %H:%M:%S') END AS last,
+         CAST(1 AS BIGINT) AS rewritten FROM events GROUP BY user_id""",
+)
+def z7_touched_buckets(spark, d):
+    # all events, then a late one of a single user: of eight buckets, one is written again
+    folder = work_folder(spark, "buckets")
+    events = table(spark, d, "events").select(F.concat(F.lit("e-"), "event_id").alias("_id"), "user_id", "ts", "event_id")
+    late = events.agg(F.max("user_id").alias("user_id")).select(
+        F.lit("late").alias("_id"), "user_id", F.lit("2100-01-01").cast(events.schema["ts"].dataType).alias("ts"), F.lit(0).cast("bigint").alias("event_id")
+    )
+    config = DedupConfig(order=("ts", "event_id"), policy="update", fields=("user_id",), timestamp="ts")
+    for arriving in (events, late):
+        before = {} if arriving is events else bucketed.manifest(spark, f"{folder}/store").folders
+        arriving.write.mode("append").parquet(f"{folder}/in")
+        stream = readers.stream_folder(spark, f"{folder}/in", events.schema)
+        batches.run_batches(stream, dedup_into_buckets(f"{folder}/store", config, 8), f"{folder}/checkpoint").awaitTermination()
+    after = bucketed.manifest(spark, f"{folder}/store").folders
+    rewritten = sum(1 for number in before | after if before.get(number) != after.get(number))
+    last = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last")
+    return bucketed.read(spark, f"{folder}/store").select("user_id", last, F.lit(rewritten).cast("bigint").alias("rewritten"))
+
+
 @query(
     "z8_stream_merge",
     """SELECT user_id, event_id, n AS merge_count, round(s, 2) AS merge_sum FROM (SELECT user_id, event_id, count(*) OVER w AS n, sum(COALESCE(value, 0)) OVER w AS s

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.update import upsert
-from docsieve.sources import layout, versioned
+from docsieve.sources import bucketed, layout, versioned
 
 _QUERY_ID = "sql.streaming.queryId"
 
@@ -24,7 +24,7 @@ def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callab
     Each version notes, per streaming query, the last batch it contains. A batch is skipped only if the current version holds it
     from that very query, whose numbers rise: a batch run again after a failure changes nothing, and other streams, fresh checkpoints
     and stores written by other means lose nothing. Plain files have no row-level merge: every batch rewrites the stage. For a large store use
-    ``dedup_into_table``.
+    ``dedup_into_buckets``, or ``dedup_into_table`` where a table format merges rows.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
@@ -43,6 +43,25 @@ def dedup_into(folder: str, config: DedupConfig, fmt: str = "parquet") -> Callab
     return handle
 
 
+def dedup_into_buckets(folder: str, config: DedupConfig, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The same into a store of hash buckets (``sources/bucketed.py``), made if missing: only buckets with a changed id are written.
+
+    Rows and the mark of the batch switch together, so a batch run again changes nothing. Stored rows of a key may lie in any bucket: their
+    keys are read, their rows are not.
+    """
+
+    def handle(df: DataFrame, batch_id: int) -> None:
+        spark, query = df.sparkSession, query_of(df)
+        store = bucketed.manifest(spark, folder) or bucketed.create(spark, folder, config.id_column, buckets)
+        if query in store.marks and batch_id <= store.marks[query]:
+            return
+        stored = bucketed.read(spark, folder) if store.schema is not None else df.limit(0)
+        result = dedup(df, stored, config, small_batch=True)
+        bucketed.change(spark, folder, result.emit, result.delete, marks={query: batch_id})
+
+    return handle
+
+
 def dedup_into_table(table: str, config: DedupConfig, marks: str) -> Callable[[DataFrame, int], None]:
     """The same into a table whose format supports row-level merge: only changed and deleted rows are written.
 
