@@ -14,7 +14,7 @@ from docsieve.sources import bucketed, readers
 from docsieve.sources.layout import Bucket, parse_address
 from docsieve.sources.versioned import current_folder
 from docsieve.sources.writers import to_messages
-from docsieve.streaming import batches, cuts, stateful
+from docsieve.streaming import batches, cuts, keyed, stateful
 from docsieve.streaming.stored import dedup_into, dedup_into_buckets
 
 
@@ -229,6 +229,43 @@ def z8_stream_throttle(spark, d):
     return _merged_stream(spark, d, stateful.Rules(every_ms=86_400_000)).select("event_id")
 
 
+HOT = "CASE WHEN event_type = 'error' THEN user_id ELSE -1 END"
+
+
+def _hot_stream(spark, d, rules):
+    """Rows that the rules let through, keyed so that one key holds most events, from three micro-batches in order of time."""
+    folder = work_folder(spark, "hot")
+    events = table(spark, d, "events").select("event_id", "value", millis(F.col("ts")).alias("at"), F.expr(HOT).alias("k"))
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+
+    def keep(df, number):
+        df.write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+    for nth in range(3):
+        events.filter(F.floor((F.col("at") - F.lit(low)) / step) == nth).write.mode("append").parquet(f"{folder}/in")
+        stream = readers.stream_folder(spark, f"{folder}/in", events.schema)
+        handle = keyed.merge_into(f"{folder}/state", ["k"], "at", "value", "event_id", keep, rules, chunks=8, buckets=8)
+        batches.run_batches(stream, handle, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "z8_hot_key",
+    f"""SELECT event_id, n AS merge_count, round(s, 2) AS merge_sum, least(prev, value) AS pair_min FROM (SELECT event_id, value, count(*) OVER w AS n, sum(COALESCE(value, 0)) OVER w AS s,
+         last_value(value IGNORE NULLS) OVER (PARTITION BY {HOT} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+         FROM events WINDOW w AS (PARTITION BY {HOT} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n % 5 = 0 OR value > 150""",
+)
+def z8_hot_key(spark, d):
+    merged = _hot_stream(spark, d, stateful.Rules(every_nth=5, above=150.0))
+    return merged.select("event_id", "merge_count", F.round("merge_sum", 2).alias("merge_sum"), "pair_min")
+
+
+@query("z8_hot_throttle", throttle_sql(HOT, 3_600_000, "value > 150"))
+def z8_hot_throttle(spark, d):
+    return _hot_stream(spark, d, stateful.Rules(every_ms=3_600_000, above=150.0)).select("event_id")
+
+
 @query("z9_consumers", "SELECT name, count(*) AS n FROM events, (VALUES ('first'), ('second')) v(name) GROUP BY name")
 def z9_consumers(spark, d):
     folder = work_folder(spark, "consumers")
