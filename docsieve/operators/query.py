@@ -127,9 +127,14 @@ class Query:
         return self._with(Term("range", name, (low, low_exclusive, high, high_exclusive)))
 
     def nested(self, name: str, query: "Query") -> "Query":
-        """Terms of ``query`` under ``name.``; its joiner, order and limit do not carry over."""
-        terms = [replace(term, field=f"{name}.{term.field}") for term in query.terms]
-        return self._with(*terms)
+        """Terms and sub-queries of ``query`` under ``name.``; its own joiner, order and limit do not carry over, those of sub-queries' terms do."""
+
+        def under(part: "Query") -> "Query":
+            terms = tuple(replace(term, field=f"{name}.{term.field}") for term in part.terms)
+            return replace(part, terms=terms, children=tuple(under(child) for child in part.children))
+
+        inner = under(query)
+        return self._with(*inner.terms).also(*inner.children)
 
     def also(self, *queries: "Query") -> "Query":
         return replace(self, children=self.children + queries)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docsieve.operators.merge import Rules, throttle
 from docsieve.operators.ordered import Running, null_safe_join, running
+from docsieve.session import written
 from docsieve.sources import bucketed
 from docsieve.streaming.stored import query_of
 
@@ -109,6 +110,7 @@ def merge_into(
                 "pair_max": F.greatest(previous, F.col("__value")),
             }
         ).withColumn("__keep", _by_rule(rules, F.col("__value")))
+        both = written(both, "merged")  # read for the rows let through, their throttle and the new state
         kept = both.filter("__keep") if rules.every_ms is None else _throttled(both, at, tie, rules.every_ms)
         handle(kept.select(*[F.col(f"`{name}`") for name in df.columns], *_MERGED), batch_id)
 

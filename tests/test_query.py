@@ -61,6 +61,7 @@ CASES = [
     (all_of().when("nested_list.nested_string_list", "n1"), [1]),
     (all_of().when("map.k", "v"), [1]),
     (all_of().nested("nested_object", any_of().when("nested_string_field", "n1").when("nested_object.nested_nested_string_field", "d1")), [1]),
+    (all_of().nested("nested_object", all_of(any_of().when("nested_string_field", "n1").when("nested_string_field", "n3"))), [1, 5]),
     (any_of().when("string_field", "b").when("long_field", 30), [2, 5]),
     (any_of(all_of().when("string_field", "a").when("bool_field", True), all_of().with_not_present("long_field")), [1, 3]),
     (all_of(any_of().when("long_field", 10).when("long_field", 20)).when("bool_field", True), [1, 4]),
