@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docsieve.functions.timefn import millis
 from docsieve.operators.grouped import each_group, sorted_groups
-from docsieve.operators.ordered import CHUNK, Running, in_chunks, null_safe_join, running
+from docsieve.operators.ordered import CHUNK, CUT, Running, in_chunks, null_safe_join, running
 from docsieve.operators.query import outside_threshold
 from docsieve.session import ensure_checkpoint_dir, written
 
@@ -222,11 +222,11 @@ def merged_with_feedback(
     spark = df.sparkSession
     slim = df.select(*names, F.col(at).cast("long").alias(at), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias(value)).filter(F.col(at).isNotNull())
     cut = in_chunks(slim, names, order, chunks)
-    spans = cut.groupBy(*names).agg(F.min(CHUNK).alias("__lo"), F.max(CHUNK).alias("__hi")).filter("__lo < __hi")
+    spans = cut.filter(CUT).groupBy(*names).agg(F.min(CHUNK).alias("__lo"), F.max(CHUNK).alias("__hi")).filter("__lo < __hi")
     spans = written(spans, "spans")
     rounds = (spans.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0) + 1
     nth = F.coalesce(F.col(CHUNK) - F.col("__lo"), F.lit(0))
-    placed = null_safe_join(cut, spans, names, "left").withColumns({"__nth": nth, "__more": F.coalesce(F.col(CHUNK) < F.col("__hi"), F.lit(False))}).drop("__lo", "__hi")
+    placed = null_safe_join(cut, spans, names, "left").withColumns({"__nth": nth, "__more": F.coalesce(F.col(CHUNK) < F.col("__hi"), F.lit(False))}).drop("__lo", "__hi", CUT)
     if rounds > 1:
         folder = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
         placed.write.partitionBy("__nth").parquet(folder)
@@ -328,7 +328,7 @@ def throttle(
     ``order`` starts with the timestamp column and is unique within a key. ``forced`` marks rows another rule emits anyway; they
     move the mark too. A row without a time is never emitted and moves nothing. Each emission depends on the one before, so no window
     expresses it: keys, order and flag go to Python in Arrow batches, and whole rows come back by a semi join. Keys lie in chunks of
-    consecutive rows; for keys that span several, each chunk reports how it maps an inherited mark to the one it leaves, those small
+    consecutive rows; for keys cut into several, each chunk reports how it maps an inherited mark to the one it leaves, those small
     maps are walked in order, and every chunk then replays with the mark it really inherits.
     """
     names = list(keys)
@@ -369,10 +369,9 @@ def throttle(
                 mark = _leave(thresholds, exits, mark, period_ms)
         return frame[group].assign(__mark=pd.array(marks, dtype="Int64"))
 
-    # keys in several chunks: fewer than there are chunks
-    spanning = rows.groupBy(*names).agg(F.min(CHUNK).alias("__lo"), F.max(CHUNK).alias("__hi")).filter("__lo < __hi").select(*names)
-    wide = null_safe_join(rows, spanning, names, "left_semi")
+    wide = rows.filter(CUT).drop(CUT)
     maps = sorted_groups(wide, group, order, summarize, f"{ddl(*group)}, __thresholds array<bigint>, __exits array<bigint>")
-    marks = sorted_groups(maps, names, [CHUNK], walk, f"{ddl(*group)}, __mark bigint")
-    emitted = sorted_groups(null_safe_join(rows, marks, group, "left"), group, order, replay, ddl(*names, *order))
+    # a row per chunk of the keys that are cut: bounded by the sample the splitters come from
+    marks = F.broadcast(sorted_groups(maps, names, [CHUNK], walk, f"{ddl(*group)}, __mark bigint"))
+    emitted = sorted_groups(null_safe_join(rows.drop(CUT), marks, group, "left"), group, order, replay, ddl(*names, *order))
     return null_safe_join(df, emitted, [*names, *order], "left_semi")

@@ -1,9 +1,13 @@
 """Ordered per-key work in which no key is tied to one task.
 
-A window over one key runs in one task. Here all rows are range-partitioned by key and order and written, so a key's rows lie in
-consecutive chunks, as many as its share of the table needs. Each chunk runs its own window, each (key, chunk) gives one summary row,
-the summaries of a key are scanned in order (at most one per chunk), and what a chunk inherits is added to its rows. One path serves
-every key, size and orderable type; ties beyond the given order are in no defined order, as in any window.
+A window over one key runs in one task. Here the rows of a large key are cut into chunks of consecutive rows: splitters come from a sample
+of bounded size that the plan itself draws, and a row's chunk is a column, the number of its key's splitters at or below it. Each (key,
+chunk) runs its own window, those of a cut key give one summary row each, the summaries are scanned in order, and what a chunk inherits is
+added to its rows. One path serves every key, size and orderable type. Building a plan runs no job and writes nothing; the rows are
+shuffled once, and not at all between windows. Ties beyond the given order are in no defined order, as in any window.
+
+The sample is a function of the rows (the least hash in each of ``SAMPLE`` buckets), so every part of the plan and every task run again
+sees the same chunks, as long as ``df`` gives the same rows each time it is read: write it first if it does not.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docsieve.session import written
-
 CHUNK = "__chunk"
+CUT = "__cut"  # true for the rows of keys that lie in several chunks
+SAMPLE = 1 << 15  # rows the splitters come from, at most; so there are at most as many chunks beyond the first of each key
+CHUNK_ROWS = 1_000_000  # rows of one key that one task takes, unless the sample is too small for chunks that short
 
 
 @dataclass(frozen=True)
@@ -59,16 +64,46 @@ class Running:
         return F.coalesce(inside, carried)
 
 
+def _splitters(df: DataFrame, names: list[str], order: list[str], chunks: int | None) -> DataFrame:
+    """One row per key that needs several chunks: (keys, ``__splits``), the first rows of all its chunks but the first, in order."""
+    spot = F.xxhash64(*names, *order)
+    drawn = df.select(spot.alias("__h")).groupBy(F.pmod("__h", F.lit(SAMPLE)).alias("__b"))
+    drawn = drawn.agg(F.min("__h").alias("__h"), F.count(F.lit(1)).alias("__n")).drop("__b")
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # SAMPLE rows at most
+    totals = drawn.select("__h", F.sum("__n").over(everything).alias("__rows"), F.count(F.lit(1)).over(everything).alias("__drawn"))
+    rows = df.select(*names, F.struct(*order).alias("__at"), spot.alias("__h")).join(F.broadcast(totals), "__h")
+    step = F.greatest(F.lit(1), F.floor(F.lit(CHUNK_ROWS) * F.col("__drawn") / F.col("__rows")))
+    if chunks:
+        step = F.ceil(F.col("__drawn") / chunks)
+    # a set, since rows that are equal in key and order are drawn together
+    kept = rows.groupBy(*names).agg(F.array_sort(F.collect_set("__at")).alias("__all"), F.max(step).alias("__step"))
+    splits = F.filter("__all", lambda _, place: (place > 0) & (place % F.col("__step") == 0))
+    return kept.select(*names, splits.alias("__splits")).filter(F.size("__splits") > 0)
+
+
 def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
-    """``df`` range-partitioned by key and order, with ``__chunk``, the number of the partition a row fell into.
+    """``df`` with ``__chunk``, the number of a row's chunk within its key, and ``__cut``, whether its key has several.
 
-    The rows are written once: the ranges come from a sample, and all that follows has to see the same ones. ``chunks`` is the number
-    of partitions (the session's shuffle partitions by default); it changes where work runs, never the result.
+    Chunks of a key are consecutive in ``order`` (ascending, nulls first), and rows that tie in all of it share one. A chunk has about
+    ``CHUNK_ROWS`` rows, or the table's share per sampled row where that is more; ``chunks`` cuts the whole table into about that many
+    instead. Where rows are cut changes where work runs, never the result.
     """
     if not order:
         raise ValueError("an explicit order is required")
-    count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(count, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    names, order = list(keys), list(order)
+    splitters = _splitters(df, names, order, chunks)
+    if names:
+        both = null_safe_join(df, F.broadcast(splitters), names, "left")
+    else:
+        both = df.withColumn("__splits", splitters.scalar())
+    here = F.struct(*order)
+    halves = F.array(*[F.lit(1 << bit) for bit in reversed(range(SAMPLE.bit_length()))])
+    # binary search: go on by ever smaller steps while the splitter there is at or below the row
+    below = F.aggregate(
+        halves, F.lit(0), lambda done, by: F.when(F.get("__splits", done + by - 1) <= here, done + by).otherwise(done)
+    )
+    cut = F.col("__splits").isNotNull()
+    return both.withColumns({CHUNK: F.when(cut, below).otherwise(0), CUT: cut}).drop("__splits")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
@@ -90,14 +125,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
     cut = in_chunks(df, names, order, chunks)
     group = [*names, CHUNK]
     inside = cut.withColumns({name: value.within(group, order) for name, value in values.items()})
-    partial = cut.groupBy(*group).agg(*[value.summary(order).alias(name) for name, value in values.items()])
-    # only keys that go on from an earlier chunk inherit anything: fewer than there are chunks
-    before = Window.partitionBy(*names).orderBy(CHUNK)
-    carried = partial.select(
-        *group, F.row_number().over(before).alias("__nth"), *[value.inherited(name, names).alias(f"__c_{name}") for name, value in values.items()]
-    )
-    carried = carried.filter(F.col("__nth") > 1).drop("__nth")
-    both = null_safe_join(inside, carried, group, "left")
+    partial = cut.filter(CUT).groupBy(*group).agg(*[value.summary(order).alias(name) for name, value in values.items()])
+    # at most two rows per splitter, so their number is bounded by the sample
+    carried = partial.select(*group, *[value.inherited(name, names).alias(f"__c_{name}") for name, value in values.items()])
+    both = null_safe_join(inside, F.broadcast(carried), group, "left")
     out = both.withColumns({name: value.joined(F.col(name), F.col(f"__c_{name}")) for name, value in values.items()})
     return out.select(*[F.col(f"`{name}`") for name in df.columns], *values)
 

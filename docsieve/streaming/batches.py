@@ -13,18 +13,18 @@ from docsieve.sources.writers import to_messages
 
 def cut_by_count(df: DataFrame, order: Sequence[str], rows: int, chunks: int | None = None) -> DataFrame:
     """Add ``__batch``: consecutive batches of exactly ``rows`` rows in arrival order (the last may be shorter)."""
-    numbered = running(df.withColumn("__all", F.lit(0)), ["__all"], order, {"__number": Running("count")}, chunks)
+    numbered = running(df, [], order, {"__number": Running("count")}, chunks)
     batch = F.floor((F.col("__number") - 1) / rows).cast("bigint")
-    return numbered.withColumn("__batch", batch).drop("__all", "__number")
+    return numbered.withColumn("__batch", batch).drop("__number")
 
 
 def cut_by_size(df: DataFrame, order: Sequence[str], kilobytes: float, chunks: int | None = None) -> DataFrame:
     """Add ``__batch``: consecutive batches of about ``kilobytes`` of JSON; a row belongs where its first byte falls."""
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]))).cast("double")
-    sized = df.withColumns({"__size": size, "__all": F.lit(0)})
-    summed = running(sized, ["__all"], order, {"__bytes": Running("sum", F.col("__size"))}, chunks)
+    sized = df.withColumn("__size", size)
+    summed = running(sized, [], order, {"__bytes": Running("sum", F.col("__size"))}, chunks)
     batch = F.floor((F.col("__bytes") - F.col("__size")) / F.lit(kilobytes * 1024.0)).cast("bigint")
-    return summed.withColumn("__batch", batch).drop("__all", "__size", "__bytes")
+    return summed.withColumn("__batch", batch).drop("__size", "__bytes")
 
 
 def run_batches(

@@ -60,11 +60,11 @@ def cut_into(
             return
         part, before = state["part"] + 1, state["total"]
         size = F.lit(1) if rows is not None else F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))
-        sized = df.withColumns({"__size": size.cast("double"), "__all": F.lit(0)})
-        summed = running(sized, ["__all"], order, {_END: Running("sum", F.col("__size"))}, chunks)
+        sized = df.withColumn("__size", size.cast("double"))
+        summed = running(sized, [], order, {_END: Running("sum", F.col("__size"))}, chunks)
         ends = summed.withColumn(_END, F.col(_END) + F.lit(float(before)))
         numbered = ends.withColumn(BATCH, F.floor((F.col(_END) - F.col("__size")) / F.lit(limit)).cast("bigint"))
-        numbered.drop("__all", "__size").write.mode("overwrite").parquet(f"{folder}/part={part}")
+        numbered.drop("__size").write.mode("overwrite").parquet(f"{folder}/part={part}")
 
         reached = _parts(spark, folder, part, part).agg(F.max(_END).alias("end")).first()["end"]
         total = before if reached is None else int(reached)

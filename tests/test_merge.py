@@ -150,6 +150,39 @@ def test_a_hot_key_lies_in_many_chunks(spark):
     assert got.filter("k = 'hot' and n = id + 1").count() == 400 and got.filter("k <> 'hot' and n = 1").count() == 600
 
 
+def test_plans_are_built_without_a_job_and_keys_are_cut_by_size(spark, monkeypatch):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    spark.sparkContext.setJobGroup("building", "")
+    running(df, ["k"], ["id"], {"n": Running("count")})
+    in_chunks(df, [], ["id"])
+    mg.throttle(df.withColumn("at", F.timestamp_millis("id")), ["k"], ["at", "id"], 50)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    # a small table is one chunk a key; with a lower bound the large key alone is cut, into chunks of about that size
+    assert in_chunks(df, ["k"], ["id"]).filter("__cut or __chunk > 0").count() == 0
+    monkeypatch.setattr("docsieve.operators.ordered.CHUNK_ROWS", 1_000)
+    sizes = {(r["k"], r["__chunk"]): r["count"] for r in in_chunks(df, ["k"], ["id"]).filter("__cut").groupBy("k", "__chunk").count().collect()}
+    assert {key for key, _ in sizes} == {"hot"} and 12 <= len(sizes) <= 16 and max(sizes.values()) < 1_500 and sum(sizes.values()) == 14_000
+    assert in_chunks(df, [], ["id"]).groupBy("__chunk").count().filter("count < 1500").count() > 15
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id", F.lit("x").alias("payload"))
+    plan = running(df, ["k"], ["id"], {"n": Running("count")})._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+    assert sum("Exchange hashpartitioning" in line and "__chunk" in line for line in plan.splitlines()) <= 2  # rows, and sums of chunks
+
+
+@pytest.mark.parametrize("chunks", [1, 4, 50])
+def test_empty_tables_and_equal_rows(spark, chunks):
+    empty = spark.createDataFrame([], "k string, at int")
+    assert running(empty, ["k"], ["at"], {"n": Running("count")}, chunks).count() == 0
+    assert running(empty, [], ["at"], {"n": Running("count")}, chunks).count() == 0
+    equal = spark.createDataFrame([("a", 1)] * 30 + [("a", None)] * 5 + [("b", 2)], "k string, at int")
+    got = running(equal, ["k"], ["at"], {"n": Running("count")}, chunks)
+    assert sorted(r["n"] for r in got.filter("k = 'a'").collect()) == list(range(1, 36))
+    assert {r["n"] for r in got.filter("at is null").collect()} == set(range(1, 6))
+
+
 @pytest.mark.parametrize("chunks", [1, 6])
 def test_any_order_type_ties_and_nulls(spark, chunks):
     # text order, a first order column that ties throughout, and nulls
