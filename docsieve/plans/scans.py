@@ -11,6 +11,7 @@ from docsieve.operators.dedup import DedupConfig, dedup
 from docsieve.operators.query import all_of
 from docsieve.operators.update import Update
 from docsieve.plans.registry import query, table, work_folder
+from docsieve.session import written
 from docsieve.sources import layout, readers, service, versioned, writers
 from docsieve.sources.layout import Bucket, state_bucket
 from docsieve.sources.readers import Input
@@ -117,6 +118,25 @@ def r1_stage_age_out(spark, d):
     return readers.scan_stage(spark, bucket).groupBy(F.col("__slice").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "r1_graceful_age_out",
+    """SELECT strftime(o_orderdate, '%Y') AS slice, count(*) AS n, o_orderdate >= TIMESTAMP '1998-01-01' AS shown,
+       o_orderdate >= TIMESTAMP '1998-01-01' AS there_later FROM orders GROUP BY ALL""",
+)
+def r1_graceful_age_out(spark, d):
+    """All slices on disk after the first run, whether scans show them, and whether the run after the grace left them."""
+    bucket = _sliced_orders(spark, d)
+    writers.age_out_stage(spark, bucket, "processed", "3 years", NOW, grace="1 hour")
+    shown = readers.scan_stage(spark, bucket).select("__slice").distinct().withColumn("shown", F.lit(True))
+    everything = spark.read.parquet(versioned.current_folder(spark, bucket.stage("processed"))).groupBy(F.col("__slice").cast("string").alias("__slice"))
+    before = written(everything.agg(F.count(F.lit(1)).alias("n")).join(shown, "__slice", "left"), "before")
+    writers.age_out_stage(spark, bucket, "processed", "3 years", NOW + dt.timedelta(hours=2), grace="1 hour")
+    after = spark.read.parquet(versioned.current_folder(spark, bucket.stage("processed"))).select(F.col("__slice").cast("string").alias("__slice"))
+    both = before.join(after.distinct().withColumn("there_later", F.lit(True)), "__slice", "left")
+    flag = lambda name: F.coalesce(name, F.lit(False)).alias(name)
+    return both.select(F.col("__slice").alias("slice"), "n", flag("shown"), flag("there_later"))
+
+
 @query("s10_service", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def s10_service(spark, d):
     return readers.scan_service(spark, "parquet", path=f"{d}/customer.parquet").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,6 +11,8 @@ from pyspark.sql import SparkSession
 # fixed values: copies a bucket keeps
 STAGES = ("raw", "json", "processed", "transient_output", "transient_input")
 
+AGED_OUT = "_aged_out.json"  # names the slices of a stage that scans leave out
+
 
 @dataclass(frozen=True)
 class Bucket:
@@ -89,6 +92,11 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def aged_out(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Slices of a stage's folder that scans leave out, with the time they were noted."""
+    return json.loads(read_small(spark, f"{folder}/{AGED_OUT}") or "{}")
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small control file in one rename, so that a reader sees the old or the new text."""
     fs, location = hadoop_path(spark, path)

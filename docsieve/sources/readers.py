@@ -14,7 +14,7 @@ from docsieve.operators import timeslice
 from docsieve.operators.buckets import BUCKET, matching_buckets
 from docsieve.operators.grouped import tag_inputs
 from docsieve.operators.query import Query
-from docsieve.sources.layout import Bucket, list_folders, parse_address
+from docsieve.sources.layout import Bucket, aged_out, list_folders, parse_address
 from docsieve.sources.versioned import current_folder
 
 
@@ -43,7 +43,7 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None, options:
 
 
 def scan_stage(spark: SparkSession, bucket: Bucket, stage: str = "processed", job: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """All data of a bucket's stage. The slice column appears when the stage is partitioned by it."""
+    """All data of a bucket's stage but for slices noted as aged out. The slice column appears when the stage is partitioned by it."""
     fmt = "json" if stage == "json" else "text" if stage == "raw" else bucket.format
     folder = current_folder(spark, bucket.stage(stage, job))
     df = _reader(spark, fmt, schema, {}).load(folder)
@@ -51,7 +51,8 @@ def scan_stage(spark: SparkSession, bucket: Bucket, stage: str = "processed", jo
         # folder names such as 2024.10 look like numbers; as numbers they would neither compare nor print right
         named = [T.StructField(f.name, T.StringType() if f.name == timeslice.SLICE else f.dataType) for f in df.schema.fields]
         df = _reader(spark, fmt, T.StructType(named), {}).load(folder)
-    return df
+    hidden = sorted(aged_out(spark, folder)) if timeslice.SLICE in df.columns else []
+    return df.filter(~F.coalesce(F.col(timeslice.SLICE), F.lit("")).isin(hidden)) if hidden else df
 
 
 def scan_bucket_set(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from docsieve.functions import timefn
 from docsieve.operators import routing, timeslice
 from docsieve.operators.buckets import coerce
 from docsieve.operators.update import upsert
@@ -19,6 +21,8 @@ from docsieve.sources.versioned import current_folder, replace_folder
 # fixed values: codec names and what Spark calls them (framed snappy has no Spark writer; plain snappy stands in)
 CODECS = {"": "none", "plain": "none", "gz": "gzip", "gzip": "gzip", "sz": "snappy", "snappy": "snappy", "fr.sz": "snappy", "snappy_framed": "snappy"}
 
+SIZE_ROWS = 10_000  # rows whose JSON is measured for batches by size
+
 
 @dataclass(frozen=True)
 class WriteSettings:
@@ -37,10 +41,10 @@ class WriteSettings:
         return writer.option("maxRecordsPerFile", min(rows)) if rows else writer
 
     def _rows_of_size(self, df: DataFrame) -> int | None:
-        """Rows that make up the largest batch at the mean size of a row."""
+        """Rows that make up the largest batch at the mean size of ``SIZE_ROWS`` rows, the first Spark comes by: an estimate, not a pass."""
         if self.batch_max_size_kb is None:
             return None
-        mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))).alias("b")).first()["b"]
+        mean = df.limit(SIZE_ROWS).agg(F.avg(F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))).alias("b")).first()["b"]
         return max(1, int(self.batch_max_size_kb * 1024 / mean)) if mean else None
 
     def flush(self) -> dict[str, str]:
@@ -108,20 +112,34 @@ def write_results(df: DataFrame, bucket: Bucket, dedup_configured: bool, delete_
     return "append"
 
 
-def age_out_stage(spark: SparkSession, bucket: Bucket, stage: str, max_age: str, now: dt.datetime) -> list[str]:
-    """Remove the slices of a stage that ended before the age limit; returns their folders. Each stage has its own limit.
+def age_out_stage(spark: SparkSession, bucket: Bucket, stage: str, max_age: str, now: dt.datetime, grace: str | None = None) -> list[str]:
+    """Remove the slices of a stage that ended before the age limit; returns the removed folders. Each stage has its own limit.
 
-    Folders are deleted whole: a reader that listed them before may find files gone, so run it when their age makes that harmless.
+    With ``grace`` (``1 hour``) no reader loses files under its feet: a run first notes expired slices in a small file, by which scans of the
+    stage leave them out from then on, and removes only those noted at least that long before ``now``; readers that listed them earlier
+    have this time to finish. Without it folders go at once, and a reader that listed them before may find files gone.
     """
-    folders = layout.list_folders(spark, current_folder(spark, bucket.stage(stage)))
-    marked = [(folder, folder.rsplit(f"{timeslice.SLICE}=", 1)[1].replace("%3A", ":")) for folder in folders if f"{timeslice.SLICE}=" in folder]
+    root = current_folder(spark, bucket.stage(stage))
+    marked = [
+        (folder, folder.rsplit(f"{timeslice.SLICE}=", 1)[1].replace("%3A", ":")) for folder in layout.list_folders(spark, root) if f"{timeslice.SLICE}=" in folder
+    ]
     if not marked:
         return []
     listing = spark.createDataFrame(marked, "folder string, path string")
-    expired = [row["folder"] for row in timeslice.expired_slices(listing, max_age, now).collect()]
-    for folder in expired:
+    expired = {row["path"]: row["folder"] for row in timeslice.expired_slices(listing, max_age, now).collect()}
+    noted = layout.aged_out(spark, root)
+    if grace is not None:
+        due = timefn.span_of(grace).shift(now, -1).isoformat()
+        kept = {name: noted.get(name, now.isoformat()) for name in expired if noted.get(name, now.isoformat()) > due}
+        layout.write_small(spark, f"{root}/{layout.AGED_OUT}", json.dumps({**noted, **kept}))
+        expired = {name: folder for name, folder in expired.items() if name not in kept}
+    for folder in expired.values():
         layout.remove(spark, folder)
-    return expired
+    # a slice is named until its folder is gone, so that a run that dies in between hides it still
+    left = {name: since for name, since in layout.aged_out(spark, root).items() if name not in expired}
+    if grace is not None or noted:
+        layout.write_small(spark, f"{root}/{layout.AGED_OUT}", json.dumps(left))
+    return list(expired.values())
 
 
 def write_partitioned_targets(external: DataFrame, root: str, fmt: str = "parquet") -> None:

@@ -333,6 +333,22 @@ def test_stream_cuts_are_exact_and_repeatable(spark, tmp_path):
         cuts.cut_into(str(tmp_path), ["id"])
 
 
+def test_age_out_with_grace(spark, tmp_path, rows):
+    bucket = Bucket("/aged", str(tmp_path), time_field="t", slice_period="month")
+    writers.write_sliced(rows, bucket, policy="record")
+    everything = readers.scan_stage(spark, bucket).count()
+    expired = [slice_ for (slice_,) in timeslice.with_slice(rows, "t", "month", "record").select("__slice").distinct().collect() if slice_ and slice_ < "2024.04"]
+    before = readers.scan_stage(spark, bucket)
+    assert writers.age_out_stage(spark, bucket, "processed", "2 months", NOW, grace="1 hour") == []
+    young = readers.scan_stage(spark, bucket).count()
+    assert expired and young < everything == before.count()  # who listed the files earlier still reads them all
+    assert writers.age_out_stage(spark, bucket, "processed", "2 months", NOW + dt.timedelta(minutes=30), grace="1 hour") == []
+    gone = writers.age_out_stage(spark, bucket, "processed", "2 months", NOW + dt.timedelta(hours=2), grace="1 hour")
+    assert sorted(folder.rsplit("=", 1)[1] for folder in gone) == sorted(expired)
+    assert readers.scan_stage(spark, bucket).count() == young == spark.read.parquet(bucket.stage()).count()
+    assert writers.age_out_stage(spark, bucket, "processed", "2 months", NOW, grace="1 hour") == []
+
+
 def test_age_out(spark, rows):
     sliced = timeslice.with_slice(rows, "t", "month", "record")
     kept = timeslice.age_out(sliced, "t", "2 months", NOW, period="month")
