@@ -6,7 +6,9 @@ its tokens that the fewest URLs hold. A URL's tokens fetch the rules filed under
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from docsieve.llm.common import LOWER, UPPER
 
 #: Rules without a usable token are filed under the empty token, which every URL holds.
 EVERY = ""
+#: Keys the rows of the empty token are dealt over, so that a join by token has no key that holds every URL.
+SALTS = 64
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -72,22 +76,20 @@ def compiled(rule: Rule) -> tuple[str, list[str]]:
     return f"(?is){start}{regex}{end}", tokens
 
 
-def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """(rank, rule, action, kind, regex, tokens), one row per different rule."""
+_RULE_SCHEMA = "array<struct<rank: int, rule: string, action: string, kind: string, regex: string, tokens: array<string>>>"
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """(rank, rule, action, kind, regex, tokens), one row per different rule.
+
+    The rules are one JSON text that Spark parses, so the plan has the same size for three rules and for a list of many thousands.
+    """
     rows = []
     for rank, rule in enumerate(dict.fromkeys(rules)):
         regex, tokens = compiled(rule)
-        held = F.array(*[F.lit(t) for t in sorted(set(tokens))]) if tokens else F.array().cast("array<string>")
-        rows.append(
-            F.struct(
-                F.lit(rank).alias("rank"), F.lit(rule.text).alias("rule"), F.lit(rule.action).alias("action"), F.lit(rule.kind).alias("kind"),
-                F.lit(regex).alias("regex"), held.alias("tokens"),
-            )
-        )
-    one = spark.range(1)
-    if not rows:
-        return one.where("false").selectExpr("0 rank", "'' rule", "'' action", "'' kind", "'' regex", "cast(array() as array<string>) tokens")
-    return one.select(F.inline(F.array(*rows)))
+        rows.append({"rank": rank, "rule": rule.text, "action": rule.action, "kind": rule.kind, "regex": regex, "tokens": sorted(set(tokens))})
+    text = spark.range(1).select(F.lit(json.dumps(rows)).alias("rules"))
+    return text.select(F.inline(F.from_json("rules", _RULE_SCHEMA)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -100,7 +102,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern): one row per page row.
 
     ``rule`` is the longest fitting prefix rule (ties: the longer host, then the text; equal rules with both actions block) and sets the
@@ -129,8 +131,11 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     )
     index = table.drop("tokens").join(filed, "rank", "left").withColumn("token", F.coalesce("token", F.lit(EVERY)))
 
-    # the empty token keeps a row for every URL; a rule's expression runs only in rows its token fetched
-    fetched = tokens.join(index, "token", "left").where(F.col("rank").isNotNull() | (F.col("token") == EVERY))
+    # the empty token keeps a row for every URL, so it is dealt over SALTS keys; a rule's expression runs only in rows its token fetched
+    salts = F.when(F.col("token") == EVERY, F.lit(SALTS - 1)).otherwise(0)
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    tokens = tokens.withColumn("salt", F.when(F.col("token") == EVERY, F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    fetched = tokens.join(index, ["token", "salt"], "left").where(F.col("rank").isNotNull() | (F.col("token") == EVERY))
     prefix = F.col("kind") == "prefix"
     order = F.struct(
         prefix.alias("prefix"),

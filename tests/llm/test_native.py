@@ -51,6 +51,20 @@ def test_pattern_rules(spark):
     assert [got[i] for i in range(len(urls))] == list(urls.values())
 
 
+def test_a_long_list_of_rules(spark):
+    rules = [Rule(f"h{i}.net/", "block" if i % 3 else "allow") for i in range(50_000)] + [Rule(f"h{i}.net/deep/", "allow") for i in range(0, 50_000, 10)]
+    rules += [Rule('say "x\\y"/', "block"), Rule("*zz*", "block", "pattern")]
+    pages = spark.range(0, 60_000, 7).selectExpr("id page_id", "concat('http://www.h', id, '.net/', if(id % 2 = 0, 'deep/1', 'q')) url")
+    table = judged(pages, rules)
+    assert table._jdf.queryExecution().logical().toString().count("struct(") < 50  # the plan does not grow with the list
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in table.collect()}
+    want = {}
+    for i in range(0, 60_000, 7):
+        deep = i % 10 == 0 and i % 2 == 0 and i < 50_000
+        want[i] = (f"h{i}.net/deep/", "allow") if deep else (f"h{i}.net/", "block" if i % 3 else "allow") if i < 50_000 else (None, "allow")
+    assert got == want
+
+
 def test_tokens_are_whole_only():
     assert compiled(Rule("example.org/en/1", "block"))[1] == ["example", "org", "en"]
     assert compiled(Rule("*ads*", "block", "pattern"))[1] == []
