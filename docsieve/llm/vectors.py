@@ -23,6 +23,8 @@ from docsieve.llm.components import components
 SAMPLE = 2048
 BLOCK = 1024
 LEAF = 96
+#: Ball of the vectors of a group of which none was sampled: the whole group.
+UNROUTED = -1
 #: More than the rounding of distances, the square root of that of squares.
 _SLACK = 1e-7
 
@@ -141,7 +143,7 @@ def _routing(routers, least: float, occupied=None):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for groups, vectors in batches:
             names = np.array(groups.to_pylist(), object)
-            nodes, distances = np.zeros(len(names), np.int64), np.ones(len(names))
+            nodes, distances = np.full(len(names), UNROUTED), np.ones(len(names))
             reached: list[list[dict]] = [[] for _ in names]
             for name in set(names.tolist()):
                 at = np.flatnonzero(names == name)
@@ -152,8 +154,7 @@ def _routing(routers, least: float, occupied=None):
                         nodes[at], distances[at] = home_ball(router, x)
                     continue
                 balls, radii, blocks = occupied.value[name]
-                centres = router[0][balls] if router is not None else np.zeros((1, x.shape[1]))
-                within = _distances(x, centres) <= radii[None, :] + least
+                within = _distances(x, router[0][balls]) <= radii[None, :] + least
                 for row, hit in zip(at, within):
                     reached[row] = [{"ball": int(balls[k]), "blocks": int(blocks[k])} for k in np.flatnonzero(hit)]
             if occupied is None:
@@ -225,13 +226,16 @@ def linked_vectors(
     routed = classes.withColumn("r", _routing(routers, reach)(F.col("g"), F.col("vector")))
     routed = saved(routed.select("g", "rep", "m", "vector", "r.ball", "r.distance"), "routed")
 
-    # at most one ball for each sampled vector and level, and one for each group
-    held = routed.groupBy("g", "ball").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
+    held = routed.groupBy("g", "ball").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
+    # at most one ball for each sampled vector and level; groups without a sampled vector, any number of them, stay in a table
     balls: dict[str, list] = {}
-    for row in sorted(held, key=lambda r: r["ball"]):
+    for row in sorted(held.where(F.col("ball") != UNROUTED).collect(), key=lambda r: r["ball"]):
         balls.setdefault(row["g"], []).append((row["ball"], row["radius"], -(-row["n"] // block)))
     occupied = spark.sparkContext.broadcast({g: tuple(np.array(column) for column in zip(*each)) for g, each in balls.items()})
-    near = routed.withColumn("near", _routing(routers, reach, occupied)(F.col("g"), F.col("vector")))
+    near = routed.where(F.col("ball") != UNROUTED).withColumn("near", _routing(routers, reach, occupied)(F.col("g"), F.col("vector")))
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    whole = held.where(F.col("ball") == UNROUTED).select("g", F.array(F.struct("ball", blocks.alias("blocks"))).alias("near"))
+    near = near.unionByName(routed.where(F.col("ball") == UNROUTED).join(whole, "g"))
     near = near.withColumn("own", F.expr("filter(near, t -> t.ball = ball)[0].blocks"))
     near = near.withColumn("block", F.expr("pmod(xxhash64(rep), own)")).select("g", "rep", "m", "vector", "ball", "block", F.explode("near").alias("t"))
     other = near.withColumn("other", F.explode(F.expr("sequence(0L, t.blocks - 1)")))

@@ -138,7 +138,7 @@ def test_home_balls_cover():
     assert np.allclose(np.linalg.norm(x - balls[0][node], axis=1), distance, atol=1e-7) and (distance <= np.array(balls[1])[node] + 1e-7).all()
 
 
-@pytest.mark.parametrize("sample,block", [(2048, 1024), (40, 30), (0, 16)])
+@pytest.mark.parametrize("sample,block", [(2048, 1024), (40, 30), (1, 20), (0, 16)])
 def test_vectors_against_brute_force(spark, sample, block):
     x = cluster_rows(5, 300, 4)
     rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
