@@ -236,6 +236,25 @@ def sorted_groups(
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
+def sorted_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[Iterator[list[tuple[bool, pd.DataFrame]]]], Frames], schema: T.StructType | str
+) -> DataFrame:
+    """``fn`` gets the sorted rows of a task as lists of (goes on, rows), a list per Arrow batch: a group of any size comes in pieces, and
+    ``goes on`` says that the piece belongs to the group of the piece before. Memory is bounded by a batch and what ``fn`` keeps."""
+    names = list(keys)
+
+    def pieces(frames: Frames) -> Iterator[list[tuple[bool, pd.DataFrame]]]:
+        last: pd.DataFrame | None = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            goes_on = last is not None and len(group_starts(pd.concat([last, frame.iloc[:1][names]], ignore_index=True), names)) == 1
+            yield [(goes_on and not number, part) for number, part in enumerate(each_group(frame, names))]
+            last = frame.iloc[-1:][names].copy()
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(lambda frames: fn(pieces(frames)), schema)
+
+
 def each_group(frame: pd.DataFrame, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Groups of a frame sorted by key."""
     starts = group_starts(frame, keys)

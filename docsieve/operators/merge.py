@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docsieve.functions.timefn import millis
-from docsieve.operators.grouped import each_group, sorted_groups
+from docsieve.operators.grouped import each_group, sorted_groups, sorted_pieces
 from docsieve.operators.ordered import CHUNK, CUT, Running, in_chunks, null_safe_join, running
 from docsieve.operators.query import outside_threshold
 from docsieve.session import ensure_checkpoint_dir, written
@@ -216,7 +216,8 @@ def merged_with_feedback(
     depends on all emitted before it, so no summary of a chunk exists: a chunk of a key starts from the state its chunk before left.
     All keys go on together, one round per chunk: the first round takes the first chunk of every key, which for most is the only one,
     each later round the next chunk of the keys that reach it, fewer than there are chunks. A round reads and writes only its own rows,
-    and hands on one small row per key. So memory is bounded by a chunk, and the rounds are as many as the longest key has chunks.
+    and hands on one small row per key. A chunk goes through Python in Arrow batches, so memory does not grow with it, and the rounds are
+    as many as the longest key has chunks.
     """
     names, order = list(keys), [at, tie]
     spark = df.sparkSession
@@ -238,19 +239,28 @@ def merged_with_feedback(
     schema = f"{head}, {members}, __count bigint, __sum double, __last double, __mark bigint, __kind string"
     columns = [*names, tie, at, "merge_count", "merge_sum", "pair_min", "pair_max", *state, "__kind"]
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for part in each_group(frame, names):
-            count, total, last, mark = (None if pd.isna(v) else v for v in part[state].iloc[0])
-            begin = (int(count or 0), float(total or 0.0), last, None if mark is None else int(mark))
-            emitted, end = merge_rows(part, begin, names, at, tie, value, rules, formatter)
-            out += [{**row, "__kind": "row"} for row in emitted]
-            if part["__more"].iloc[0]:
-                out.append({**{name: part[name].iloc[0] for name in names}, **dict(zip(state, end)), "__kind": "state"})
+    def table(out: list[dict[str, Any]]) -> pd.DataFrame:
         made = pd.DataFrame(out, columns=columns)
         whole = {name: "Int64" for name in (tie, at, "merge_count", "__count", "__mark")}
         return made.astype(whole | {name: "float64" for name in ("merge_sum", "pair_min", "pair_max", "__sum", "__last")})
 
+    def step(pieces: Iterator[list[tuple[bool, pd.DataFrame]]]) -> Iterator[pd.DataFrame]:
+        end: tuple = ()
+        left: dict[str, Any] | None = None  # the key whose state is to be handed on, if any
+        for parts in pieces:
+            out = []
+            for goes_on, part in parts:
+                if not goes_on:
+                    out += [{**left, **dict(zip(state, end)), "__kind": "state"}] if left else []
+                    count, total, last, mark = (None if pd.isna(v) else v for v in part[state].iloc[0])
+                    end = (int(count or 0), float(total or 0.0), last, None if mark is None else int(mark))
+                    left = {name: part[name].iloc[0] for name in names} if part["__more"].iloc[0] else None
+                emitted, end = merge_rows(part, end, names, at, tie, value, rules, formatter)
+                out += [{**row, "__kind": "row"} for row in emitted]
+            yield table(out)
+        if left:
+            yield table([{**left, **dict(zip(state, end)), "__kind": "state"}])
+
     target = f"{ensure_checkpoint_dir(spark)}/feedback-{uuid.uuid4().hex}"
     empty = {"__count": F.lit(None).cast("bigint"), "__sum": F.lit(None).cast("double"), "__last": F.lit(None).cast("double"), "__mark": F.lit(None).cast("bigint")}
     for number in range(rounds):
@@ -260,7 +270,7 @@ def merged_with_feedback(
             rows = null_safe_join(rows, before, names, "left")
         else:
             rows = rows.withColumns(empty)
-        sorted_groups(rows, names, order, step, schema).write.parquet(f"{target}/round={number}")
+        sorted_pieces(rows, names, order, step, schema).write.parquet(f"{target}/round={number}")
     return spark.read.parquet(target).filter("__kind = 'row'").select(*names, tie, at, "merge_count", "merge_sum", "pair_min", "pair_max")
 
 

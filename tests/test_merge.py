@@ -243,3 +243,25 @@ def test_feedback_is_the_same_at_any_number_of_chunks(spark, rules):
         got = sorted(((*tuple(r)[:4], round(r["merge_sum"], 9), r["pair_min"], r["pair_max"]) for r in out.collect()), key=str)
         assert got == want
     assert mg.merged_with_feedback(df.filter("false"), ["k"], "at", "id", "v", rules, _tenth).count() == 0
+
+
+def _rows_at_once(row):
+    """Emitted rows tell how many rows of the key were in Python together."""
+    return {**row, "merge_sum": float(len(sys._getframe(1).f_locals["rows"]))}
+
+
+def test_feedback_takes_a_key_in_arrow_batches(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["hot", "hot", "a", None]), draw.randint(0, 90), i, draw.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at bigint, id bigint, v double")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "10")
+    try:
+        assert mg.merged_with_feedback(df, ["k"], "at", "id", "v", mg.Rules(), _rows_at_once, chunks=1).agg(F.max("merge_sum")).first()[0] <= 10
+        rules = mg.Rules(every_nth=3, every_ms=40)
+        for chunks in (1, 4):
+            out = mg.merged_with_feedback(df, ["k"], "at", "id", "v", rules, _tenth, chunks=chunks)
+            got = sorted(((*tuple(r)[:4], round(r["merge_sum"], 9), r["pair_min"], r["pair_max"]) for r in out.collect()), key=str)
+            assert got == _folded(rows, rules, _tenth)
+    finally:
+        spark.conf.unset(setting)
