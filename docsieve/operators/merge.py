@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docsieve.functions.timefn import millis
-from docsieve.operators.grouped import each_group, sorted_groups, sorted_pieces
+from docsieve.operators.grouped import each_group, group_starts, sorted_groups, sorted_pieces
 from docsieve.operators.ordered import CHUNK, CUT, Running, in_chunks, null_safe_join, running
 from docsieve.operators.query import outside_threshold
 from docsieve.session import ensure_checkpoint_dir, written
@@ -316,17 +317,19 @@ def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return part["__ms"].to_numpy(np.int64), part["__forced"].to_numpy(bool)
 
 
-def _emitted(at: np.ndarray, forced: np.ndarray, period: int, mark: int | None) -> list[int]:
-    """Indexes of the rows emitted after an inherited mark, jumping from each emitted row to the next."""
-    count = len(at)
-    following = _next_rows(at, forced, period)
-    hits = np.flatnonzero(forced)
-    first = 0 if mark is None else int(np.searchsorted(at, mark + period, side="right"))
-    index = min(first, int(hits[0]) if len(hits) else count)
-    kept = []
-    while index < count:
-        kept.append(index)
-        index = int(following[index])
+def _emitted(at: np.ndarray, forced: np.ndarray, starts: Sequence[int], marks: Sequence[int | None], period: int) -> list[int]:
+    """Indexes of the rows emitted in groups of rows that begin at ``starts`` and inherit ``marks``, jumping from each emitted row to the next."""
+    times, hits = memoryview(np.ascontiguousarray(at)), memoryview(np.append(np.flatnonzero(forced), len(at)).astype(np.int64))
+    kept, hit = [], 0  # the first forced row that is not behind
+    for start, end, mark in zip(starts, [*starts[1:], len(at)], marks):
+        while hits[hit] < start:
+            hit += 1
+        index = min(start if mark is None else bisect_right(times, mark + period, start, end), hits[hit])
+        while index < end:
+            kept.append(index)
+            if hits[hit] <= index < len(at):
+                hit = bisect_right(hits, index, hit)
+            index = min(bisect_right(times, times[index] + period, index + 1, end), hits[hit])
     return kept
 
 
@@ -354,12 +357,9 @@ def throttle(
         return ", ".join(f"`{name}` {types[name]}" for name in columns)
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, at = [], 0
-        for part in each_group(frame, group):
-            mark = part["__mark"].iloc[0]
-            kept += [at + index for index in _emitted(*_arrays(part), period_ms, None if pd.isna(mark) else int(mark))]
-            at += len(part)
-        return frame.iloc[kept][[*names, *order]]
+        starts = group_starts(frame, group)
+        marks = [None if pd.isna(mark) else int(mark) for mark in frame["__mark"].iloc[starts]]
+        return frame.iloc[_emitted(*_arrays(frame), starts, marks, period_ms)][[*names, *order]]
 
     def summarize(frame: pd.DataFrame) -> pd.DataFrame:
         firsts, thresholds, exits = [], [], []

@@ -111,7 +111,8 @@ def merge_into(
             }
         ).withColumn("__keep", _by_rule(rules, F.col("__value")))
         both = written(both, "merged")  # read for the rows let through, their throttle and the new state
-        kept = both.filter("__keep") if rules.every_ms is None else _throttled(both, at, tie, rules.every_ms)
+        # the throttle's rows are written, since both ``handle`` and the new marks read them
+        kept = both.filter("__keep") if rules.every_ms is None else written(_throttled(both, at, tie, rules.every_ms), "kept")
         handle(kept.select(*[F.col(f"`{name}`") for name in df.columns], *_MERGED), batch_id)
 
         known = F.when(F.col("__value").isNotNull(), F.col("merge_count"))

@@ -72,3 +72,14 @@ def test_failed_batches_idle_keys_and_late_rows(spark, tmp_path):
     step(spark.createDataFrame([("z", 5000, 10, 1.0)], SCHEMA), 4)
     keyed.forget(spark, folder, 2000)
     assert bucketed.read(spark, folder).count() == 1
+
+
+def test_throttle_runs_once_a_batch(spark, tmp_path):
+    plans = []
+
+    def keep(df, number):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    step = keyed.merge_into(f"{tmp_path}/state", ["k"], "at", "v", "id", keep, Rules(every_ms=60), chunks=5, buckets=4)
+    step(spark.createDataFrame(_rows(0, 60, 1), SCHEMA), 0)
+    assert len(plans) == 1 and "MapInPandas" not in plans[0]

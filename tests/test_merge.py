@@ -6,6 +6,7 @@ import datetime as dt
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -265,3 +266,11 @@ def test_feedback_takes_a_key_in_arrow_batches(spark):
             assert got == _folded(rows, rules, _tenth)
     finally:
         spark.conf.unset(setting)
+
+
+def test_replay_of_many_groups():
+    at = np.array([0, 5, 10, 3, 4, 30, 31, 1, 2], np.int64)
+    forced = np.array([0, 0, 0, 0, 1, 0, 0, 0, 1], bool)
+    # groups 0-2, 3-6 and 7-8: without a mark, behind a mark, and behind one that lets only the forced row through
+    assert mg._emitted(at, forced, [0, 3, 7], [None, 1, 100], 6) == [0, 2, 4, 5, 8]
+    assert mg._emitted(at[:0], forced[:0], [], [], 6) == []
