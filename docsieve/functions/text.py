@@ -12,7 +12,7 @@ _TERM_CHAR = r"[\p{L}\p{N}]"
 
 def tokens(text: Column) -> Column:
     """Lower-case terms of a text: its runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda term: term != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_words(text: str) -> list[str]:

@@ -40,16 +40,21 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _words(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, block, term): every term of every text, repeated as in it; each text is split once."""
+    rows = df.select(F.col(id_column).alias("id"), tokens(F.col(text)).alias("w")).filter(F.col("id").isNotNull())
+    block = F.floor(F.log2(F.size("w").cast("double") + 1) * PER_DOUBLING).cast("int")
+    # outer, since a test of the array would be pushed below the split and every text split again for it
+    return rows.select("id", block.alias("block"), F.explode_outer("w").alias("term")).filter(F.col("term").isNotNull())
+
+
 def build_index(df: DataFrame, id_column: str, text: str, folder: str, buckets: int = 256) -> SearchIndex:
     """Write the index of ``df`` below ``folder``. Ids are unique; rows without an id are left out, null texts have no terms.
 
     Frequencies are added up before they are shuffled, and a frequent term's postings are dealt out by block as well, so no task holds
     a term. Reading a term's postings back needs no shuffle.
     """
-    rows = df.select(F.col(id_column).alias("id"), tokens(F.col(text)).alias("w")).filter(F.col("id").isNotNull())
-    block = F.floor(F.log2(F.size("w").cast("double") + 1) * PER_DOUBLING).cast("int")
-    words = rows.filter(F.size("w") > 0).select("id", block.alias("block"), F.explode("w").alias("term"))
-    counted = words.groupBy("id", "block", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    counted = _words(df, id_column, text).groupBy("id", "block", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
     postings = counted.repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block")
     postings.select("term", "block", "id", "tf", "bucket").write.partitionBy("bucket").parquet(f"{folder}/postings")
     spark = df.sparkSession

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.operators.index import _of_terms, build_index, indexed_search
+from docsieve.operators.index import _of_terms, _words, build_index, indexed_search
 from docsieve.operators.search import parse_search, search
 
 WORDS = ["the", "of", "and", "rare", "Ärger", "x9", "long", "tail"]
@@ -59,3 +59,10 @@ def test_other_rows_and_empty_tables(spark, docs, stored, tmp_path):
         indexed_search(spark, stored, parse_search("-rare"))
     empty = build_index(docs.filter("false"), "id", "text", f"{tmp_path}/empty", buckets=3)
     assert indexed_search(spark, empty, parse_search("the"), 5).hits.count() == 0
+
+
+def test_texts_are_split_once(docs):
+    words = _words(docs, "id", "text")
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower") == 1
+    assert sorted(r["term"] for r in words.filter("id in (1000, 1001, 1002, 1004)").collect()) == ["the"] * 4
