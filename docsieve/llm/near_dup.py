@@ -105,8 +105,12 @@ def _least_shared(n: Column, k: int, percent: int) -> Column:
 def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch does not rule them out and whose full sets are similar enough.
 
-    A set is kept in the order of its hashes, so its sketch is its beginning. The sketch of the union is the k least of both.
+    A set is kept in the order of its hashes, so its sketch is its beginning. The sketch of the union is the k least of both. Only sets of
+    classes that are in a pair move.
     """
+    pairs = saved(pairs, "candidate-pairs")
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "paired")
+    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
     a, b = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
     met = pairs.join(b, "b").join(a, "a")
     union = F.expr(f"slice(array_sort(array_union(slice(ha, 1, {k}), slice(hb, 1, {k}))), 1, {k})")

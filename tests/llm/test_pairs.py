@@ -164,3 +164,14 @@ def test_vectors_against_brute_force(spark, sample, block):
 def test_vectors_without_rows(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert linked_vectors(frame).count() == 0
+
+
+def test_only_paired_sets_move(spark):
+    from docsieve.llm.near_dup import _confirmed
+
+    sets = spark.createDataFrame([(i, list(range(i % 4, 20 + i % 4))) for i in range(40)], "rep long, hashes array<long>")
+    pairs = spark.createDataFrame([(0, 4), (1, 7), (0, 400)], "a long, b long")
+    out = _confirmed(pairs, sets, 16, 80)
+    assert "Join LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(0, 4), (1, 7)]
+    assert _confirmed(pairs.where("false"), sets, 16, 80).count() == 0
