@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,19 +35,31 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 def groups_of(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
     """Groups between byte offsets where tokens of both end, as text, and all overlapping pairs of ids. Both cover the same bytes."""
+    if len(a) == 1 or len(b) == 1:  # one group, and the one token overlaps all others
+        return [f"{','.join(map(str, a))}|{','.join(map(str, b))}"], [(x, y) for x in a for y in b]
     groups, links = [], []
+    if not a:
+        return groups, links
     i = j = first_a = first_b = 0
-    left = a_size[0] - b_size[0] if a else 0  # bytes the first side's token ends behind the second side's
-    while i < len(a):
-        links.append((a[i], b[j]))
-        step_a, step_b = left <= 0, left >= 0
-        if left == 0:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-            first_a, first_b = i + 1, j + 1
-        i, j = i + step_a, j + step_b
-        if i < len(a):
-            left += (a_size[i] if step_a else 0) - (b_size[j] if step_b else 0)
-    return groups, links
+    x, y, left = a[0], b[0], a_size[0] - b_size[0]  # left: bytes the first side's token ends behind the second side's
+    while True:
+        links.append((x, y))
+        if left < 0:
+            i += 1
+            x = a[i]
+            left += a_size[i]
+        elif left > 0:
+            j += 1
+            y = b[j]
+            left -= b_size[j]
+        else:
+            single = i == first_a and j == first_b
+            groups.append(f"{x}|{y}" if single else f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
+            first_a = i = i + 1
+            first_b = j = j + 1
+            if i == len(a):
+                return groups, links
+            x, y, left = a[i], b[j], a_size[i] - b_size[j]
 
 
 class Aligner:
@@ -81,20 +94,20 @@ class Aligner:
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}  # what was known before ``known`` was full; what is met again moves over
 
-    def _b_ids(self, run: str) -> list[int] | None:
-        """B's ids of a run; B puts a space before everything it is given. None where that space does not stand alone."""
-        if run[0] == " ":
-            return self.b.encode(run[1:], num_threads=1)
-        ids = self.b.encode(run, num_threads=1)
-        return ids[1:] if ids and self.b_bytes[ids[0]] == b" " else None
+    def _b_ids(self, runs: list[str]) -> list[list[int] | None]:
+        """B's ids of each run; B puts a space before everything it is given. None where that space does not stand alone."""
+        found = self.b.encode([run[1:] if run[0] == " " else run for run in runs], num_threads=1)
+        return [ids if run[0] == " " else ids[1:] if ids and self.b_bytes[ids[0]] == b" " else None for run, ids in zip(runs, found)]
 
-    def _entry(self, run: str, a: list[int]) -> tuple | None:
+    def _entry(self, run: str, a: list[int], b: list[int] | None) -> tuple | None:
         """(n_a, n_b, n_groups, groups as text, packed pairs) of a run; None where the bytes of either file are not the run's."""
-        b, data = self._b_ids(run), run.encode()
-        if b is None or b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+        if b is None:
             return None
-        groups, links = groups_of(a, b, [len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b])
-        return len(a), len(b), len(groups), ";".join(groups), np.array([x << 32 | y for x, y in links], np.int64).tobytes()
+        data, a_bytes, b_bytes = run.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
+            return None
+        groups, links = groups_of(a, b, list(map(len, a_bytes)), list(map(len, b_bytes)))
+        return len(a), len(b), len(groups), ";".join(groups), array("q", [x << 32 | y for x, y in links]).tobytes()
 
     def align(self, text: str) -> tuple | None:
         """(n_a, n_b, n_groups, groups as text, pairs as a << 32 | b for each link) of space + text; None without tokens."""
@@ -102,7 +115,7 @@ class Aligner:
             return None  # B reads that character as a space
         full = " " + text
         if self.whole or self.odd.search(full):
-            entry = self._entry(full, self.a.encode(full, add_special_tokens=False).ids)
+            entry = self._entry(full, self.a.encode(full, add_special_tokens=False).ids, self._b_ids([full])[0])
             return entry and (*entry[:4], np.frombuffer(entry[4], np.int64))
         runs = _RUN.findall(full)
         if len(runs) > 1 and runs[-1].isspace():
@@ -110,11 +123,12 @@ class Aligner:
         if len(self.known) >= CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = {run for run in runs if run not in known}
+        missing = set(runs).difference(known)
         known.update((run, older[run]) for run in missing if run in older)
         new = [run for run in missing if run not in older]
-        for run, found in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            known[run] = self._entry(run, found.ids)
+        if new:
+            for run, found, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self._b_ids(new)):
+                known[run] = self._entry(run, found.ids, b)
         entries = list(map(known.__getitem__, runs))
         for run in new:
             if len(run) > LONGEST:

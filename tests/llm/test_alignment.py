@@ -124,3 +124,35 @@ def test_query_against_plain(spark):
         if want:
             assert (got[i]["n_a"], got[i]["n_b"], got[i]["n_groups"], got[i]["n_links"]) == tuple(map(len, want))
             assert got[i]["groups_sha256"] == hashlib.sha256(";".join(want[2]).encode()).hexdigest()
+
+
+def test_pieces_of_new_runs_come_in_one_call():
+    aligner, calls = Aligner(A, B), []
+
+    class Counted:
+        def __init__(self, b):
+            self.b = b
+
+        def encode(self, *args, **options):
+            calls.append(args)
+            return self.b.encode(*args, **options)
+
+    aligner.b = Counted(aligner.b)
+    text = "then the\ncat sat  on unheard-of zyxwv mats"
+    got, want = aligner.align(text), Plain().links(text)
+    assert len(calls) == 1 and got[3] == ";".join(want[2])
+
+
+def test_groups_of_any_cuts():
+    draw = random.Random(4)
+    for _ in range(300):
+        size = draw.randint(1, 9)
+        ends = [sorted(draw.sample(range(1, size), draw.randint(0, size - 1))) + [size] for _ in "ab"]
+        a, b = ([100 * side + k for k in range(len(e))] for side, e in enumerate(ends, 1))
+        ranges = [[*zip([0, *e], e)] for e in ends]
+        links = [(x, y) for x, (s, e) in zip(a, ranges[0]) for y, (t, f) in zip(b, ranges[1]) if s < f and t < e]
+        groups, at = [], 0
+        for end in sorted({*ends[0]} & {*ends[1]}):
+            groups.append("|".join(",".join(str(i) for i, (s, e) in zip(ids, r) if at <= s and e <= end) for ids, r in zip((a, b), ranges)))
+            at = end
+        assert groups_of(a, b, *[[e - s for s, e in r] for r in ranges]) == (groups, links)
